@@ -123,11 +123,11 @@ class HospitalTables(dict):
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__()
-        self._spark, self._sf_dir = spark, sf_dir
+        self.spark, self.sf_dir = spark, sf_dir
 
     def __missing__(self, name: str) -> DataFrame:
-        sources = {s: read_source(self._spark, self._sf_dir, s) for s in _sources_of(name)}
-        self[name] = derive(self._spark, name, sources)
+        sources = {s: read_source(self.spark, self.sf_dir, s) for s in _sources_of(name)}
+        self[name] = derive(self.spark, name, sources)
         return self[name]
 
 

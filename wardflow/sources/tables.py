@@ -46,7 +46,7 @@ def write_table(df: DataFrame, root: str, name: str, mode: str = "errorifexists"
 
 
 # ISO 8601 text of dates and timestamps in JSON results.
-_JSON_OPTIONS = {
+JSON_OPTIONS = {
     "dateFormat": "yyyy-MM-dd",
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss",
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss",
@@ -56,9 +56,9 @@ _JSON_OPTIONS = {
 
 def json_rows(df: DataFrame, name: str = "json") -> DataFrame:
     """Each row as one JSON object; missing values are written as null."""
-    return df.select(F.to_json(F.struct(*df.columns), _JSON_OPTIONS).alias(name))
+    return df.select(F.to_json(F.struct(*df.columns), JSON_OPTIONS).alias(name))
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write a result as JSON lines with ISO dates."""
-    df.write.mode(mode).options(**_JSON_OPTIONS).json(path)
+    df.write.mode(mode).options(**JSON_OPTIONS).json(path)
