@@ -28,20 +28,35 @@ _BEFORE = "_rows_before"
 _LAST_BUCKET = 2 ** 62
 
 
-def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-                   n: int = 1, ties: bool = False, position: str | None = None) -> DataFrame:
-    """The first ``n`` rows of each key in the given order.
+def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
+                  n: int = 1, position: str | None = None) -> DataFrame:
+    """The first ``n`` rows of each key in the given order, which must be unique.
 
-    With ``ties`` every row that shares the n-th place is kept. ``position``
-    names an output column for the place.
+    ``position`` names an output column for the place.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
     place = position or "_place"
-    rank = F.rank() if ties else F.row_number()
-    top = df.withColumn(place, rank.over(window)).filter(F.col(place) <= n)
+    top = df.withColumn(place, F.row_number().over(window)).filter(F.col(place) <= n)
     return top if position else top.drop(place)
 
 
+def latest_with_ties(df: DataFrame, keys: Sequence[str], moment: str,
+                     hot_rows: int = HOT_ROWS) -> DataFrame:
+    """All rows of each key that share its latest ``moment``.
+
+    Any number of rows may share it, for instance copies of one row. So a hot
+    key's latest moment comes from an aggregation, and its rows from a join on
+    key and moment, which can be split.
+    """
+    keys = list(keys)
+    cold, hot = split_hot(df, keys, hot_rows)
+    window = Window.partitionBy(*keys).orderBy(F.desc(moment))
+    cold = (cold.withColumn("_place", F.rank().over(window)).filter(F.col("_place") == 1)
+            .drop("_place"))
+    latest = hot.groupBy(*keys).agg(F.max(moment).alias(moment))
+    return cold.unionByName(hot.join(latest, [*keys, moment]).select(*df.columns))
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with at least ``hot_rows`` rows, at most ``MAX_HOT_KEYS`` of them."""
     return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
@@ -80,20 +95,27 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket
     """Number the rows of each key from 1 in the given order.
 
     ``bucket`` must not decrease along ``order``; with a unique order the
-    result is the same whichever keys are hot. Without ``keys`` the whole table
-    is numbered, bucket by bucket.
+    result is the same whichever keys are hot.
     """
-    keys = list(keys)
-    if not keys:
-        return _numbered_by_bucket(df, keys, order, bucket, name)
     cold, hot = split_hot(df, keys, hot_rows)
-    cold = cold.withColumn(
-        name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
-    return cold.unionByName(_numbered_by_bucket(hot, keys, order, bucket, name))
+    return number_whole(cold, keys, order, name).unionByName(
+        number_by_bucket(hot, keys, order, bucket, name))
+
+
+def number_whole(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
+                 name: str) -> DataFrame:
+    """Number the rows of each key in one window; for keys that are not hot."""
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(name, F.row_number().over(window).cast("bigint"))
+
 
+def number_by_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
+                     bucket: Column, name: str) -> DataFrame:
+    """Number the rows of each key bucket by bucket.
 
-def _numbered_by_bucket(df: DataFrame, keys: list[str], order: Sequence[Column],
-                        bucket: Column, name: str) -> DataFrame:
+    Each row adds its place in its bucket to the size of the earlier buckets.
+    Without ``keys`` the whole table is numbered.
+    """
     cut = df.withColumn(_BUCKET, bucket)
     local = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
     # One row per bucket reaches this window, not one per row of the key.
@@ -138,16 +160,14 @@ def lagged_parts(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
             edges.filter("_first").select(*columns)]
 
 
-def left_join_hot(parent: DataFrame, child: DataFrame, key: str,
-                  condition: Column | None = None) -> DataFrame:
+def left_join_hot(parent: DataFrame, child: DataFrame, key: str) -> DataFrame:
     """Left join of unique parents to a child table that may hold a hot key.
 
     A left outer join cannot be split on its child side, an inner join can. So
-    matched rows come from an inner join and the rest from an anti join against
-    the distinct child keys.
+    matched rows come from an inner join, and the rest from an anti join
+    against the distinct child keys.
     """
-    matched = parent.join(child, key)
-    if condition is not None:
-        matched = matched.filter(condition)
+    # The filter is the one an inner join adds, so both can share one shuffle.
+    parent = parent.filter(F.col(key).isNotNull())
     alone = parent.join(child.select(key).distinct(), key, "left_anti")
-    return matched.unionByName(alone, allowMissingColumns=True)
+    return parent.join(child, key).unionByName(alone, allowMissingColumns=True)

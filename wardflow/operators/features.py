@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import date
+from functools import reduce
+from itertools import product
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,13 +41,38 @@ def _condition_flags() -> dict[str, Column]:
     return {flag: E.flag(name.contains(word)) for flag, word in CONDITIONS.items()}
 
 
-def _latest_readings(t: Tables, ties: bool) -> DataFrame:
-    order = [F.desc("recorded_at")] + ([] if ties else [F.desc("vital_id")])
-    vitals = t["vitals"].select("patient_id", "vital_id", "recorded_at", *READINGS)
-    return skew.latest_per_key(vitals, ["patient_id"], order, ties=ties).drop("recorded_at")
+def _vitals(t: Tables) -> DataFrame:
+    return t["vitals"].select("patient_id", "vital_id", "recorded_at", *READINGS)
 
 
-def risk_features(t: Tables, as_of: date | None = None) -> DataFrame:
+def _latest_reading(t: Tables) -> DataFrame:
+    return (skew.first_per_key(_vitals(t), ["patient_id"],
+                               [F.desc("recorded_at"), F.desc("vital_id")])
+            .drop("vital_id", "recorded_at"))
+
+
+def _condition_counts() -> tuple[list[Column], Column]:
+    """How often each combination of the flags occurs, as columns to aggregate
+    and as an array of those that do occur."""
+    flags = _condition_flags()
+    counts, kinds = [], []
+    for number, values in enumerate(product((0, 1), repeat=len(flags))):
+        same = reduce(and_, (f == v for f, v in zip(flags.values(), values, strict=True)))
+        counts.append(F.count_if(F.coalesce(same, F.lit(False))).alias(f"_kind_{number}"))
+        kinds.append(F.struct(*[F.lit(v).alias(n) for n, v in zip(flags, values, strict=True)],
+                              F.col(f"_kind_{number}").alias("_conditions")))
+    return counts, _occurring(kinds, "_conditions")
+
+
+def _occurring(kinds: list[Column], count: str) -> Column:
+    """The kinds with a count, or the first of them once if there is none."""
+    none = kinds[0].withField(count, F.lit(1).cast("bigint"))
+    found = F.filter(F.array(*kinds), lambda kind: kind[count] > 0)
+    return F.when(F.size(found) > 0, found).otherwise(F.array(none))
+
+
+def risk_features(t: Tables, as_of: date | None = None,
+                  hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """Training rows of the pregnancy-risk model, women only.
 
     A training row is one combination of latest reading, condition and
@@ -56,25 +84,29 @@ def risk_features(t: Tables, as_of: date | None = None) -> DataFrame:
     women = (t["patients"].filter(E.same_text(F.col("gender"), "Female"))
              .select("patient_id",
                      E.age_years(F.col("date_of_birth"), as_of).alias("age")))
-    history = (t["medical_history"].select("patient_id", *[
-        c.alias(n) for n, c in _condition_flags().items()])
-        .groupBy("patient_id", *CONDITIONS).agg(F.count(F.lit(1)).alias("_conditions")))
-    deliveries = (t["delivery_information"]
-                  .groupBy("patient_id",
-                           E.flag(E.has_text(F.col("complications"))).alias("had_complications"))
-                  .agg(F.count(F.lit(1)).alias("_deliveries")))
-    rows = (women.join(_latest_readings(t, ties=True), "patient_id", "left")
+    latest = (skew.latest_with_ties(_vitals(t), ["patient_id"], "recorded_at", hot_rows)
+              .groupBy("patient_id", *READINGS).agg(F.count(F.lit(1)).alias("_readings")))
+    counts, conditions = _condition_counts()
+    history = t["medical_history"].groupBy("patient_id").agg(*counts)
+    troubled = E.has_text(F.col("complications"))
+    deliveries = t["delivery_information"].groupBy("patient_id").agg(
+        F.count_if(~troubled).alias("_smooth"), F.count_if(troubled).alias("_troubled"))
+    outcomes = _occurring([
+        F.struct(F.lit(value).alias("had_complications"), F.col(c).alias("_deliveries"))
+        for value, c in enumerate(("_smooth", "_troubled"))], "_deliveries")
+    # Every join is by patient alone, so the sides meet without another shuffle.
+    rows = (women.join(latest, "patient_id", "left")
             .join(history, "patient_id", "left")
             .join(deliveries, "patient_id", "left")
-            .na.fill(0, [*CONDITIONS, "had_complications"])
-            .na.fill(1, ["_conditions", "_deliveries"]))
+            .select("patient_id", "age", *READINGS, "_readings",
+                    outcomes.alias("_outcomes"), F.inline(conditions))
+            .select("*", F.inline("_outcomes")))
     high_risk = ((F.col("age") > E.RISK_AGE) | E.high_pressure()
                  | (F.col("had_complications") == 1) | (F.col("has_hypertension") == 1)
                  | (F.col("has_diabetes") == 1))
-    return rows.select(
-        "patient_id", "vital_id", "age", *READINGS, *CONDITIONS, "had_complications",
-        E.flag(high_risk).alias("high_risk"),
-        (F.col("_conditions") * F.col("_deliveries")).alias("copies"))
+    copies = F.coalesce("_readings", F.lit(1)) * F.col("_conditions") * F.col("_deliveries")
+    return rows.select("patient_id", "age", *READINGS, *CONDITIONS, "had_complications",
+                       E.flag(high_risk).alias("high_risk"), copies.alias("copies"))
 
 
 def risk_features_serving(t: Tables, as_of: date | None = None) -> DataFrame:
@@ -86,7 +118,7 @@ def risk_features_serving(t: Tables, as_of: date | None = None) -> DataFrame:
         F.max(c).alias(n) for n, c in _condition_flags().items()])
     return (t["patients"]
             .select("patient_id", E.age_years(F.col("date_of_birth"), as_of).alias("age"))
-            .join(_latest_readings(t, ties=False).drop("vital_id"), "patient_id", "left")
+            .join(_latest_reading(t), "patient_id", "left")
             .join(held, "patient_id", "left")
             .na.fill(0, list(CONDITIONS))
             .select("patient_id", "age", *READINGS, *CONDITIONS))
@@ -121,7 +153,7 @@ def followup_features(t: Tables, as_of: date | None = None) -> DataFrame:
 
 def followup_features_serving(t: Tables, as_of: date | None = None) -> DataFrame:
     """The same features from each patient's latest visit, if there is one."""
-    latest = skew.latest_per_key(
+    latest = skew.first_per_key(
         t["follow_up_visits"].select("patient_id", "visit_id", "visit_date", "follow_up_date"),
         ["patient_id"], [F.desc("visit_date"), F.desc("visit_id")])
     return (_contact_features(t, as_of).join(latest, "patient_id", "left")
@@ -139,9 +171,8 @@ def vitals_lag_features(t: Tables, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """
     patients = t["patients"].select("patient_id", "date_of_birth",
                                     F.coalesce("gender", F.lit(UNKNOWN)).alias("gender"))
-    vitals = t["vitals"].select("patient_id", "vital_id", "recorded_at", *READINGS)
     parts = skew.lagged_parts(
-        vitals, ["patient_id"], [F.asc("recorded_at"), F.asc("vital_id")], PREVIOUS,
+        _vitals(t), ["patient_id"], [F.asc("recorded_at"), F.asc("vital_id")], PREVIOUS,
         skew.hour_bucket(F.col("recorded_at")), hot_rows)
     age = E.years_between(F.col("date_of_birth"), F.col("recorded_at"))
     parts = [
@@ -157,7 +188,7 @@ def vitals_lag_features(t: Tables, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
 
 def vitals_features_serving(t: Tables, as_of: date | None = None) -> DataFrame:
     """Each patient's latest reading as the previous one, with the age today."""
-    latest = _latest_readings(t, ties=False).select(
+    latest = _latest_reading(t).select(
         "patient_id", *[F.col(old).alias(new) for new, old in PREVIOUS.items()])
     return (t["patients"]
             .select("patient_id",

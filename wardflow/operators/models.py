@@ -41,7 +41,7 @@ PRESSURE_BANDS = ((120, "Normal"), (130, "Elevated"), (140, "Hypertension Stage
                   (None, "Hypertension Stage 2"))
 
 RISK_NUMBERS = ["age", *X.READINGS, *X.CONDITIONS]
-RISK_KEYS = ["patient_id", "vital_id", *X.CONDITIONS, "had_complications"]
+RISK_KEYS = ["patient_id", *X.READINGS, *X.CONDITIONS, "had_complications"]
 FOLLOWUP_KEYS = ["visit_id"]
 VITALS_KEYS = ["vital_id"]
 VITALS_NUMBERS = ["age_at_recording", *X.PREVIOUS]

@@ -43,6 +43,12 @@ def _list(section: str) -> Column:
     return F.transform(placed, lambda e: e[section]).alias(section)
 
 
+def _pages(placed: DataFrame, patients: DataFrame, page_size: int) -> DataFrame:
+    pages = (placed.withColumn("page", F.floor((F.col("_place") - 1) / page_size))
+             .groupBy("patient_id", "page").agg(*[_list(s) for s in SECTIONS]))
+    return pages.join(patients, "patient_id").select(*patients.columns, "page", *SECTIONS)
+
+
 def patient_profile(t: Tables, patient_id: str | None = None, page_size: int = 1000,
                     hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """Each patient with five lists of child rows; one patient if an id is given.
@@ -57,18 +63,18 @@ def patient_profile(t: Tables, patient_id: str | None = None, page_size: int = 1
         return table if patient_id is None else table.filter(F.col("patient_id") == patient_id)
 
     patients = of_patient("patients")
-    entries = None
+    # A row without an entry gives every patient a page 0.
+    entries = patients.select(
+        "patient_id", F.lit("").alias("_section"), F.lit(0).cast("bigint").alias("_hour"),
+        F.lit(None).cast("timestamp_ntz").alias("_moment"),
+        F.lit(0).cast("bigint").alias("_number"))
     for section in SECTIONS:
-        rows = _entries(of_patient(section), section)
-        entries = rows if entries is None else entries.unionByName(rows, allowMissingColumns=True)
-    placed = skew.numbered(
-        entries, ["patient_id", "_section"],
-        [F.asc("_hour"), F.desc("_moment"), F.asc("_number")], F.col("_hour"), "_place", hot_rows)
-    page = F.floor((F.col("_place") - 1) / page_size).alias("page")
-    # A patient without any entry still has page 0.
-    first_pages = patients.select("patient_id", F.lit(0).cast("bigint").alias("page"))
-    pages = (placed.withColumn("page", page)
-             .unionByName(first_pages, allowMissingColumns=True)
-             .groupBy("patient_id", "page").agg(*[_list(s) for s in SECTIONS]))
-    return pages.join(patients, "patient_id").select(
-        *patients.columns, "page", *SECTIONS)
+        entries = entries.unionByName(_entries(of_patient(section), section),
+                                      allowMissingColumns=True)
+    keys = ["patient_id", "_section"]
+    order = [F.asc("_hour"), F.desc("_moment"), F.asc("_number")]
+    cold, hot = skew.split_hot(entries, ["patient_id"], hot_rows)
+    # One shuffle by patient serves the numbering, the grouping and the join.
+    placed = skew.number_whole(cold.repartition("patient_id"), keys, order, "_place")
+    cut = skew.number_by_bucket(hot, keys, order, F.col("_hour"), "_place")
+    return _pages(placed, patients, page_size).unionByName(_pages(cut, patients, page_size))

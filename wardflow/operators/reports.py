@@ -22,19 +22,15 @@ _UNAVAILABLE = "N/A"
 
 # -- high-risk patients -------------------------------------------------------
 
-def latest_pressure(t: Tables) -> DataFrame:
-    """Latest reading per patient, all of them where the time is shared."""
-    vitals = t["vitals"].select("patient_id", "vital_id", "recorded_at",
-                                "blood_pressure_systolic", "blood_pressure_diastolic")
-    return (skew.latest_per_key(vitals, ["patient_id"], [F.desc("recorded_at")], ties=True)
-            .drop("recorded_at"))
-
-
-def _high_risk_rows(t: Tables, as_of: date | None) -> DataFrame:
+def _high_risk_rows(t: Tables, as_of: date | None, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     patients = t["patients"].select(
         "patient_id", E.full_name().alias("patient_name"), "date_of_birth",
         E.age_years(F.col("date_of_birth"), as_of).alias("age"))
-    readings = (patients.join(latest_pressure(t), "patient_id", "left")
+    latest = skew.latest_with_ties(
+        t["vitals"].select("patient_id", "vital_id", "recorded_at", "blood_pressure_systolic",
+                           "blood_pressure_diastolic"),
+        ["patient_id"], "recorded_at", hot_rows).drop("recorded_at")
+    readings = (skew.left_join_hot(patients, latest, "patient_id")
                 .withColumn("_by_age", F.coalesce(F.col("age") > E.RISK_AGE, F.lit(False)))
                 .withColumn("_by_pressure", E.high_pressure()))
     deliveries = t["delivery_information"].select("patient_id", "delivery_id", "complications")
@@ -56,7 +52,8 @@ def _high_risk_rows(t: Tables, as_of: date | None) -> DataFrame:
     return rows.withColumns({"risk_category": category, "risk_rank": rank})
 
 
-def high_risk(t: Tables, as_of: date | None = None) -> DataFrame:
+def high_risk(t: Tables, as_of: date | None = None,
+              hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """Patients at risk by age, latest blood pressure or past complications.
 
     One row per latest reading and delivery of the patient. ``risk_category``
@@ -64,7 +61,7 @@ def high_risk(t: Tables, as_of: date | None = None) -> DataFrame:
     pressure first, then pressure, then age, and orders the result.
     """
     # The ids spread the four ranks evenly over the sorted partitions.
-    return (_high_risk_rows(t, as_of)
+    return (_high_risk_rows(t, as_of, hot_rows)
             .orderBy("risk_rank", "patient_id", "vital_id", "delivery_id")
             .select("patient_id", "patient_name", "date_of_birth", "age",
                     "blood_pressure_systolic", "blood_pressure_diastolic",
@@ -166,20 +163,25 @@ def delivery_methods(t: Tables) -> DataFrame:
     Names that differ only in case are one doctor.
     """
     method = F.col("delivery_method")
-    per_doctor = (t["delivery_information"]
-                  .groupBy(F.lower("attending_doctor").alias("_doctor"))
-                  .agg(F.min("attending_doctor").alias("attending_doctor"),
-                       F.count(F.lit(1)).alias("total_deliveries"),
-                       F.count_if(E.same_text(method, VAGINAL)).alias("vaginal_deliveries"),
-                       F.count_if(E.same_text(method, C_SECTION)).alias("c_section_deliveries"),
-                       E.exact_mean("birth_weight").alias("avg_birth_weight")))
+    # First by the exact name, in a hash aggregation; the few results are then
+    # merged by the folded name.
+    by_name = (t["delivery_information"].groupBy("attending_doctor").agg(
+        F.count(F.lit(1)).alias("total_deliveries"),
+        F.count_if(E.same_text(method, VAGINAL)).alias("vaginal_deliveries"),
+        F.count_if(E.same_text(method, C_SECTION)).alias("c_section_deliveries"),
+        F.sum("birth_weight").alias("_weight"), F.count("birth_weight").alias("_weighed")))
+    counts = ["total_deliveries", "vaginal_deliveries", "c_section_deliveries"]
+    per_doctor = by_name.groupBy(F.lower("attending_doctor").alias("_doctor")).agg(
+        F.min("attending_doctor").alias("attending_doctor"),
+        *[F.sum(c).alias(c) for c in counts],
+        F.try_divide(F.sum("_weight").cast("double"), F.sum("_weighed"))
+        .alias("avg_birth_weight"))
     # Decimal arithmetic, so that a rate ending in 5 rounds up.
     rate = F.round(F.col("c_section_deliveries").cast("decimal(20,0)") * 100
                    / F.col("total_deliveries").cast("decimal(20,0)"), 2)
     return (per_doctor
             .orderBy(F.desc("total_deliveries"), "_doctor")
-            .select("attending_doctor", "total_deliveries", "vaginal_deliveries",
-                    "c_section_deliveries", rate.cast("double").alias("c_section_rate"),
+            .select("attending_doctor", *counts, rate.cast("double").alias("c_section_rate"),
                     "avg_birth_weight"))
 
 
@@ -225,13 +227,18 @@ def demographics(t: Tables, as_of: date | None = None) -> DataFrame:
             .join(_patient_groups(t, as_of), "patient_id")
             .select("age_group", "city", "state", F.lit(0).alias("_rows"),
                     F.lit(0).alias("_deliveries"), F.lit(0).alias("_patients"), "_condition"))
-    return (counts.unionByName(held)
+    sums = {"_rows": "patient_count", "_deliveries": "delivery_count",
+            "_patients": "distinct_patients"}
+    # First by the exact names, in a hash aggregation; the few results are then
+    # merged by the folded names.
+    by_name = (counts.unionByName(held)
+               .groupBy("age_group", "city", "state", "_condition")
+               .agg(*[F.sum(c).alias(c) for c in sums]))
+    return (by_name
             .groupBy("age_group", F.lower("city").alias("_city"), F.lower("state").alias("_state"))
             .agg(F.min("city").alias("city"), F.min("state").alias("state"),
-                 F.sum("_rows").alias("patient_count"),
                  F.count_distinct("_condition").alias("unique_conditions"),
-                 F.sum("_deliveries").alias("delivery_count"),
-                 F.sum("_patients").alias("distinct_patients"))
+                 *[F.sum(c).alias(name) for c, name in sums.items()])
             .orderBy("_state", "_city", "age_group")
             .select("age_group", "city", "state", "patient_count", "unique_conditions",
                     "delivery_count", "distinct_patients"))
@@ -295,7 +302,7 @@ def _shown(column: str) -> Column:
 
 def recent_vitals(t: Tables, n: int = 5) -> DataFrame:
     """The last ``n`` readings per patient; position 1 is the latest."""
-    readings = skew.latest_per_key(
+    readings = skew.first_per_key(
         t["vitals"].select("patient_id", "vital_id", "recorded_at", "temperature", "heart_rate",
                            "blood_pressure_systolic", "blood_pressure_diastolic",
                            "respiratory_rate", "oxygen_saturation"),
@@ -318,7 +325,7 @@ def appointment_split(t: Tables, as_of_ts: datetime | None = None, past_n: int =
     upcoming = skew.numbered(
         appointments.filter(when >= now), ["patient_id"],
         [F.asc("appointment_date"), F.asc("appointment_id")], skew.hour_bucket(when), "position")
-    past = skew.latest_per_key(
+    past = skew.first_per_key(
         appointments.filter(when < now), ["patient_id"],
         [F.desc("appointment_date"), F.desc("appointment_id")], past_n, position="position")
     return (upcoming.withColumn("period", F.lit("upcoming"))

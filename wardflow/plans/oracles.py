@@ -115,7 +115,7 @@ _FLAGS = ", ".join([_flag(_named("hypertension"), "has_hypertension"),
                     _flag(_named("asthma"), "has_asthma")])
 _RISK_FEATURES = f"""STEP {_latest(True)},
 training AS (
-  SELECT p.patient_id, vital_id, {_AGE} AS age, {_READINGS}, {_FLAGS},
+  SELECT p.patient_id, {_AGE} AS age, {_READINGS}, {_FLAGS},
     {_flag(_TROUBLE, 'had_complications')},
     {_flag(f"{_AGE} > 35 OR {_PRESSURE} OR {_TROUBLE} OR {_named('hypertension')} OR {_named('diabetes')}", 'high_risk')}
   FROM patients p LEFT JOIN latest USING (patient_id)
@@ -137,8 +137,9 @@ _RISK_TABLES = "patients vitals medical_history delivery_information"
 _FILLED = ", ".join(
     f"coalesce(CAST({c} AS DOUBLE), (SELECT median(CAST({c} AS DOUBLE)) FROM training)) AS {c}"
     for c in _READINGS.split(", "))
-_DRAW = ("CAST(('0x' || substr(md5('42|' || patient_id || '|' || coalesce(CAST(vital_id AS "
-         "VARCHAR), '')), 1, 8)) AS BIGINT) % 100")
+_DRAW_KEYS = f"patient_id, {_READINGS}, has_hypertension, has_diabetes, has_asthma, had_complications"
+_DRAW_TEXT = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in _DRAW_KEYS.split(", "))
+_DRAW = f"CAST(('0x' || substr(md5('42|' || {_DRAW_TEXT}), 1, 8)) AS BIGINT) % 100"
 
 # -- checks and updates -------------------------------------------------------
 

@@ -55,7 +55,7 @@ def _delete_by_key(t: HospitalTables) -> DataFrame:
 
 
 def _split(t: HospitalTables) -> DataFrame:
-    train, test = features.split(features.risk_features(t, TODAY), ["patient_id", "vital_id"])
+    train, test = features.split(features.risk_features(t, TODAY), models.RISK_KEYS)
     return (train.withColumn("part", F.lit("train"))
             .unionByName(test.withColumn("part", F.lit("test"))))
 

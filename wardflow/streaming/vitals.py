@@ -51,4 +51,4 @@ def write_changes(summary: DataFrame, path: str, checkpoint: str) -> StreamingQu
 
 def current_summary(written: DataFrame) -> DataFrame:
     """The latest row per patient of the written batches."""
-    return skew.latest_per_key(written, ["patient_id"], [F.desc("batch")]).drop("batch")
+    return skew.first_per_key(written, ["patient_id"], [F.desc("batch")]).drop("batch")
