@@ -28,25 +28,29 @@ RISK_BAND_OTHERWISE = "success"
 
 def today(as_of: date | None) -> Column:
     """The reference date as a column; the current date when none is given."""
-    return F.current_date() if as_of is None else F.lit(as_of).cast("date")
+    return F.expr(_today(as_of))
 
 
-def _day_number(d: Column) -> Column:
-    return F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)
+def _today(as_of: date | None) -> str:
+    return "current_date()" if as_of is None else f"DATE '{as_of:%Y-%m-%d}'"
 
 
-def years_between(start: Column, end: Column) -> Column:
-    """Completed years from ``start`` to ``end``.
+def years_between(start: str, end: str) -> Column:
+    """Completed years from one date to another, both given as SQL text.
 
     A birthday on 29 February completes its year on 1 March of a common year.
     Only calendar fields are used, so the session time zone has no effect on
     dates.
     """
-    return ((_day_number(end) - _day_number(start)) / 10000).cast("int")
+    def day_number(d: str) -> str:
+        return f"(year({d}) * 10000 + month({d}) * 100 + day({d}))"
 
+    return F.expr(f"int(({day_number(end)} - {day_number(start)}) div 10000)")
 
-def age_years(date_of_birth: Column, as_of: date | None) -> Column:
-    return years_between(date_of_birth, today(as_of))
+
+def age_years(as_of: date | None) -> Column:
+    """Age of the patient, from ``date_of_birth``, on the reference date."""
+    return years_between("date_of_birth", _today(as_of))
 
 
 def age_band(age: Column) -> Column:

@@ -6,8 +6,10 @@ a window puts every row of its key in one task. Two cases are covered here.
 * Top-n per key filters on the rank, which Spark applies before the shuffle as
   well, so each task sends at most n rows (plus ties) per key.
 * Full numbering and ``lag`` need every row. Keys with very many rows are found
-  by a count, cut into ordered buckets (an hour, a range of ids), and the
-  buckets are joined up again. All other keys take the ordinary window.
+  first, cut into ordered buckets (an hour, a range of ids), and the buckets
+  are joined up again. All other keys take the ordinary window.
+
+Which keys are treated as hot never changes a result, only where the work runs.
 """
 
 from __future__ import annotations
@@ -17,11 +19,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key is cut into buckets only from this many rows on.
+# A key is cut into buckets from about this many rows on.
 HOT_ROWS = 1_000_000
 # Upper bound of the broadcast list of such keys. A key outside the list has
-# fewer than HOT_ROWS rows, or less than 1/4096 of the table.
+# fewer rows than that, or less than 1/4096 of the table.
 MAX_HOT_KEYS = 4096
+# A key of HOT_ROWS rows is counted on about this many of them.
+_COUNTED = 1000
 
 _BUCKET = "_bucket"
 _BEFORE = "_rows_before"
@@ -40,7 +44,7 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return top if position else top.drop(place)
 
 
-def latest_with_ties(df: DataFrame, keys: Sequence[str], moment: str,
+def latest_with_ties(df: DataFrame, keys: Sequence[str], moment: str, unique: Sequence[str],
                      hot_rows: int = HOT_ROWS) -> DataFrame:
     """All rows of each key that share its latest ``moment``.
 
@@ -49,7 +53,7 @@ def latest_with_ties(df: DataFrame, keys: Sequence[str], moment: str,
     key and moment, which can be split.
     """
     keys = list(keys)
-    cold, hot = split_hot(df, keys, hot_rows)
+    cold, hot = split_hot(df, keys, unique, hot_rows)
     window = Window.partitionBy(*keys).orderBy(F.desc(moment))
     cold = (cold.withColumn("_place", F.rank().over(window)).filter(F.col("_place") == 1)
             .drop("_place"))
@@ -57,18 +61,28 @@ def latest_with_ties(df: DataFrame, keys: Sequence[str], moment: str,
     return cold.unionByName(hot.join(latest, [*keys, moment]).select(*df.columns))
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with at least ``hot_rows`` rows, at most ``MAX_HOT_KEYS`` of them."""
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-            .filter(F.col("_rows") >= hot_rows)
+def hot_keys(df: DataFrame, keys: Sequence[str], unique: Sequence[str],
+             hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with ``hot_rows`` rows or more, at most ``MAX_HOT_KEYS`` of them.
+
+    Rows are counted on a fixed share, chosen by a hash of the ``unique``
+    columns: the same rows on every run, and a thousandth of the shuffle of a
+    full count. The limit is half of what a key of ``hot_rows`` rows is
+    expected to show, so such a key is not missed; a smaller one may be listed.
+    """
+    share = max(1, hot_rows // _COUNTED)
+    counted = df if share == 1 else df.filter(F.xxhash64(*unique) % share == 0)
+    least = hot_rows if share == 1 else _COUNTED // 2
+    return (counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+            .filter(F.col("_rows") >= least)
             .orderBy(F.desc("_rows"), *keys).limit(MAX_HOT_KEYS)
             .select(*keys))
 
 
-def split_hot(df: DataFrame, keys: Sequence[str],
+def split_hot(df: DataFrame, keys: Sequence[str], unique: Sequence[str],
               hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """``df`` as (ordinary keys, hot keys); together they are all its rows."""
-    hot = F.broadcast(hot_keys(df, keys, hot_rows))
+    hot = F.broadcast(hot_keys(df, keys, unique, hot_rows))
     keys = list(keys)
     return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
 
@@ -91,13 +105,13 @@ def id_bucket(number: Column, width: int = HOT_ROWS) -> Column:
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column,
-             name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+             unique: Sequence[str], name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Number the rows of each key from 1 in the given order.
 
     ``bucket`` must not decrease along ``order``; with a unique order the
     result is the same whichever keys are hot.
     """
-    cold, hot = split_hot(df, keys, hot_rows)
+    cold, hot = split_hot(df, keys, unique, hot_rows)
     return number_whole(cold, keys, order, name).unionByName(
         number_by_bucket(hot, keys, order, bucket, name))
 
@@ -131,7 +145,7 @@ def number_by_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[Column]
 
 
 def lagged_parts(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-                 lags: dict[str, str], bucket: Column,
+                 lags: dict[str, str], bucket: Column, unique: Sequence[str],
                  hot_rows: int = HOT_ROWS) -> list[DataFrame]:
     """``df`` with the previous row's values, as parts to be unioned.
 
@@ -140,7 +154,7 @@ def lagged_parts(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     partitioning before the union.
     """
     keys = list(keys)
-    cold, hot = split_hot(df, keys, hot_rows)
+    cold, hot = split_hot(df, keys, unique, hot_rows)
     whole = Window.partitionBy(*keys).orderBy(*order)
     take = {new: F.lag(old).over(whole) for new, old in lags.items()}
 
@@ -158,16 +172,3 @@ def lagged_parts(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return [cold.withColumns(take),
             hot.filter(~F.col("_first")).select(*columns),
             edges.filter("_first").select(*columns)]
-
-
-def left_join_hot(parent: DataFrame, child: DataFrame, key: str) -> DataFrame:
-    """Left join of unique parents to a child table that may hold a hot key.
-
-    A left outer join cannot be split on its child side, an inner join can. So
-    matched rows come from an inner join, and the rest from an anti join
-    against the distinct child keys.
-    """
-    # The filter is the one an inner join adds, so both can share one shuffle.
-    parent = parent.filter(F.col(key).isNotNull())
-    alone = parent.join(child.select(key).distinct(), key, "left_anti")
-    return parent.join(child, key).unionByName(alone, allowMissingColumns=True)

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import date
-from functools import reduce
 from itertools import product
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,9 +34,10 @@ UNKNOWN = "Unknown"
 
 # -- pregnancy risk -----------------------------------------------------------
 
-def _condition_flags() -> dict[str, Column]:
-    name = F.lower("condition_name")
-    return {flag: E.flag(name.contains(word)) for flag, word in CONDITIONS.items()}
+def _condition_flags() -> dict[str, str]:
+    """SQL text of each flag of a condition, 0 or 1."""
+    return {flag: f"int(coalesce(contains(lower(condition_name), '{word}'), false))"
+            for flag, word in CONDITIONS.items()}
 
 
 def _vitals(t: Tables) -> DataFrame:
@@ -51,24 +50,28 @@ def _latest_reading(t: Tables) -> DataFrame:
             .drop("vital_id", "recorded_at"))
 
 
-def _condition_counts() -> tuple[list[Column], Column]:
-    """How often each combination of the flags occurs, as columns to aggregate
-    and as an array of those that do occur."""
-    flags = _condition_flags()
-    counts, kinds = [], []
-    for number, values in enumerate(product((0, 1), repeat=len(flags))):
-        same = reduce(and_, (f == v for f, v in zip(flags.values(), values, strict=True)))
-        counts.append(F.count_if(F.coalesce(same, F.lit(False))).alias(f"_kind_{number}"))
-        kinds.append(F.struct(*[F.lit(v).alias(n) for n, v in zip(flags, values, strict=True)],
-                              F.col(f"_kind_{number}").alias("_conditions")))
-    return counts, _occurring(kinds, "_conditions")
+# The combinations of the condition flags; the first is that of no condition.
+_KINDS = list(product((0, 1), repeat=len(CONDITIONS)))
 
 
-def _occurring(kinds: list[Column], count: str) -> Column:
-    """The kinds with a count, or the first of them once if there is none."""
-    none = kinds[0].withField(count, F.lit(1).cast("bigint"))
-    found = F.filter(F.array(*kinds), lambda kind: kind[count] > 0)
-    return F.when(F.size(found) > 0, found).otherwise(F.array(none))
+def _counts_by_kind(history: DataFrame) -> DataFrame:
+    """Per patient, the number of conditions of each combination of flags."""
+    flags = _condition_flags().values()
+    weights = [2 ** place for place in reversed(range(len(CONDITIONS)))]
+    number = " + ".join(f"{w} * {flag}" for w, flag in zip(weights, flags, strict=True))
+    return (history.selectExpr("patient_id", f"{number} AS _kind").groupBy("patient_id")
+            .agg(*[F.expr(f"count_if(_kind = {i})").alias(f"_kind_{i}")
+                   for i in range(len(_KINDS))]))
+
+
+def _occurring(names: list[str], kinds: list[tuple[int, ...]], prefix: str, count: str) -> Column:
+    """The kinds with a count as an array; the first one, once, if nothing was counted."""
+    structs = []
+    for i, values in enumerate(kinds):
+        fields = ", ".join(f"'{n}', {v}" for n, v in zip(names, values, strict=True))
+        counted = f"{prefix}{i}" if i else f"coalesce({prefix}{i}, 1L)"
+        structs.append(f"named_struct({fields}, '{count}', {counted})")
+    return F.expr(f"filter(array({', '.join(structs)}), kind -> kind.{count} > 0)")
 
 
 def risk_features(t: Tables, as_of: date | None = None,
@@ -83,23 +86,21 @@ def risk_features(t: Tables, as_of: date | None = None,
     """
     women = (t["patients"].filter(E.same_text(F.col("gender"), "Female"))
              .select("patient_id",
-                     E.age_years(F.col("date_of_birth"), as_of).alias("age")))
-    latest = (skew.latest_with_ties(_vitals(t), ["patient_id"], "recorded_at", hot_rows)
+                     E.age_years(as_of).alias("age")))
+    latest = (skew.latest_with_ties(_vitals(t), ["patient_id"], "recorded_at", ["vital_id"],
+                                    hot_rows)
               .groupBy("patient_id", *READINGS).agg(F.count(F.lit(1)).alias("_readings")))
-    counts, conditions = _condition_counts()
-    history = t["medical_history"].groupBy("patient_id").agg(*counts)
-    troubled = E.has_text(F.col("complications"))
     deliveries = t["delivery_information"].groupBy("patient_id").agg(
-        F.count_if(~troubled).alias("_smooth"), F.count_if(troubled).alias("_troubled"))
-    outcomes = _occurring([
-        F.struct(F.lit(value).alias("had_complications"), F.col(c).alias("_deliveries"))
-        for value, c in enumerate(("_smooth", "_troubled"))], "_deliveries")
+        F.expr("count_if(coalesce(complications, '') = '')").alias("_outcome_0"),
+        F.expr("count_if(complications <> '')").alias("_outcome_1"))
     # Every join is by patient alone, so the sides meet without another shuffle.
     rows = (women.join(latest, "patient_id", "left")
-            .join(history, "patient_id", "left")
+            .join(_counts_by_kind(t["medical_history"]), "patient_id", "left")
             .join(deliveries, "patient_id", "left")
             .select("patient_id", "age", *READINGS, "_readings",
-                    outcomes.alias("_outcomes"), F.inline(conditions))
+                    _occurring(["had_complications"], [(0,), (1,)], "_outcome_", "_deliveries")
+                    .alias("_outcomes"),
+                    F.inline(_occurring(list(CONDITIONS), _KINDS, "_kind_", "_conditions")))
             .select("*", F.inline("_outcomes")))
     high_risk = ((F.col("age") > E.RISK_AGE) | E.high_pressure()
                  | (F.col("had_complications") == 1) | (F.col("has_hypertension") == 1)
@@ -115,9 +116,9 @@ def risk_features_serving(t: Tables, as_of: date | None = None) -> DataFrame:
     The reading is the latest one; a condition counts if any entry names it.
     """
     held = t["medical_history"].groupBy("patient_id").agg(*[
-        F.max(c).alias(n) for n, c in _condition_flags().items()])
+        F.expr(f"max({flag})").alias(name) for name, flag in _condition_flags().items()])
     return (t["patients"]
-            .select("patient_id", E.age_years(F.col("date_of_birth"), as_of).alias("age"))
+            .select("patient_id", E.age_years(as_of).alias("age"))
             .join(_latest_reading(t), "patient_id", "left")
             .join(held, "patient_id", "left")
             .na.fill(0, list(CONDITIONS))
@@ -128,7 +129,7 @@ def risk_features_serving(t: Tables, as_of: date | None = None) -> DataFrame:
 
 def _contact_features(t: Tables, as_of: date | None) -> DataFrame:
     return t["patients"].select(
-        "patient_id", E.age_years(F.col("date_of_birth"), as_of).alias("age"), "gender",
+        "patient_id", E.age_years(as_of).alias("age"), "gender",
         E.flag(E.has_text(F.col("city"))).alias("has_address"),
         E.flag(E.has_text(F.col("phone"))).alias("has_phone"),
         E.flag(E.has_text(F.col("email"))).alias("has_email"),
@@ -173,8 +174,8 @@ def vitals_lag_features(t: Tables, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
                                     F.coalesce("gender", F.lit(UNKNOWN)).alias("gender"))
     parts = skew.lagged_parts(
         _vitals(t), ["patient_id"], [F.asc("recorded_at"), F.asc("vital_id")], PREVIOUS,
-        skew.hour_bucket(F.col("recorded_at")), hot_rows)
-    age = E.years_between(F.col("date_of_birth"), F.col("recorded_at"))
+        skew.hour_bucket(F.col("recorded_at")), ["vital_id"], hot_rows)
+    age = E.years_between("date_of_birth", "recorded_at")
     parts = [
         part.dropna(subset=NEEDED_PREVIOUS).join(patients, "patient_id")
         .select("patient_id", "vital_id", "recorded_at", "gender",
@@ -192,7 +193,7 @@ def vitals_features_serving(t: Tables, as_of: date | None = None) -> DataFrame:
         "patient_id", *[F.col(old).alias(new) for new, old in PREVIOUS.items()])
     return (t["patients"]
             .select("patient_id",
-                    E.age_years(F.col("date_of_birth"), as_of).alias("age_at_recording"))
+                    E.age_years(as_of).alias("age_at_recording"))
             .join(latest, "patient_id"))
 
 

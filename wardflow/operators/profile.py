@@ -73,7 +73,7 @@ def patient_profile(t: Tables, patient_id: str | None = None, page_size: int = 1
                                       allowMissingColumns=True)
     keys = ["patient_id", "_section"]
     order = [F.asc("_hour"), F.desc("_moment"), F.asc("_number")]
-    cold, hot = skew.split_hot(entries, ["patient_id"], hot_rows)
+    cold, hot = skew.split_hot(entries, ["patient_id"], ["_section", "_number"], hot_rows)
     # One shuffle by patient serves the numbering, the grouping and the join.
     placed = skew.number_whole(cold.repartition("patient_id"), keys, order, "_place")
     cut = skew.number_by_bucket(hot, keys, order, F.col("_hour"), "_place")

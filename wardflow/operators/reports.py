@@ -25,18 +25,22 @@ _UNAVAILABLE = "N/A"
 def _high_risk_rows(t: Tables, as_of: date | None, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     patients = t["patients"].select(
         "patient_id", E.full_name().alias("patient_name"), "date_of_birth",
-        E.age_years(F.col("date_of_birth"), as_of).alias("age"))
-    latest = skew.latest_with_ties(
-        t["vitals"].select("patient_id", "vital_id", "recorded_at", "blood_pressure_systolic",
-                           "blood_pressure_diastolic"),
-        ["patient_id"], "recorded_at", hot_rows).drop("recorded_at")
-    readings = (skew.left_join_hot(patients, latest, "patient_id")
+        E.age_years(as_of).alias("age"))
+    # A row without a reading ranks last, so it stands where there is no other.
+    # The join can then be an inner one, which can be split on either side.
+    vitals = (t["vitals"].select("patient_id", "vital_id", "recorded_at",
+                                 "blood_pressure_systolic", "blood_pressure_diastolic")
+              .unionByName(t["patients"].select("patient_id"), allowMissingColumns=True))
+    latest = skew.latest_with_ties(vitals, ["patient_id"], "recorded_at", ["vital_id"],
+                                   hot_rows)
+    readings = (patients.join(latest, "patient_id")
                 .withColumn("_by_age", F.coalesce(F.col("age") > E.RISK_AGE, F.lit(False)))
                 .withColumn("_by_pressure", E.high_pressure()))
     deliveries = t["delivery_information"].select("patient_id", "delivery_id", "complications")
     at_risk = F.col("_by_age") | F.col("_by_pressure")
     # Patients at risk whatever their deliveries keep a row without one; the
-    # others need a delivery with complications.
+    # others need a delivery with complications. Again an inner join, and an
+    # anti join for the rest, because a left join cannot be split on its right.
     with_delivery = (readings.join(deliveries, "patient_id")
                      .filter(at_risk | E.has_text(F.col("complications"))))
     without = readings.filter(at_risk).join(
@@ -208,7 +212,7 @@ def _patient_counts(t: Tables, as_of: date | None) -> DataFrame:
 
 def _patient_groups(t: Tables, as_of: date | None) -> DataFrame:
     return t["patients"].select(
-        "patient_id", E.age_band(E.age_years(F.col("date_of_birth"), as_of)).alias("age_group"),
+        "patient_id", E.age_band(E.age_years(as_of)).alias("age_group"),
         "city", "state")
 
 
@@ -324,7 +328,8 @@ def appointment_split(t: Tables, as_of_ts: datetime | None = None, past_n: int =
     when = F.col("appointment_date")
     upcoming = skew.numbered(
         appointments.filter(when >= now), ["patient_id"],
-        [F.asc("appointment_date"), F.asc("appointment_id")], skew.hour_bucket(when), "position")
+        [F.asc("appointment_date"), F.asc("appointment_id")], skew.hour_bucket(when),
+        ["appointment_id"], "position")
     past = skew.first_per_key(
         appointments.filter(when < now), ["patient_id"],
         [F.desc("appointment_date"), F.desc("appointment_id")], past_n, position="position")
@@ -338,7 +343,7 @@ def deliveries_by_patient(t: Tables) -> DataFrame:
     return skew.numbered(
         t["delivery_information"], ["patient_id"],
         [F.desc("delivery_date"), F.desc("delivery_id")],
-        skew.day_bucket(F.col("delivery_date"), newest_first=True), "position")
+        skew.day_bucket(F.col("delivery_date"), newest_first=True), ["delivery_id"], "position")
 
 
 def with_overdue_band(df: DataFrame) -> DataFrame:
