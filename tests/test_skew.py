@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helpers import TODAY, hospital, patient
 from wardflow.functions import skew
-from wardflow.operators import features, profile, reports
+from wardflow.operators import features, profile, quality, reports
 
 START = datetime(2000, 1, 1)
 
@@ -58,8 +58,8 @@ def test_hot_keys_on_a_share_of_the_rows(spark):
 
 
 def test_split_is_whole(crowded):
-    cold, hot = skew.split_hot(crowded["vitals"], ["patient_id"], ["vital_id"], 100)
-    assert (cold.count(), hot.count()) == (606, 300)
+    split = skew.split_hot(crowded["vitals"], ["patient_id"], ["vital_id"], 100)
+    assert (split.cold.count(), split.hot.count(), split.listed.count()) == (606, 300, 1)
 
 
 @pytest.mark.parametrize("hot_rows", [1, 100, skew.HOT_ROWS])
@@ -94,10 +94,10 @@ def test_numbering_a_whole_table(spark):
 
 @pytest.mark.parametrize("hot_rows", [1, 100, skew.HOT_ROWS])
 def test_lag(crowded, hot_rows):
-    parts = skew.lagged_parts(
+    split = skew.lagged(
         crowded["vitals"], ["patient_id"], [F.asc("recorded_at"), F.asc("vital_id")],
         {"before": "vital_id"}, skew.hour_bucket(F.col("recorded_at")), ["vital_id"], hot_rows)
-    rows = [r for part in parts for r in part.collect()]
+    rows = split.whole().collect()
     groups = by_patient(rows, lambda r: (r.recorded_at, r.vital_id))
     assert len(rows) == 906
     for group in groups.values():
@@ -109,7 +109,7 @@ def test_latest_with_ties(crowded, hot_rows):
     def latest(rows):
         df = skew.latest_with_ties(crowded["vitals"], ["patient_id"], "recorded_at",
                                    ["vital_id"], rows)
-        return sorted(r.vital_id for r in df.collect())
+        return sorted(r.vital_id for r in df.whole().collect())
 
     assert latest(hot_rows) == latest(skew.HOT_ROWS)
     assert len(latest(hot_rows)) == 2 * 102
@@ -147,32 +147,58 @@ def test_profile_of_a_patient_without_entries(spark):
     assert profile.patient_profile(t, "B").count() == 0
 
 
-def test_hot_key_join_is_split(spark, tmp_path):
-    """The join of a report splits the partition of a patient with most rows."""
-    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1",
-                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
-                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
-                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
-                "spark.sql.adaptive.coalescePartitions.enabled": "false"}
-    before = {k: spark.conf.get(k) for k in settings}
-    visits = (spark.range(30_000).select(
-        F.col("id").alias("visit_id"),
-        F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("p"), F.col("id")))
-        .alias("patient_id"),
-        F.lit(date(2001, 1, 1)).alias("visit_date"), F.lit(True).alias("follow_up_required"),
-        F.date_add(F.lit(date(2001, 2, 1)), (F.col("id") % 300).cast("int"))
-        .alias("follow_up_date")))
-    visits.repartition(16).write.parquet(f"{tmp_path}/visits")
-    visits = spark.read.parquet(f"{tmp_path}/visits")
-    patients = visits.select("patient_id").distinct().select(
-        "patient_id", F.lit("Pat").alias("first_name"), F.lit("X").alias("last_name"),
-        F.lit(None).cast("string").alias("phone"), F.lit(None).cast("string").alias("email"))
-    try:
-        for key, value in settings.items():
-            spark.conf.set(key, value)
-        df = reports.missed_follow_ups({"patients": patients, "follow_up_visits": visits}, TODAY)
-        assert len(df.collect()) == 30_000
-        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for key, value in before.items():
+@pytest.fixture
+def settings(spark):
+    """Sets session options for one test."""
+    before = {}
+
+    def put(**values):
+        for key, value in values.items():
+            key = "spark.sql." + key.replace("__", ".")
+            before.setdefault(key, spark.conf.get(key))
             spark.conf.set(key, value)
+
+    yield put
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def final_plan(df) -> str:
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text.split("== Initial Plan ==")[0]
+
+
+def test_hot_key_of_a_plain_join_is_split(spark, tmp_path, settings):
+    """Adaptive execution splits the partition of a patient with most of a feed."""
+    settings(autoBroadcastJoinThreshold="-1", files__maxPartitionBytes="64KB",
+             files__openCostInBytes="64KB", adaptive__coalescePartitions__enabled="false",
+             adaptive__skewJoin__skewedPartitionThresholdInBytes="4KB",
+             adaptive__skewJoin__skewedPartitionFactor="1.5",
+             adaptive__advisoryPartitionSizeInBytes="4KB")
+    raw = spark.range(30_000).select(
+        F.col("id").alias("row_id"),
+        F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("p"), F.col("id")))
+        .alias("patient_id"), F.lit("36.6").alias("temperature"))
+    raw.repartition(16).write.parquet(f"{tmp_path}/raw")
+    raw = spark.read.parquet(f"{tmp_path}/raw")
+    checked = quality.check_vitals(raw, raw.select("patient_id").distinct())
+    plan = final_plan(quality.check_vitals(raw, spark.createDataFrame([("hot",)], "patient_id string")))
+    assert "skew=true" in plan
+    assert quality.accepted(checked).count() == 30_000
+
+
+def test_hot_patients_are_joined_by_broadcast(crowded, settings):
+    settings(autoBroadcastJoinThreshold="-1")
+    visits = crowded["appointments"].select(
+        F.col("appointment_id").alias("visit_id"), "patient_id",
+        F.col("appointment_date").cast("date").alias("visit_date"),
+        F.lit(True).alias("follow_up_required"),
+        F.lit(date(2001, 6, 1)).alias("follow_up_date"))
+    t = {**crowded, "follow_up_visits": visits}
+    hot = reports.missed_follow_ups(t, TODAY, hot_rows=100)
+    assert hot.count() == 906
+    assert final_plan(hot).count("BroadcastHashJoin [patient_id") == 4
+    # With no hot patient, nothing of that part is left in the plan.
+    plan = final_plan(reports.missed_follow_ups(t, TODAY))
+    assert "BroadcastHashJoin" not in plan and "Union" not in plan

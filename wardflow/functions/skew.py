@@ -1,20 +1,24 @@
 """Per-key operations that hold when one key owns a large part of the rows.
 
-Aggregations combine before the shuffle and need no help. Window functions do:
-a window puts every row of its key in one task. Two cases are covered here.
+Aggregations combine before the shuffle and need no help. A plain join of two
+tables is split by adaptive execution, but only if both sides come straight
+from a shuffle, and a window puts every row of its key in one task. Here:
 
 * Top-n per key filters on the rank, which Spark applies before the shuffle as
-  well, so each task sends at most n rows (plus ties) per key.
-* Full numbering and ``lag`` need every row. Keys with very many rows are found
-  first, cut into ordered buckets (an hour, a range of ids), and the buckets
-  are joined up again. All other keys take the ordinary window.
+  well, so each task sends at most n rows per key.
+* For the rest, keys with very many rows are found first. Their rows meet the
+  few matching parents by a broadcast join, and are numbered or lagged in
+  ordered buckets (an hour, a range of ids) that are joined up again. All other
+  keys take the ordinary join or window.
 
 Which keys are treated as hot never changes a result, only where the work runs.
+If there are none, adaptive execution drops that part of the plan.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +36,31 @@ _BEFORE = "_rows_before"
 _LAST_BUCKET = 2 ** 62
 
 
+@dataclass(frozen=True)
+class Split:
+    """Rows of ordinary keys, rows of hot keys, and the list of the hot keys."""
+
+    cold: DataFrame
+    hot: DataFrame
+    listed: DataFrame
+
+    def map(self, change: Callable[[DataFrame], DataFrame]) -> Split:
+        return Split(change(self.cold), change(self.hot), self.listed)
+
+    def whole(self) -> DataFrame:
+        return self.cold.unionByName(self.hot)
+
+    def join(self, parent: DataFrame, key: str, unique: bool = True) -> DataFrame:
+        """Inner join to a parent table.
+
+        A parent with unique keys has at most one row per listed key, which
+        bounds what is broadcast. Otherwise Spark chooses by the size it finds.
+        """
+        few = parent.join(F.broadcast(self.listed), key, "left_semi")
+        return self.cold.join(parent, key).unionByName(
+            self.hot.join(F.broadcast(few) if unique else few, key))
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
                   n: int = 1, position: str | None = None) -> DataFrame:
     """The first ``n`` rows of each key in the given order, which must be unique.
@@ -45,20 +74,19 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 
 def latest_with_ties(df: DataFrame, keys: Sequence[str], moment: str, unique: Sequence[str],
-                     hot_rows: int = HOT_ROWS) -> DataFrame:
+                     hot_rows: int = HOT_ROWS) -> Split:
     """All rows of each key that share its latest ``moment``.
 
     Any number of rows may share it, for instance copies of one row. So a hot
-    key's latest moment comes from an aggregation, and its rows from a join on
-    key and moment, which can be split.
+    key's latest moment comes from an aggregation, and its rows from a join.
     """
-    keys = list(keys)
-    cold, hot = split_hot(df, keys, unique, hot_rows)
+    split = split_hot(df, keys, unique, hot_rows)
     window = Window.partitionBy(*keys).orderBy(F.desc(moment))
-    cold = (cold.withColumn("_place", F.rank().over(window)).filter(F.col("_place") == 1)
+    cold = (split.cold.withColumn("_place", F.rank().over(window)).filter(F.col("_place") == 1)
             .drop("_place"))
-    latest = hot.groupBy(*keys).agg(F.max(moment).alias(moment))
-    return cold.unionByName(hot.join(latest, [*keys, moment]).select(*df.columns))
+    # One row per listed key.
+    latest = F.broadcast(split.hot.groupBy(*keys).agg(F.max(moment).alias(moment)))
+    return Split(cold, split.hot.join(latest, [*keys, moment]).select(*df.columns), split.listed)
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], unique: Sequence[str],
@@ -80,11 +108,12 @@ def hot_keys(df: DataFrame, keys: Sequence[str], unique: Sequence[str],
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], unique: Sequence[str],
-              hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """``df`` as (ordinary keys, hot keys); together they are all its rows."""
-    hot = F.broadcast(hot_keys(df, keys, unique, hot_rows))
+              hot_rows: int = HOT_ROWS) -> Split:
+    """``df`` by ordinary and hot keys; the two parts are all its rows."""
+    listed = hot_keys(df, keys, unique, hot_rows)
     keys = list(keys)
-    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
+    return Split(df.join(F.broadcast(listed), keys, "left_anti"),
+                 df.join(F.broadcast(listed), keys, "left_semi"), listed)
 
 
 def hour_bucket(moment: Column, newest_first: bool = False) -> Column:
@@ -111,9 +140,9 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket
     ``bucket`` must not decrease along ``order``; with a unique order the
     result is the same whichever keys are hot.
     """
-    cold, hot = split_hot(df, keys, unique, hot_rows)
-    return number_whole(cold, keys, order, name).unionByName(
-        number_by_bucket(hot, keys, order, bucket, name))
+    split = split_hot(df, keys, unique, hot_rows)
+    return number_whole(split.cold, keys, order, name).unionByName(
+        number_by_bucket(split.hot, keys, order, bucket, name))
 
 
 def number_whole(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
@@ -144,31 +173,28 @@ def number_by_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[Column]
             .select(*df.columns, name))
 
 
-def lagged_parts(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-                 lags: dict[str, str], bucket: Column, unique: Sequence[str],
-                 hot_rows: int = HOT_ROWS) -> list[DataFrame]:
-    """``df`` with the previous row's values, as parts to be unioned.
+def lagged(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
+           lags: dict[str, str], bucket: Column, unique: Sequence[str],
+           hot_rows: int = HOT_ROWS) -> Split:
+    """``df`` with values of the previous row of the same key.
 
-    ``lags`` maps each new column to the column it is taken from. The parts are
-    returned apart so that a join on the key can reuse the first part's
-    partitioning before the union.
+    ``lags`` maps each new column to the column it is taken from.
     """
-    keys = list(keys)
-    cold, hot = split_hot(df, keys, unique, hot_rows)
+    split = split_hot(df, keys, unique, hot_rows)
     whole = Window.partitionBy(*keys).orderBy(*order)
     take = {new: F.lag(old).over(whole) for new, old in lags.items()}
 
-    hot = hot.withColumn(_BUCKET, bucket)
+    cut = split.hot.withColumn(_BUCKET, bucket)
     local = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
-    hot = hot.withColumns({
+    cut = cut.withColumns({
         **{new: F.lag(old).over(local) for new, old in lags.items()},
         "_first": F.row_number().over(local) == 1,
         "_last": F.lead(F.lit(1)).over(local).isNull(),
     })
     # The row before a bucket's first row is the last row of an earlier bucket,
     # so the first and last rows alone give the remaining values.
-    edges = hot.filter(F.col("_first") | F.col("_last")).withColumns(take)
+    edges = cut.filter(F.col("_first") | F.col("_last")).withColumns(take)
     columns = [*df.columns, *lags]
-    return [cold.withColumns(take),
-            hot.filter(~F.col("_first")).select(*columns),
-            edges.filter("_first").select(*columns)]
+    hot = (cut.filter(~F.col("_first")).select(*columns)
+           .unionByName(edges.filter("_first").select(*columns)))
+    return Split(split.cold.withColumns(take), hot, split.listed)

@@ -88,7 +88,7 @@ def risk_features(t: Tables, as_of: date | None = None,
              .select("patient_id",
                      E.age_years(as_of).alias("age")))
     latest = (skew.latest_with_ties(_vitals(t), ["patient_id"], "recorded_at", ["vital_id"],
-                                    hot_rows)
+                                    hot_rows).whole()
               .groupBy("patient_id", *READINGS).agg(F.count(F.lit(1)).alias("_readings")))
     deliveries = t["delivery_information"].groupBy("patient_id").agg(
         F.expr("count_if(coalesce(complications, '') = '')").alias("_outcome_0"),
@@ -140,13 +140,15 @@ FOLLOWUP_NUMBERS = ["age", "has_address", "has_phone", "has_email", "has_insuran
                     "days_between_visits"]
 
 
-def followup_features(t: Tables, as_of: date | None = None) -> DataFrame:
+def followup_features(t: Tables, as_of: date | None = None,
+                      hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """One training row per follow-up visit, labelled if it was missed."""
     patients = _contact_features(t, as_of).na.fill(UNKNOWN, ["gender"]).join(
         last_visit_per_patient(t), "patient_id")
     visits = t["follow_up_visits"].select("patient_id", "visit_id", "visit_date",
                                           "follow_up_required", "follow_up_date")
-    return visits.join(patients, "patient_id").select(
+    split = skew.split_hot(visits, ["patient_id"], ["visit_id"], hot_rows)
+    return split.join(patients, "patient_id").select(
         "patient_id", "visit_id", "age", "gender", "has_address", "has_phone", "has_email",
         "has_insurance", F.datediff("follow_up_date", "visit_date").alias("days_between_visits"),
         E.flag(missed_condition(as_of)).alias("missed_followup"))
@@ -172,19 +174,13 @@ def vitals_lag_features(t: Tables, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """
     patients = t["patients"].select("patient_id", "date_of_birth",
                                     F.coalesce("gender", F.lit(UNKNOWN)).alias("gender"))
-    parts = skew.lagged_parts(
-        _vitals(t), ["patient_id"], [F.asc("recorded_at"), F.asc("vital_id")], PREVIOUS,
-        skew.hour_bucket(F.col("recorded_at")), ["vital_id"], hot_rows)
     age = E.years_between("date_of_birth", "recorded_at")
-    parts = [
-        part.dropna(subset=NEEDED_PREVIOUS).join(patients, "patient_id")
-        .select("patient_id", "vital_id", "recorded_at", "gender",
-                age.alias("age_at_recording"), *PREVIOUS, "blood_pressure_systolic")
-        for part in parts]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows
+    return (skew.lagged(_vitals(t), ["patient_id"], [F.asc("recorded_at"), F.asc("vital_id")],
+                        PREVIOUS, skew.hour_bucket(F.col("recorded_at")), ["vital_id"], hot_rows)
+            .map(lambda rows: rows.dropna(subset=NEEDED_PREVIOUS))
+            .join(patients, "patient_id")
+            .select("patient_id", "vital_id", "recorded_at", "gender",
+                    age.alias("age_at_recording"), *PREVIOUS, "blood_pressure_systolic"))
 
 
 def vitals_features_serving(t: Tables, as_of: date | None = None) -> DataFrame:

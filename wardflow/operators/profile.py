@@ -43,10 +43,9 @@ def _list(section: str) -> Column:
     return F.transform(placed, lambda e: e[section]).alias(section)
 
 
-def _pages(placed: DataFrame, patients: DataFrame, page_size: int) -> DataFrame:
-    pages = (placed.withColumn("page", F.floor((F.col("_place") - 1) / page_size))
-             .groupBy("patient_id", "page").agg(*[_list(s) for s in SECTIONS]))
-    return pages.join(patients, "patient_id").select(*patients.columns, "page", *SECTIONS)
+def _pages(placed: DataFrame, page_size: int) -> DataFrame:
+    return (placed.withColumn("page", F.floor((F.col("_place") - 1) / page_size))
+            .groupBy("patient_id", "page").agg(*[_list(s) for s in SECTIONS]))
 
 
 def patient_profile(t: Tables, patient_id: str | None = None, page_size: int = 1000,
@@ -73,8 +72,9 @@ def patient_profile(t: Tables, patient_id: str | None = None, page_size: int = 1
                                       allowMissingColumns=True)
     keys = ["patient_id", "_section"]
     order = [F.asc("_hour"), F.desc("_moment"), F.asc("_number")]
-    cold, hot = skew.split_hot(entries, ["patient_id"], ["_section", "_number"], hot_rows)
+    split = skew.split_hot(entries, ["patient_id"], ["_section", "_number"], hot_rows)
     # One shuffle by patient serves the numbering, the grouping and the join.
-    placed = skew.number_whole(cold.repartition("patient_id"), keys, order, "_place")
-    cut = skew.number_by_bucket(hot, keys, order, F.col("_hour"), "_place")
-    return _pages(placed, patients, page_size).unionByName(_pages(cut, patients, page_size))
+    whole = skew.number_whole(split.cold.repartition("patient_id"), keys, order, "_place")
+    cut = skew.number_by_bucket(split.hot, keys, order, F.col("_hour"), "_place")
+    return (skew.Split(_pages(whole, page_size), _pages(cut, page_size), split.listed)
+            .join(patients, "patient_id").select(*patients.columns, "page", *SECTIONS))

@@ -26,14 +26,14 @@ def _high_risk_rows(t: Tables, as_of: date | None, hot_rows: int = skew.HOT_ROWS
     patients = t["patients"].select(
         "patient_id", E.full_name().alias("patient_name"), "date_of_birth",
         E.age_years(as_of).alias("age"))
-    # A row without a reading ranks last, so it stands where there is no other.
-    # The join can then be an inner one, which can be split on either side.
+    # A row without a reading ranks last, so it stands where there is no other
+    # and the join can be an inner one.
     vitals = (t["vitals"].select("patient_id", "vital_id", "recorded_at",
                                  "blood_pressure_systolic", "blood_pressure_diastolic")
               .unionByName(t["patients"].select("patient_id"), allowMissingColumns=True))
     latest = skew.latest_with_ties(vitals, ["patient_id"], "recorded_at", ["vital_id"],
                                    hot_rows)
-    readings = (patients.join(latest, "patient_id")
+    readings = (latest.join(patients, "patient_id")
                 .withColumn("_by_age", F.coalesce(F.col("age") > E.RISK_AGE, F.lit(False)))
                 .withColumn("_by_pressure", E.high_pressure()))
     deliveries = t["delivery_information"].select("patient_id", "delivery_id", "complications")
@@ -41,7 +41,8 @@ def _high_risk_rows(t: Tables, as_of: date | None, hot_rows: int = skew.HOT_ROWS
     # Patients at risk whatever their deliveries keep a row without one; the
     # others need a delivery with complications. Again an inner join, and an
     # anti join for the rest, because a left join cannot be split on its right.
-    with_delivery = (readings.join(deliveries, "patient_id")
+    with_delivery = (skew.split_hot(deliveries, ["patient_id"], ["delivery_id"], hot_rows)
+                     .join(readings, "patient_id", unique=False)
                      .filter(at_risk | E.has_text(F.col("complications"))))
     without = readings.filter(at_risk).join(
         deliveries.select("patient_id").distinct(), "patient_id", "left_anti")
@@ -91,23 +92,23 @@ def missed_condition(as_of: date | None) -> Column:
             & (F.col("_last_visit") <= F.col("follow_up_date")))
 
 
-def _missed_rows(t: Tables, as_of: date | None) -> DataFrame:
+def _missed_rows(t: Tables, as_of: date | None, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     due = (t["follow_up_visits"]
            .filter(F.col("follow_up_required") & (F.col("follow_up_date") < E.today(as_of)))
            .select("patient_id", "visit_id", "visit_date", "follow_up_required",
                    "follow_up_date"))
-    # Both sides of this join have one row per patient; only the visits can be
-    # skewed, and they meet it in one inner join.
     patients = (t["patients"]
                 .select("patient_id", E.full_name().alias("patient_name"), "phone", "email")
                 .join(last_visit_per_patient(t), "patient_id"))
-    return (due.join(patients, "patient_id").filter(missed_condition(as_of))
+    return (skew.split_hot(due, ["patient_id"], ["visit_id"], hot_rows)
+            .join(patients, "patient_id").filter(missed_condition(as_of))
             .withColumn("days_overdue", F.datediff(E.today(as_of), "follow_up_date")))
 
 
-def missed_follow_ups(t: Tables, as_of: date | None = None) -> DataFrame:
+def missed_follow_ups(t: Tables, as_of: date | None = None,
+                      hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """Required follow-ups that were due and never kept, longest overdue first."""
-    return (_missed_rows(t, as_of)
+    return (_missed_rows(t, as_of, hot_rows)
             .orderBy(F.desc("days_overdue"), "patient_id", "visit_id")
             .select("patient_id", "patient_name", "phone", "email",
                     F.col("visit_date").alias("last_visit_date"),
@@ -192,22 +193,25 @@ def delivery_methods(t: Tables) -> DataFrame:
 # -- demographics -------------------------------------------------------------
 
 def _patient_counts(t: Tables, as_of: date | None) -> DataFrame:
-    """One row per patient: group, joined row count, deliveries.
+    """One row per patient: group, joined row count, deliveries of all time and of
+    the month.
 
     ``patient_count`` counts rows of patient x condition x delivery. The
     product of two counts gives that number without forming the rows.
     """
     conditions = (t["medical_history"].groupBy("patient_id")
                   .agg(F.count(F.lit(1)).alias("_conditions")))
+    this_month = F.trunc("delivery_date", "month") == F.trunc(E.today(as_of), "month")
     deliveries = (t["delivery_information"].groupBy("patient_id")
-                  .agg(F.count("delivery_id").alias("_deliveries")))
+                  .agg(F.count("delivery_id").alias("_deliveries"),
+                       F.count_if(this_month).alias("_this_month")))
     at_least_one = [F.greatest(F.coalesce(c, F.lit(1)), F.lit(1))
                     for c in ("_conditions", "_deliveries")]
     return (_patient_groups(t, as_of)
             .join(conditions, "patient_id", "left")
             .join(deliveries, "patient_id", "left")
             .withColumn("_rows", at_least_one[0] * at_least_one[1])
-            .withColumn("_deliveries", F.coalesce("_deliveries", F.lit(0))))
+            .na.fill(0, ["_deliveries", "_this_month"]))
 
 
 def _patient_groups(t: Tables, as_of: date | None) -> DataFrame:
@@ -260,15 +264,13 @@ def dashboard_totals(t: Tables, as_of: date | None = None) -> DataFrame:
     ``deliveries`` are all deliveries; ``deliveries_this_month`` are those in
     the month of the reference date.
     """
-    this_month = (F.trunc("delivery_date", "month") == F.trunc(E.today(as_of), "month"))
     # Every part is one row that fills its own columns.
     parts = [
         _patient_counts(t, as_of).agg(F.sum("_rows").alias("total_patients"),
-                                      F.sum("_deliveries").alias("deliveries")),
+                                      F.sum("_deliveries").alias("deliveries"),
+                                      F.sum("_this_month").alias("deliveries_this_month")),
         _high_risk_rows(t, as_of).agg(F.count(F.lit(1)).alias("high_risk")),
         _missed_rows(t, as_of).agg(F.count(F.lit(1)).alias("missed_follow_ups")),
-        t["delivery_information"].join(t["patients"].select("patient_id"), "patient_id")
-        .agg(F.count_if(this_month).alias("deliveries_this_month")),
     ]
     union = parts[0]
     for part in parts[1:]:

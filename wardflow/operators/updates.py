@@ -154,4 +154,4 @@ def partial_update(patients: DataFrame, changes: DataFrame,
 
 def delete_by_key(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The table without the rows whose key is listed."""
-    return table.join(keys.select(key).distinct(), key, "left_anti")
+    return table.join(keys.select(key), key, "left_anti")
