@@ -85,11 +85,13 @@ def test_numbering_with_missing_dates(crowded, hot_rows):
         assert [r.place for r in rows] == list(range(1, len(rows) + 1))
 
 
-def test_numbering_a_whole_table(spark):
-    df = skew.number_by_bucket(spark.range(0, 3000, 7), [], [F.asc("id")],
-                               skew.id_bucket(F.col("id"), 100), "place")
-    rows = df.orderBy("id").collect()
-    assert [r.place for r in rows] == list(range(1, len(rows) + 1))
+@pytest.mark.parametrize("width", [10, skew.HOT_ROWS])
+def test_numbering_a_whole_table(spark, width):
+    ids = [*range(-50, 3000, 7), 10 ** 6, 2 ** 62]
+    df = skew.number_table(spark.createDataFrame([(i,) for i in ids], "id bigint"), "id",
+                           "place", width)
+    assert [(r.id, r.place) for r in df.orderBy("id").collect()] == [
+        (i, n) for n, i in enumerate(ids, start=1)]
 
 
 @pytest.mark.parametrize("hot_rows", [1, 100, skew.HOT_ROWS])

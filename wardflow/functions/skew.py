@@ -157,7 +157,6 @@ def number_by_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[Column]
     """Number the rows of each key bucket by bucket.
 
     Each row adds its place in its bucket to the size of the earlier buckets.
-    Without ``keys`` the whole table is numbered.
     """
     cut = df.withColumn(_BUCKET, bucket)
     local = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
@@ -173,6 +172,32 @@ def number_by_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[Column]
             .select(*df.columns, name))
 
 
+def number_table(df: DataFrame, number: str, name: str, width: int = HOT_ROWS) -> DataFrame:
+    """Number all rows from 1 along a unique whole number.
+
+    A bucket holds ``width`` numbers and a range ``width`` buckets, so however
+    the numbers lie, no task orders more than ``width`` rows, except for one
+    with a row per range.
+    """
+    cut = df.withColumn(_BUCKET, id_bucket(F.col(number), width))
+    sizes = (cut.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("_rows"))
+             .withColumn("_range", id_bucket(F.col(_BUCKET), width)))
+
+    def earlier(window: Window) -> Column:
+        window = window.rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_rows").over(window), F.lit(0))
+
+    ranges = (sizes.groupBy("_range").agg(F.sum("_rows").alias("_rows"))
+              .select("_range", earlier(Window.orderBy("_range")).alias("_before_range")))
+    within = earlier(Window.partitionBy("_range").orderBy(_BUCKET))
+    before = (sizes.withColumn(_BEFORE, within).join(ranges, "_range")
+              .select(_BUCKET, (F.col(_BEFORE) + F.col("_before_range")).alias(_BEFORE)))
+    local = Window.partitionBy(_BUCKET).orderBy(number)
+    return (cut.withColumn(name, F.row_number().over(local)).join(before, _BUCKET)
+            .withColumn(name, F.col(name) + F.col(_BEFORE))
+            .select(*df.columns, name))
+
+
 def lagged(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
            lags: dict[str, str], bucket: Column, unique: Sequence[str],
            hot_rows: int = HOT_ROWS) -> Split:

@@ -38,9 +38,8 @@ def _entries(child: DataFrame, section: str) -> DataFrame:
 
 def _list(section: str) -> Column:
     """The entries of a section on one page, in their order."""
-    placed = F.sort_array(F.collect_list(
-        F.when(F.col(section).isNotNull(), F.struct("_place", section))))
-    return F.transform(placed, lambda e: e[section]).alias(section)
+    entry = f"CASE WHEN {section} IS NOT NULL THEN struct(_place, {section}) END"
+    return F.expr(f"sort_array(collect_list({entry})).{section}").alias(section)
 
 
 def _pages(placed: DataFrame, page_size: int) -> DataFrame:

@@ -39,9 +39,7 @@ def append_vitals(accepted: DataFrame, vitals: DataFrame, as_of_ts: datetime | N
     one in use, in the order of the unique whole number ``arrival``, so a
     repeated run gives the same ids.
     """
-    number = F.col(arrival)
-    placed = skew.number_by_bucket(accepted, [], [F.asc(arrival)], skew.id_bucket(number),
-                                   "_place")
+    placed = skew.number_table(accepted, arrival, "_place")
     highest = vitals.agg(F.coalesce(F.max("vital_id"), F.lit(0)).alias("id")).scalar()
     sent = F.col("recorded_at") if "recorded_at" in accepted.columns else F.lit(None)
     values = {"vital_id": highest + F.col("_place"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime
+from functools import lru_cache
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -75,7 +76,7 @@ def _order_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _check_vitals_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = HospitalTables(spark, sf_dir)
+    t = tables(spark, sf_dir)
     checked = feed.validate_vitals_stream(_order_stream(spark, sf_dir, "raw_vitals"),
                                           t["patients"])
     out = run_dir(spark, "checked-vitals")
@@ -127,8 +128,14 @@ MODELS = {
 }
 
 
+@lru_cache(maxsize=8)
+def tables(spark: SparkSession, sf_dir: str) -> HospitalTables:
+    """The tables of a test folder, opened once per session."""
+    return HospitalTables(tune(spark), sf_dir)
+
+
 def _over(build: Callable[[HospitalTables], DataFrame]) -> Query:
-    return lambda spark, sf_dir: build(HospitalTables(tune(spark), sf_dir))
+    return lambda spark, sf_dir: build(tables(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:

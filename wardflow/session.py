@@ -19,11 +19,17 @@ _SETTINGS = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
+PARTITIONS_PER_CORE = 8
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the settings the caller has not chosen; returns the session."""
     chosen = set(spark.conf.getAll)
-    for key, value in _SETTINGS.items():
+    # Enough partitions for the cores of the cluster; adaptive execution merges
+    # those that turn out small.
+    partitions = {"spark.sql.shuffle.partitions":
+                  str(PARTITIONS_PER_CORE * spark.sparkContext.defaultParallelism)}
+    for key, value in (_SETTINGS | partitions).items():
         if key not in chosen:
             spark.conf.set(key, value)
     return spark
