@@ -53,6 +53,10 @@ def test_time_sent_as_null_is_refused(spark):
         "row_id int, patient_id string, recorded_at timestamp_ntz, has_recorded_at boolean")
     found = reasons(Q.check_vitals(raw, table(spark, "patients", [patient("A", BORN)])))
     assert found == {1: "Invalid recorded_at value", 2: None, 3: None}
+    text = spark.createDataFrame([(1, "A", "2001-01-01 10:00:00"), (2, "A", "yesterday")],
+                                 "row_id int, patient_id string, recorded_at string")
+    found = reasons(Q.check_vitals(text, table(spark, "patients", [patient("A", BORN)])))
+    assert found == {1: None, 2: "Invalid recorded_at value"}
 
 
 def test_unchecked_readings_must_fit_the_table(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,6 +35,13 @@ def _today(as_of: date | None) -> str:
     return "current_date()" if as_of is None else f"DATE '{as_of:%Y-%m-%d}'"
 
 
+def now(as_of_ts: datetime | None) -> Column:
+    """The reference time without a time zone; the current time when none is given."""
+    if as_of_ts is None:
+        return F.localtimestamp()
+    return F.expr(f"TIMESTAMP_NTZ '{as_of_ts:%Y-%m-%d %H:%M:%S.%f}'")
+
+
 def years_between(start: str, end: str) -> Column:
     """Completed years from one date to another, both given as SQL text.
 

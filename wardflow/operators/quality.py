@@ -59,11 +59,11 @@ def _reading_checks(column: str) -> list[tuple[Column, str]]:
 
 
 def _storage_checks(columns: list[str]) -> list[tuple[Column, str]]:
-    """Faults the table itself refuses: a NULL time, text that is no number."""
+    """Faults the table itself refuses: no time, or text that is no number."""
     types = {f.name: f.dataType for f in TABLES["vitals"].schema}
     checks = []
     if "recorded_at" in columns:
-        missing = F.col("recorded_at").isNull()
+        missing = F.col("recorded_at").try_cast("timestamp_ntz").isNull()
         if "has_recorded_at" in columns:
             missing &= F.col("has_recorded_at")
         checks.append((missing, "Invalid recorded_at value"))
@@ -79,7 +79,7 @@ def check_vitals(raw: DataFrame, patients: DataFrame) -> DataFrame:
     """Raw vitals with the reason of the first failed check, or NULL.
 
     The feed holds text as sent, so that "72.5" is refused as a heart rate. A
-    ``recorded_at`` column that is NULL was sent as NULL and is refused, unless
+    ``recorded_at`` that is NULL was sent as NULL and is refused, unless
     a ``has_recorded_at`` column says the field was not sent. Stateless, so the
     feed may be a stream.
     """

@@ -1,7 +1,9 @@
 """The reports: risk, follow-up, vitals, delivery, demographic and list views.
 
 Every function takes the hospital tables as a mapping of name to DataFrame.
-``as_of`` is the reference date; None means the current date.
+``as_of`` is the reference date; None means the current date. ``ordered=False``
+leaves out the final sort of a report, which on a large result costs a second
+evaluation to sample its range partitions.
 """
 
 from __future__ import annotations
@@ -26,27 +28,24 @@ def _high_risk_rows(t: Tables, as_of: date | None, hot_rows: int = skew.HOT_ROWS
     patients = t["patients"].select(
         "patient_id", E.full_name().alias("patient_name"), "date_of_birth",
         E.age_years(as_of).alias("age"))
-    # A row without a reading ranks last, so it stands where there is no other
-    # and the join can be an inner one.
-    vitals = (t["vitals"].select("patient_id", "vital_id", "recorded_at",
-                                 "blood_pressure_systolic", "blood_pressure_diastolic")
-              .unionByName(t["patients"].select("patient_id"), allowMissingColumns=True))
-    latest = skew.latest_with_ties(vitals, ["patient_id"], "recorded_at", ["vital_id"],
-                                   hot_rows)
+    keys = t["patients"].select("patient_id")
+    # Left joins become inner ones, which hold for a hot patient: a row without
+    # a reading stands where there is no reading (it ranks last), and a row
+    # without a delivery where there is no delivery.
+    vitals = t["vitals"].select("patient_id", "vital_id", "recorded_at",
+                                "blood_pressure_systolic", "blood_pressure_diastolic")
+    latest = skew.latest_with_ties(vitals.unionByName(keys, allowMissingColumns=True),
+                                   ["patient_id"], "recorded_at", ["vital_id"], hot_rows)
     readings = (latest.join(patients, "patient_id")
                 .withColumn("_by_age", F.coalesce(F.col("age") > E.RISK_AGE, F.lit(False)))
                 .withColumn("_by_pressure", E.high_pressure()))
     deliveries = t["delivery_information"].select("patient_id", "delivery_id", "complications")
-    at_risk = F.col("_by_age") | F.col("_by_pressure")
-    # Patients at risk whatever their deliveries keep a row without one; the
-    # others need a delivery with complications. Again an inner join, and an
-    # anti join for the rest, because a left join cannot be split on its right.
-    with_delivery = (skew.split_hot(deliveries, ["patient_id"], ["delivery_id"], hot_rows)
-                     .join(readings, "patient_id", unique=False)
-                     .filter(at_risk | E.has_text(F.col("complications"))))
-    without = readings.filter(at_risk).join(
-        deliveries.select("patient_id").distinct(), "patient_id", "left_anti")
-    rows = with_delivery.unionByName(without, allowMissingColumns=True)
+    none = keys.join(deliveries.select("patient_id").distinct(), "patient_id", "left_anti")
+    rows = (skew.split_hot(deliveries.unionByName(none, allowMissingColumns=True),
+                           ["patient_id"], ["delivery_id"], hot_rows)
+            .join(readings, "patient_id", unique=False)
+            .filter(F.col("_by_age") | F.col("_by_pressure")
+                    | E.has_text(F.col("complications"))))
     category = (F.when(F.col("_by_age"), E.AGE_RISK)
                 .when(F.col("_by_pressure"), E.HYPERTENSION_RISK)
                 .otherwise(E.PREVIOUS_COMPLICATIONS))
@@ -57,7 +56,7 @@ def _high_risk_rows(t: Tables, as_of: date | None, hot_rows: int = skew.HOT_ROWS
     return rows.withColumns({"risk_category": category, "risk_rank": rank})
 
 
-def high_risk(t: Tables, as_of: date | None = None,
+def high_risk(t: Tables, as_of: date | None = None, ordered: bool = True,
               hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """Patients at risk by age, latest blood pressure or past complications.
 
@@ -65,12 +64,13 @@ def high_risk(t: Tables, as_of: date | None = None,
     names the first reason (age before pressure); ``risk_rank`` puts age with
     pressure first, then pressure, then age, and orders the result.
     """
-    # The ids spread the four ranks evenly over the sorted partitions.
-    return (_high_risk_rows(t, as_of, hot_rows)
-            .orderBy("risk_rank", "patient_id", "vital_id", "delivery_id")
-            .select("patient_id", "patient_name", "date_of_birth", "age",
-                    "blood_pressure_systolic", "blood_pressure_diastolic",
-                    "complications", "risk_category", "risk_rank"))
+    rows = _high_risk_rows(t, as_of, hot_rows)
+    if ordered:
+        # The ids spread the four ranks evenly over the sorted partitions.
+        rows = rows.orderBy("risk_rank", "patient_id", "vital_id", "delivery_id")
+    return rows.select("patient_id", "patient_name", "date_of_birth", "age",
+                       "blood_pressure_systolic", "blood_pressure_diastolic",
+                       "complications", "risk_category", "risk_rank")
 
 
 # -- missed follow-ups --------------------------------------------------------
@@ -105,14 +105,15 @@ def _missed_rows(t: Tables, as_of: date | None, hot_rows: int = skew.HOT_ROWS) -
             .withColumn("days_overdue", F.datediff(E.today(as_of), "follow_up_date")))
 
 
-def missed_follow_ups(t: Tables, as_of: date | None = None,
+def missed_follow_ups(t: Tables, as_of: date | None = None, ordered: bool = True,
                       hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """Required follow-ups that were due and never kept, longest overdue first."""
-    return (_missed_rows(t, as_of, hot_rows)
-            .orderBy(F.desc("days_overdue"), "patient_id", "visit_id")
-            .select("patient_id", "patient_name", "phone", "email",
-                    F.col("visit_date").alias("last_visit_date"),
-                    F.col("follow_up_date").alias("scheduled_follow_up"), "days_overdue"))
+    rows = _missed_rows(t, as_of, hot_rows)
+    if ordered:
+        rows = rows.orderBy(F.desc("days_overdue"), "patient_id", "visit_id")
+    return rows.select("patient_id", "patient_name", "phone", "email",
+                       F.col("visit_date").alias("last_visit_date"),
+                       F.col("follow_up_date").alias("scheduled_follow_up"), "days_overdue")
 
 
 # -- abnormal vitals ----------------------------------------------------------
@@ -146,13 +147,14 @@ def vitals_summary(vitals: DataFrame, min_count: int = 2) -> DataFrame:
     return summary.filter(F.greatest(*counts) >= min_count)
 
 
-def abnormal_vitals(t: Tables, min_count: int = 2) -> DataFrame:
+def abnormal_vitals(t: Tables, min_count: int = 2, ordered: bool = True) -> DataFrame:
     """Patients with repeated readings outside a limit, most such readings first."""
-    summary = vitals_summary(t["vitals"], min_count)
     names = t["patients"].select("patient_id", E.full_name().alias("patient_name"))
+    rows = names.join(vitals_summary(t["vitals"], min_count), "patient_id")
+    if not ordered:
+        return rows
     total = sum((F.col(c) for c in abnormal_counts()), F.lit(0))
-    return (names.join(summary, "patient_id")
-            .orderBy(total.desc(), "patient_id"))
+    return rows.orderBy(total.desc(), "patient_id")
 
 
 # -- delivery methods ---------------------------------------------------------
@@ -325,7 +327,7 @@ def recent_vitals(t: Tables, n: int = 5) -> DataFrame:
 
 def appointment_split(t: Tables, as_of_ts: datetime | None = None, past_n: int = 3) -> DataFrame:
     """Per patient all upcoming appointments, soonest first, and the last past ones."""
-    now = F.localtimestamp() if as_of_ts is None else F.lit(as_of_ts).cast("timestamp_ntz")
+    now = E.now(as_of_ts)
     appointments = t["appointments"]
     when = F.col("appointment_date")
     upcoming = skew.numbered(

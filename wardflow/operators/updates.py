@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardflow.functions import exprs as E
 from wardflow.functions import skew
 from wardflow.operators import quality as Q
 from wardflow.sources.schemas import TABLES
@@ -27,10 +28,6 @@ PATIENT_FIELDS = ("first_name", "last_name", "date_of_birth", "gender", "email",
 WIDE_ID_DIGITS = 32
 
 
-def _moment(as_of_ts: datetime | None) -> Column:
-    return F.localtimestamp() if as_of_ts is None else F.lit(as_of_ts).cast("timestamp_ntz")
-
-
 def append_vitals(accepted: DataFrame, vitals: DataFrame, as_of_ts: datetime | None = None,
                   arrival: str = "row_id") -> DataFrame:
     """Accepted vitals as new rows of the vitals table.
@@ -43,7 +40,7 @@ def append_vitals(accepted: DataFrame, vitals: DataFrame, as_of_ts: datetime | N
     highest = vitals.agg(F.coalesce(F.max("vital_id"), F.lit(0)).alias("id")).scalar()
     sent = F.col("recorded_at") if "recorded_at" in accepted.columns else F.lit(None)
     values = {"vital_id": highest + F.col("_place"),
-              "recorded_at": F.coalesce(sent.cast("timestamp_ntz"), _moment(as_of_ts))}
+              "recorded_at": F.coalesce(sent.cast("timestamp_ntz"), E.now(as_of_ts))}
     kept = {f.name: f.dataType for f in TABLES["vitals"].schema
             if f.name in values or f.name in accepted.columns}
     return placed.select(*[
@@ -77,7 +74,7 @@ def append_patients(accepted: DataFrame, patients: DataFrame, as_of_ts: datetime
     return drawn.join(clash, "patient_id", "left").select(
         F.when(F.col("_clash"), id_of(WIDE_ID_DIGITS)).otherwise(F.col("patient_id"))
         .alias("patient_id"),
-        *fields, _moment(as_of_ts).alias("created_at"), _moment(as_of_ts).alias("updated_at"))
+        *fields, E.now(as_of_ts).alias("created_at"), E.now(as_of_ts).alias("updated_at"))
 
 
 # -- partial update -----------------------------------------------------------
@@ -139,7 +136,7 @@ def apply_changes(patients: DataFrame, accepted: DataFrame,
     others = [c for c in patients.columns if c != "updated_at"]
     return patients.join(latest, "patient_id", "left").select(
         *[new(c).alias(c) if c in settable else F.col(c) for c in others],
-        F.when(differs, _moment(as_of_ts)).otherwise(stamp.cast("timestamp_ntz"))
+        F.when(differs, E.now(as_of_ts)).otherwise(stamp.cast("timestamp_ntz"))
         .alias("updated_at"))
 
 
