@@ -34,11 +34,6 @@ def _flag(condition: str, name: str) -> str:
     return f"CASE WHEN {condition} THEN 1 ELSE 0 END AS {name}"
 
 
-def _query(tables: str, body: str) -> str:
-    return f"{oracle_ctes(*tables.split())}{',' if body.startswith('STEP ') else ''}\n" \
-           f"{body.removeprefix('STEP ')}"
-
-
 def _latest(ties: bool) -> str:
     order = "recorded_at DESC" + ("" if ties else ", vital_id DESC")
     rank = "rank" if ties else "row_number"
@@ -295,7 +290,16 @@ _RISK_BAND = """CASE risk_category WHEN 'Age Risk' THEN 'warning' WHEN 'Hyperten
   WHEN 'Previous Complications' THEN 'danger' ELSE 'success' END AS risk_band"""
 
 
-def oracles() -> dict[str, str]:
+def oracles(derived: bool = True) -> dict[str, str]:
+    """The SQL by query name; without derivations it expects the hospital tables."""
+    def _query(tables: str, body: str) -> str:
+        # STEP marks a body that opens with WITH clauses of its own.
+        steps = body.startswith("STEP ")
+        body = body.removeprefix("STEP ")
+        if not derived:
+            return f"WITH {body}" if steps else body
+        return f"{oracle_ctes(*tables.split())}{',' if steps else ''}\n{body}"
+
     return {
         "high_risk": _query("patients vitals delivery_information",
                             _HIGH_RISK + "FROM high_risk"),
@@ -315,10 +319,10 @@ SELECT min(attending_doctor) AS attending_doctor, count(*) AS total_deliveries,
   {_mean('birth_weight')} AS avg_birth_weight
 FROM delivery_information GROUP BY lower(attending_doctor)"""),
         "demographics": _query("patients medical_history delivery_information", f"""STEP {_JOINED}
-SELECT age_group, city, state, count(*) AS patient_count,
+SELECT age_group, min(city) AS city, min(state) AS state, count(*) AS patient_count,
   count(DISTINCT condition_name) AS unique_conditions,
   count(DISTINCT delivery_id) AS delivery_count, count(DISTINCT patient_id) AS distinct_patients
-FROM joined GROUP BY age_group, city, state"""),
+FROM joined GROUP BY age_group, lower(city), lower(state)"""),
         "age_distribution": _query("patients medical_history delivery_information",
                                    f"""STEP {_JOINED}
 SELECT age_group, count(*) AS patient_count FROM joined GROUP BY age_group"""),
