@@ -126,10 +126,23 @@ def test_model_is_trained_once_and_reloaded(spark, tables, risk, tmp_path):
     first = M.fit_or_load(spark, path, train)
     second = M.fit_or_load(spark, path, train)
     assert len(calls) == 1
+    M.fit_or_load(spark, path, train, retrain=True)
+    assert len(calls) == 2
     a, b = (M.score_risk(tables, m, TODAY) for m in (first, second))
     assert not a.exceptAll(b).count()
 
 
+def test_only_absent_models_are_trained(spark, tables, risk, tmp_path, monkeypatch):
+    trained = []
+    for name in ("risk", "followup", "vitals"):
+        monkeypatch.setattr(M, f"train_{name}",
+                            lambda *args, name=name: trained.append(name) or risk)
+    risk.model.write().save(f"{tmp_path}/risk")
+    assert set(M.load_models(spark, tables, str(tmp_path), TODAY)) == {
+        "risk", "followup", "vitals"}
+    assert trained == ["followup", "vitals"]
+
+
 def test_too_few_rows_are_refused(spark):
     with pytest.raises(M.NotEnoughRows):
         M.train_risk(hospital(spark), TODAY)

@@ -220,13 +220,24 @@ def is_saved(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def fit_or_load(spark: SparkSession, path: str, train: Callable[[], Trained]) -> PipelineModel:
+def fit_or_load(spark: SparkSession, path: str, train: Callable[[], Trained],
+                retrain: bool = False) -> PipelineModel:
     """The model saved at ``path``; trained and saved there if there is none."""
-    if not is_saved(spark, path):
+    if retrain or not is_saved(spark, path):
         train().model.write().overwrite().save(path)
     return PipelineModel.load(path)
 
 
+def load_models(spark: SparkSession, t: Tables, folder: str, as_of: date | None = None,
+                retrain: bool = False) -> dict[str, PipelineModel]:
+    """All three models from one folder, those that are absent trained first."""
+    trainers = {"risk": lambda: train_risk(t, as_of),
+                "followup": lambda: train_followup(t, as_of),
+                "vitals": lambda: train_vitals(t)}
+    return {name: fit_or_load(spark, f"{folder}/{name}", train, retrain)
+            for name, train in trainers.items()}
+
+
 # -- scoring ------------------------------------------------------------------
 
 def _probability() -> Column:
