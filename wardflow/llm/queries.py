@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardflow.llm import line_cleaning, quality_rules
+from wardflow.llm import jaccard_join, line_cleaning, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,8 +30,13 @@ def op7_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[f"lines.{c}" for c in line_cleaning.FIELDS.names if c != "clean_text"])
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (jaccard_join.join_documents(_table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_shingles", "component_id"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_quality_rules, op7_line_cleaning)}
+    return {f.__name__: f for f in (op5_quality_rules, op7_line_cleaning, op10_jaccard_join)}
 
 
 def oracles() -> dict[str, str]:
