@@ -153,21 +153,23 @@ def _shingle_counts(docs: DataFrame, text: str, width: int, similarity: int) ->
                   .filter("sets > 1"), "shingle-counts")
 
 
-def _boundary(sets: DataFrame, counts: DataFrame, similarity: int) -> int:
+def _boundary(sets: DataFrame, counts: DataFrame, listed: np.ndarray, similarity: int) -> int:
     """Largest size at which sets are entered by pairs, chosen by cost.
 
     Up to the boundary a set costs an entry per pair of its first shingles, beyond
-    it an entry and a list's mean length per first shingle. Sizes are counted in
-    steps of an eighth, so the histogram is small.
+    it an entry and a list's mean length per first shingle. ``listed``: the counts
+    of the frequent shingles, which are put last and so make no lists. Sizes are
+    counted in steps of an eighth, so the histogram is small.
     """
     size = F.floor(F.pow(F.lit(2.0), F.floor(F.log2("n_shingles") * 6) / 6)).cast("long")
     histogram = (sets.filter("n_shingles > 0").groupBy(size.alias("size"))
                  .agg(F.count(F.lit(1)).alias("sets")).orderBy("size").collect())
     shared, scanned = counts.agg(F.sum("sets"), F.sum(F.col("sets") * F.col("sets"))).first()
+    steps = (scanned or 0) - (shared or 0) - int((listed * (listed - 1)).sum())
     prefix = [(r["size"], r["size"] - _least(r["size"], similarity) + 1, r["sets"])
               for r in histogram]
     entries = sum(p * c for _, p, c in prefix)
-    scan = 1 + ((scanned or 0) - (shared or 0)) / max(entries, 1)
+    scan = 1 + steps / max(entries, 1)
     pairs = [c * (p + 1) * p / 2 for _, p, c in prefix]
     lists = [c * p * scan for _, p, c in prefix]
     costs = [sum(pairs[:i]) + sum(lists[i:]) for i in range(len(prefix) + 1)]
@@ -321,11 +323,11 @@ def set_links(docs: DataFrame, sets: DataFrame, text: str = "text", width: int =
     two sets of one class may be connected through others.
     """
     counts = _shingle_counts(docs, text, width, similarity)
-    if boundary is None:
-        boundary = _boundary(sets, counts, similarity)
     often = (counts.filter(F.col("sets") >= frequent).orderBy(F.desc("sets"), "shingle")
              .limit(MAX_FREQUENT).toPandas())
     token = often["shingle"].to_numpy(np.int64).view(np.uint64)
+    if boundary is None:
+        boundary = _boundary(sets, counts, often["sets"].to_numpy(np.int64), similarity)
     by_hash = np.argsort(token)
     token = token[by_hash]
     order = np.empty(len(token), np.int64)
