@@ -281,33 +281,70 @@ def _member_sets(docs: DataFrame, text: str, width: int, members: DataFrame) ->
         slot = names[take].view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
         word = bits.value[(slot >> np.uint64(6)).astype(np.int64)]
         take = take[(word >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)]
-        return [names[take], [shingle[bounds[i]:bounds[i + 1]].tobytes() for i in take]]
+        own = [shingle[bounds[i]:bounds[i + 1]] for i in take]
+        return [names[take], [len(x) for x in own], [_parities(x) for x in own],
+                [x.tobytes() for x in own]]
 
-    rows = _each_set(docs, text, width, "set_id long, shingles binary",
-                     [pa.field("set_id", pa.int64()), pa.field("shingles", pa.binary())], emit)
+    rows = _each_set(docs, text, width, "set_id long, n int, bits binary, shingles binary",
+                     [pa.field("set_id", pa.int64()), pa.field("n", pa.int32()),
+                      pa.field("bits", pa.binary()), pa.field("shingles", pa.binary())], emit)
     return settle(rows.dropDuplicates(["set_id"]), "member-sets")
 
 
+def _parities(shingle: np.ndarray) -> bytes:
+    """Two to four bits a shingle: how often, odd or even, each low part occurs."""
+    size = 64 << int(len(shingle) // 32).bit_length()
+    return np.packbits(np.bincount((shingle & np.uint64(size - 1)).astype(np.int64),
+                                   minlength=size).astype(np.uint8) & 1).tobytes()
+
+
+def _differing(x: np.ndarray, y: np.ndarray) -> int:
+    """At most the number of shingles in one set only; the longer parities are folded."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) < len(y):
+        # packbits keeps the order of bits, so a fold joins equal low parts.
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs whose sets are similar enough, by their exact overlap."""
-    def run(batches):
+    """The pairs whose sets are similar enough, by their exact overlap.
+
+    Parity bits, a thirtieth of the shingles' size, rule out most others first.
+    """
+    def may_link(batches):
+        for batch in batches:
+            left, right = batch.column(2), batch.column(3)
+            total = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            apart = np.array([_differing(np.frombuffer(x.as_buffer(), np.uint8),
+                                         np.frombuffer(y.as_buffer(), np.uint8))
+                              for x, y in zip(left, right, strict=True)], np.int64)
+            keep = (100 + similarity) * apart <= (100 - similarity) * total.astype(np.int64)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    def link(batches):
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             left, right = batch.column(2), batch.column(3)
             for i in range(batch.num_rows):
-                x = np.frombuffer(left[i].as_buffer(), np.uint64)
-                y = np.frombuffer(right[i].as_buffer(), np.uint64)
-                both = np.concatenate((x, y))
+                both = np.concatenate((np.frombuffer(left[i].as_buffer(), np.uint64),
+                                       np.frombuffer(right[i].as_buffer(), np.uint64)))
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 keep[i] = 100 * common >= similarity * (len(both) - common)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    def side(name: str) -> DataFrame:
-        return sets.select(F.col("set_id").alias(name), F.col("shingles").alias(f"_{name}"))
+    def side(name: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("set_id").alias(name), *[F.col(c).alias(f"_{c}_{name}")
+                                                          for c in columns])
 
-    return settle(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_a", "_b")
-                  .mapInArrow(run, "a long, b long"), "links")
+    near = settle(pairs.join(side("a", "bits", "n"), "a").join(side("b", "bits", "n"), "b")
+                  .select("a", "b", "_bits_a", "_bits_b", "_n_a", "_n_b")
+                  .mapInArrow(may_link, "a long, b long"), "near-pairs")
+    return settle(near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
+                  .select("a", "b", "_shingles_a", "_shingles_b")
+                  .mapInArrow(link, "a long, b long"), "links")
 
 
 def _ordered(a: str, b: str) -> list[Column]:
