@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import BinaryType, LongType, StructType
 
 from wardflow.llm import words as W
 from wardflow.llm.components import components
@@ -51,7 +51,8 @@ FREQUENT = 8
 FILTER_BITS = 26
 _SEEN = 1 << 18
 
-_SET = StructType().add("n_shingles", LongType()).add("set_id", LongType())
+_SET = (StructType().add("n_shingles", LongType()).add("set_id", LongType())
+        .add("parities", BinaryType()))
 
 
 def _least(n, similarity: int):
@@ -97,11 +98,15 @@ def _set_ids(shingle: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def with_sets(docs: DataFrame, text: str = "text", name: str = "shingles",
               width: int = WIDTH) -> DataFrame:
-    """``docs`` with the size and name of each text's set; the name is null for none."""
+    """``docs`` with size, name and parity bits of each text's set; no name for none."""
     def compute(column: pa.Array) -> list:
-        parts = [_set_ids(*_shingles(b, width)) for b in W.blocks(column)]
-        n, names = W.joined(parts, [np.int64, np.int64])
-        return [n, pa.array(names, mask=n == 0)]
+        parts = []
+        for block in W.blocks(column):
+            shingle, bounds = _shingles(block, width)
+            bits = [_parities(shingle[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            parts.append([*_set_ids(shingle, bounds), np.array([*bits, None], object)[:-1]])
+        n, names, bits = W.joined(parts, [np.int64, np.int64, object])
+        return [n, pa.array(names, mask=n == 0), bits]
 
     return W.add_struct(docs, text, name, _SET, compute)
 
@@ -262,33 +267,31 @@ def _sizes_fit(a: Column, b: Column, similarity: int) -> Column:
     return 100 * F.least(a, b) >= similarity * F.greatest(a, b)
 
 
-def _filter(members: DataFrame) -> np.ndarray:
-    """Bits of the members' names, at most 2**20 words of 64."""
-    slot = F.col("set_id").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+def _filter(pairs: DataFrame) -> np.ndarray:
+    """Bits of the names in pairs, at most 2**20 words of 64."""
+    slot = F.col("name").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
-    rows = (members.groupBy(F.shiftright(slot, 6).alias("word"))
-            .agg(F.bit_or(bit).alias("bits")).toPandas())
+    rows = (pairs.select(F.explode(F.array("a", "b")).alias("name"))
+            .groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+            .toPandas())
     bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     return bits.view(np.uint64)
 
 
-def _member_sets(docs: DataFrame, text: str, width: int, members: DataFrame) -> DataFrame:
-    """The shingles of the members (and of few others), one row per set."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(members))
+def _paired_sets(docs: DataFrame, text: str, width: int, pairs: DataFrame) -> DataFrame:
+    """The shingles of the sets in pairs (and of few others), one row per set."""
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(pairs))
 
     def emit(shingle, bounds, n, names, take):
         slot = names[take].view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
         word = bits.value[(slot >> np.uint64(6)).astype(np.int64)]
         take = take[(word >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)]
-        own = [shingle[bounds[i]:bounds[i + 1]] for i in take]
-        return [names[take], [len(x) for x in own], [_parities(x) for x in own],
-                [x.tobytes() for x in own]]
+        return [names[take], [shingle[bounds[i]:bounds[i + 1]].tobytes() for i in take]]
 
-    rows = _each_set(docs, text, width, "set_id long, n int, bits binary, shingles binary",
-                     [pa.field("set_id", pa.int64()), pa.field("n", pa.int32()),
-                      pa.field("bits", pa.binary()), pa.field("shingles", pa.binary())], emit)
-    return settle(rows.dropDuplicates(["set_id"]), "member-sets")
+    rows = _each_set(docs, text, width, "set_id long, shingles binary",
+                     [pa.field("set_id", pa.int64()), pa.field("shingles", pa.binary())], emit)
+    return settle(rows.dropDuplicates(["set_id"]), "paired-sets")
 
 
 def _parities(shingle: np.ndarray) -> bytes:
@@ -308,10 +311,12 @@ def _differing(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, width: int,
+              similarity: int) -> DataFrame:
     """The pairs whose sets are similar enough, by their exact overlap.
 
     Parity bits, a thirtieth of the shingles' size, rule out most others first.
+    The rest's shingles are made anew from the texts rather than stored for all.
     """
     def may_link(batches):
         for batch in batches:
@@ -339,9 +344,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
         return sets.select(F.col("set_id").alias(name), *[F.col(c).alias(f"_{c}_{name}")
                                                           for c in columns])
 
-    near = settle(pairs.join(side("a", "bits", "n"), "a").join(side("b", "bits", "n"), "b")
-                  .select("a", "b", "_bits_a", "_bits_b", "_n_a", "_n_b")
+    near = settle(pairs.join(side("a", "parities", "n_shingles"), "a")
+                  .join(side("b", "parities", "n_shingles"), "b")
+                  .select("a", "b", "_parities_a", "_parities_b", "_n_shingles_a",
+                          "_n_shingles_b")
                   .mapInArrow(may_link, "a long, b long"), "near-pairs")
+    if near.isEmpty():
+        return near
+    sets = _paired_sets(docs, text, width, near)
     return settle(near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
                   .select("a", "b", "_shingles_a", "_shingles_b")
                   .mapInArrow(link, "a long, b long"), "links")
@@ -356,7 +366,7 @@ def set_links(docs: DataFrame, sets: DataFrame, text: str = "text", width: int =
               frequent: int = FREQUENT) -> DataFrame:
     """Links (``a``, ``b``) that connect the classes of similar sets.
 
-    ``sets``: the distinct sets, with ``n_shingles``. The links are all verified;
+    ``sets``: the distinct sets, with size and parity bits. The links are all verified;
     two sets of one class may be connected through others.
     """
     counts = _shingle_counts(docs, text, width, similarity)
@@ -378,7 +388,6 @@ def set_links(docs: DataFrame, sets: DataFrame, text: str = "text", width: int =
                       .filter("_a <> _b").select("key"), "hot-keys")
     members = settle(_shared(entries(False)).unionByName(hot.join(hot_keys, "key", "left_semi")),
                      "members")
-    shingles = _member_sets(docs, text, width, members)
 
     # The set in most entries stands for the entry: an unchanged original rather
     # than one of its altered copies.
@@ -390,7 +399,7 @@ def set_links(docs: DataFrame, sets: DataFrame, text: str = "text", width: int =
     pairs = settle(members.join(pivots, "key").filter("set_id <> pivot")
                    .filter(_sizes_fit(F.col("n"), F.col("m"), similarity))
                    .select(*_ordered("set_id", "pivot")).distinct(), "pairs")
-    links = _verified(pairs, shingles, similarity)
+    links = _verified(pairs, sets, docs, text, width, similarity)
     roots = components(links)
 
     rooted = settle(members.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
@@ -405,7 +414,8 @@ def set_links(docs: DataFrame, sets: DataFrame, text: str = "text", width: int =
             .filter(_sizes_fit(F.col("n"), F.col("m"), similarity))
             .select(F.col("set_id").alias("a"), F.col("other").alias("b")).distinct()
             .join(pairs, ["a", "b"], "left_anti"))
-    return links.unionByName(_verified(settle(more, "more-pairs"), shingles, similarity))
+    return links.unionByName(_verified(settle(more, "more-pairs"), sets, docs, text, width,
+                                       similarity))
 
 
 def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -415,7 +425,8 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     named = settle(with_sets(docs, width=width).select("doc_id", "shingles.*"), "sets")
     sets = settle(named.filter("n_shingles > 0").groupBy("set_id", "n_shingles")
-                  .agg(F.min("doc_id").alias("first_id")), "distinct-sets")
+                  .agg(F.min("doc_id").alias("first_id"), F.first("parities").alias("parities")),
+                  "distinct-sets")
     roots = components(set_links(docs, sets, "text", width, similarity, boundary, frequent))
     rooted = (sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
               .select("set_id", F.coalesce("root", "set_id").alias("root"), "first_id"))
