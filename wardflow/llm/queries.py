@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardflow.llm import jaccard_join, line_cleaning, quality_rules
+from wardflow.llm import (
+    byte_bpe,
+    jaccard_join,
+    line_cleaning,
+    packing,
+    quality_rules,
+    slot_sharding,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,8 +43,31 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_shingles", "component_id"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"),
+                        public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slot_sharding.shard(_table(spark, sf_dir, "documents"))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN).select(
+        "doc_id", F.col("tokens.ids").alias("ids"))
+    return byte_bpe.decode(encoded.withColumn("_ids", F.col("ids")), ranks, "_ids").select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256)
+        .alias("ids_sha256"),
+        F.sha2("decoded.bytes", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_quality_rules, op7_line_cleaning, op10_jaccard_join)}
+    return {f.__name__: f for f in (
+        op3_packing, op5_quality_rules, op6_slot_sharding, op7_line_cleaning, op9_byte_bpe,
+        op10_jaccard_join)}
 
 
 def oracles() -> dict[str, str]:
