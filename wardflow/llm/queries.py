@@ -14,7 +14,9 @@ from wardflow.llm import (
     line_cleaning,
     packing,
     quality_rules,
+    secret_forest,
     slot_sharding,
+    vector_search,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,11 +45,22 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_shingles", "component_id"))
 
 
+def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select(
+        "vec_id", vector_search.scaled(F.col("embedding"), 64).alias("vector"))
+    return vector_search.nearest(rows, F.col("vec_id") % 20 == 0, 20)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"),
                         public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secret_forest.train(secret_forest.labelled_findings(spark))
+    return secret_forest.findings(_table(spark, sf_dir, "documents"), forest)
+
+
 def op6_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slot_sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -66,10 +79,31 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op3_packing, op5_quality_rules, op6_slot_sharding, op7_line_cleaning, op9_byte_bpe,
+        op2_vector_search, op3_packing, op4_secret_forest, op5_quality_rules, op6_slot_sharding, op7_line_cleaning, op9_byte_bpe,
         op10_jaccard_join)}
 
 
 def oracles() -> dict[str, str]:
     """SQL with the same rows, for the queries SQL can express."""
-    return {}
+    return {
+        "op2_vector_search": _SEARCH,
+    }
+
+
+_SEARCH = """
+WITH part AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+component AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM part),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM component q JOIN component c ON q.i = c.i AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 20 = 0
+  GROUP BY 1, 2),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+  FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
