@@ -12,6 +12,7 @@ from wardflow.llm import (
     byte_bpe,
     jaccard_join,
     line_cleaning,
+    ngram_trie,
     packing,
     quality_rules,
     secret_forest,
@@ -65,6 +66,15 @@ def op6_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slot_sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = ngram_trie.held_out(F.col("doc_id"))
+    model = ngram_trie.train(spark, docs.filter(~out))
+    return ngram_trie.scored(docs, model).select(
+        "doc_id", out.alias("held_out"), "lm.n_tokens", "lm.n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"), "lm.base_score", "lm.score")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -79,7 +89,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op2_vector_search, op3_packing, op4_secret_forest, op5_quality_rules, op6_slot_sharding, op7_line_cleaning, op9_byte_bpe,
+        op2_vector_search, op3_packing, op4_secret_forest, op5_quality_rules, op6_slot_sharding, op7_line_cleaning, op8_ngram_trie,
+        op9_byte_bpe,
         op10_jaccard_join)}
 
 
