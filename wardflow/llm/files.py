@@ -20,7 +20,7 @@ def write_bytes(uri: str, data: bytes) -> None:
     fs, path = located(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     draft = f"{path}.{uuid.uuid4().hex}.draft"
-    with fs.open_output_stream(draft) as out:
+    with fs.open_output_stream(draft, compression=None) as out:
         out.write(data)
     fs.move(draft, path)
 

@@ -522,7 +522,7 @@ def _scores(levels: Levels, block: W.Block) -> list[np.ndarray]:
                                    return_index=True, return_inverse=True)
         _, value = levels.child(level, context[known[where]], tokens.word[at[known[where]]])
         term[known] = value[back]
-        p[at] = term + left * p[at]
+        p[at] = np.minimum(term + left * p[at], 1.0)  # a rounded sum may pass one
     score = np.bincount(tokens.text, weights=np.log10(p), minlength=n)
     return [np.bincount(tokens.text, minlength=n),
             np.bincount(tokens.text[tokens.count > 0], minlength=n), base, score]

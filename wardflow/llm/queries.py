@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardflow.llm import (
@@ -18,6 +18,7 @@ from wardflow.llm import (
     secret_forest,
     slot_sharding,
     vector_search,
+    warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +47,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_shingles", "component_id"))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archived(_table(spark, sf_dir, "pages"))
+
+    def number(column: str) -> Column:
+        return F.regexp_extract(column, r"<urn:page:(-?\d+)>", 1)
+
+    return records.select(
+        F.nullif(number("record_id"), F.lit("")).cast("long").alias("page_id"),
+        # A response is measured by what was read, a revisit has its headers only.
+        F.coalesce(F.octet_length("payload").cast("long"), "payload_bytes").alias("payload_bytes"),
+        "payload_digest", "record_type",
+        F.nullif(number("refers_to"), F.lit("")).cast("long").alias("refers_to"))
+
+
 def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings").select(
         "vec_id", vector_search.scaled(F.col("embedding"), 64).alias("vector"))
@@ -89,7 +104,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op2_vector_search, op3_packing, op4_secret_forest, op5_quality_rules, op6_slot_sharding, op7_line_cleaning, op8_ngram_trie,
+        op1_warc, op2_vector_search, op3_packing, op4_secret_forest, op5_quality_rules, op6_slot_sharding, op7_line_cleaning, op8_ngram_trie,
         op9_byte_bpe,
         op10_jaccard_join)}
 
