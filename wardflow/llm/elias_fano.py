@@ -36,17 +36,26 @@ def encode(values: np.ndarray, universe: int, name: str) -> dict[str, np.ndarray
             f"{name}.size": np.array([n, low], np.int64)}
 
 
+def _select_table() -> np.ndarray:
+    """Place of the k-th one (from 0) of each byte; 8 if there is none."""
+    table = np.full((256, 8), 8, np.uint8)
+    for byte in range(256):
+        places = [i for i in range(8) if byte >> i & 1]
+        table[byte, :len(places)] = places
+    return table
+
+
+_SELECT = _select_table()
+
+
 def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Place of the k-th one (from 0) of each word."""
-    at = np.zeros(len(word), np.int64)
-    k = k.copy()
-    for width in (32, 16, 8, 4, 2, 1):
-        count = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.int64)
-        up = k >= count
-        k -= np.where(up, count, 0)
-        at += np.where(up, width, 0)
-        word = np.where(up, word >> np.uint64(width), word)
-    return at
+    parts = np.ascontiguousarray(word).astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
+    upto = np.cumsum(np.bitwise_count(parts), axis=1, dtype=np.uint8)
+    byte = (upto <= k[:, None]).sum(axis=1)
+    row = np.arange(len(parts))
+    before = np.where(byte > 0, upto[row, byte - 1], 0)
+    return byte * 8 + _SELECT[parts[row, byte], k - before]
 
 
 class EliasFano:
@@ -74,24 +83,39 @@ class EliasFano:
         at = word * 64 + _select_in_word(self._high[word], i - self._ones[word])
         return ((at - i).astype(np.uint64) << np.uint64(self._bits)) | self._lows(i)
 
-    def _bucket_end(self, high: np.ndarray) -> np.ndarray:
-        """How many numbers have at most these high bits."""
+    def _bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last place, the last excluded, of the numbers with these high bits."""
         if self._zeros is None:
             self._zeros = np.arange(len(self._ones), dtype=np.int64) * 64 - self._ones
+        # The bucket's ones lie behind the zero that ends the bucket before.
+        start, stop = np.zeros(len(high), np.int64), np.zeros(len(high), np.int64)
+        at = self._zero(high - 1) + 1
+        np.subtract(at, high, out=start)
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        inside = word < len(self._high)
+        ones = np.full(len(high), 64, np.int64)
+        rest = ~(self._high[word[inside]] >> shift[inside])
+        # The lowest bit of the rest marks the end of the run.
+        ones[inside] = np.bitwise_count((rest & (~rest + _ONE)) - _ONE)
+        stop[:] = start + ones
+        long = (at & 63) + ones >= 64
+        stop[long] = self._zero(high[long]) - high[long]
+        return np.minimum(start, self.n), np.minimum(stop, self.n)
+
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """Place of the k-th zero of the bit vector; before the first, -1."""
         total = int(self._zeros[-1])
-        inside = np.minimum(high, total - 1)
+        inside = np.clip(k, 0, total - 1)
         word = np.searchsorted(self._zeros, inside, "right") - 1
         at = word * 64 + _select_in_word(~self._high[word], inside - self._zeros[word])
-        return np.where((high < 0), 0, np.where(high >= total, self.n,
-                                                np.minimum(at - inside, self.n)))
+        return np.where(k < 0, -1, np.where(k >= total, self.n + k, at))
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of the first number not below each ``x``, and whether it equals it."""
         x = x.astype(np.uint64)
         if not self.n:
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-        high = (x >> np.uint64(self._bits)).astype(np.int64)
-        low, stop = self._bucket_end(high - 1), self._bucket_end(high)
+        low, stop = self._bucket((x >> np.uint64(self._bits)).astype(np.int64))
         end, target = stop.copy(), x & np.uint64((1 << self._bits) - 1)
         todo = np.flatnonzero(low < end)
         while len(todo):

@@ -32,6 +32,7 @@ give equal results, each its own row.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,6 +51,8 @@ FREQUENT = 8
 # Bits of the filter that spares most documents the shuffle of their sets.
 FILTER_BITS = 26
 _SEEN = 1 << 18
+# Passes over the entries in which frequent shingles may still be found.
+PASSES = 3
 
 _SET = (StructType().add("n_shingles", LongType()).add("set_id", LongType())
         .add("parities", BinaryType()))
@@ -147,14 +150,14 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _shingle_counts(docs: DataFrame, text: str, width: int, similarity: int) -> DataFrame:
-    """Shingles that stand among the first, by hash, of two or more sets."""
+    """Keys of shingles that stand among the first, by hash, of two or more sets."""
     def emit(shingle, bounds, n, names, take):
         prefix = n[take] - _least(n[take], similarity) + 1
         at, _ = _ranges(bounds[take], prefix)
-        return [shingle[at].view(np.int64)]
+        return [W.mix(shingle[at]).view(np.int64)]
 
-    first = _each_set(docs, text, width, "shingle long", [pa.field("shingle", pa.int64())], emit)
-    return settle(first.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"))
+    first = _each_set(docs, text, width, "key long", [pa.field("key", pa.int64())], emit)
+    return settle(first.groupBy("key").agg(F.count(F.lit(1)).alias("sets"))
                   .filter("sets > 1"), "shingle-counts")
 
 
@@ -184,15 +187,16 @@ def _boundary(sets: DataFrame, counts: DataFrame, listed: np.ndarray, similarity
 
 def _entries(docs: DataFrame, text: str, width: int, similarity: int, frequent: np.ndarray,
              order: np.ndarray, boundary: int, hot: bool) -> DataFrame:
-    """``key``, ``set_id`` and size of every entry.
+    """``key``, ``set_id`` and size of every entry, and the shingles from there on.
 
-    ``hot``: those made of frequent shingles only, else the rest.
+    ``hot``: those made of frequent shingles only, else the others.
     """
     def emit(shingle, bounds, n, names, take):
         at, owner = _ranges(bounds[take], n[take])
         token = shingle[at]
-        place = np.minimum(np.searchsorted(frequent, token), max(len(frequent) - 1, 0))
-        listed = frequent[place] == token if len(frequent) else np.zeros(len(token), bool)
+        key = W.mix(token)
+        place = np.minimum(np.searchsorted(frequent, key), max(len(frequent) - 1, 0))
+        listed = frequent[place] == key if len(frequent) else np.zeros(len(token), bool)
         rank = np.where(listed, order[place] + 1 if len(order) else 0, 0)
         # By rank within each set; unlisted ones have rank 0 and stay by hash.
         moved = np.lexsort((rank, owner))
@@ -200,13 +204,14 @@ def _entries(docs: DataFrame, text: str, width: int, similarity: int, frequent:
         size = n[take]
         start = np.cumsum(size) - size
         prefix = size - _least(size, similarity) + 1
-        keys, sets, heavy = [], [], []
+        keys, sets, heavy, rest = [], [], [], []
         # Sets that can link with one beyond the boundary.
         single = np.flatnonzero(100 * size > similarity * boundary)
         i, who = _ranges(start[single], prefix[single])
         keys.append(W.mix(token[i]))
         sets.append(single[who])
         heavy.append(listed[i])
+        rest.append(size[single][who] - (i - start[single][who]))
         small = np.flatnonzero((size <= boundary) & (_least(size, similarity) >= 2))
         for p in np.unique(prefix[small]):
             own = small[prefix[small] == p]
@@ -217,14 +222,16 @@ def _entries(docs: DataFrame, text: str, width: int, similarity: int, frequent:
             keys.append(W.mix(W.mix(low + np.uint64(1)) + high).ravel())
             sets.append(np.repeat(own, len(a)))
             heavy.append((listed[left] & listed[right]).ravel())
+            rest.append(np.repeat(size[own], len(a)))
         keys, sets = np.concatenate(keys), np.concatenate(sets)
         wanted = np.concatenate(heavy) == hot
-        keys, sets = keys[wanted], sets[wanted]
-        return [keys.view(np.int64), names[take][sets], size[sets].astype(np.int32)]
+        keys, sets, rest = keys[wanted], sets[wanted], np.concatenate(rest)[wanted]
+        return [keys.view(np.int64), names[take][sets], size[sets].astype(np.int32),
+                rest.astype(np.int32)]
 
-    return _each_set(docs, text, width, "key long, set_id long, n int",
+    return _each_set(docs, text, width, "key long, set_id long, n int, rest int",
                      [pa.field("key", pa.int64()), pa.field("set_id", pa.int64()),
-                      pa.field("n", pa.int32())], emit)
+                      pa.field("n", pa.int32()), pa.field("rest", pa.int32())], emit)
 
 
 def _shared(entries: DataFrame) -> DataFrame:
@@ -263,8 +270,14 @@ def _several(table: pa.Table):
     yield from table.filter(pa.array(new & several[run])).to_batches()
 
 
-def _sizes_fit(a: Column, b: Column, similarity: int) -> Column:
-    return 100 * F.least(a, b) >= similarity * F.greatest(a, b)
+def _may_link(similarity: int) -> Column:
+    """Whether the sizes fit, and the shingles from the entry on if it is the first in common.
+
+    A pair that links passes at its first common shingle: all others lie behind it.
+    """
+    sizes = 100 * F.least("n", "m") >= similarity * F.greatest("n", "m")
+    return sizes & ((100 + similarity) * F.least("rest", "other_rest")
+                    >= similarity * (F.col("n") + F.col("m")))
 
 
 def _filter(pairs: DataFrame) -> np.ndarray:
@@ -361,6 +374,12 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _most(counts: DataFrame, frequent: int) -> pd.DataFrame:
+    """The most frequent keys, at most ``MAX_FREQUENT``, with their counts."""
+    return (counts.filter(F.col("sets") >= frequent).orderBy(F.desc("sets"), "key")
+            .limit(MAX_FREQUENT).toPandas())
+
+
 def set_links(docs: DataFrame, sets: DataFrame, text: str = "text", width: int = WIDTH,
               similarity: int = SIMILARITY, boundary: int | None = None,
               frequent: int = FREQUENT) -> DataFrame:
@@ -370,34 +389,43 @@ def set_links(docs: DataFrame, sets: DataFrame, text: str = "text", width: int =
     two sets of one class may be connected through others.
     """
     counts = _shingle_counts(docs, text, width, similarity)
-    often = (counts.filter(F.col("sets") >= frequent).orderBy(F.desc("sets"), "shingle")
-             .limit(MAX_FREQUENT).toPandas())
-    token = often["shingle"].to_numpy(np.int64).view(np.uint64)
+    listed = _most(counts, frequent)
     if boundary is None:
-        boundary = _boundary(sets, counts, often["sets"].to_numpy(np.int64), similarity)
-    by_hash = np.argsort(token)
-    token = token[by_hash]
-    order = np.empty(len(token), np.int64)
-    order[np.lexsort((token, often["sets"].to_numpy(np.int64)[by_hash]))] = np.arange(len(token))
+        boundary = _boundary(sets, counts, listed["sets"].to_numpy(np.int64), similarity)
 
     def entries(hot: bool) -> DataFrame:
-        return _entries(docs, text, width, similarity, token, order, boundary, hot)
+        by_key = listed.sort_values("key", key=lambda k: k.to_numpy(np.int64).view(np.uint64))
+        key = by_key["key"].to_numpy(np.int64).view(np.uint64)
+        order = np.empty(len(key), np.int64)
+        order[np.lexsort((key, by_key["sets"].to_numpy(np.int64)))] = np.arange(len(key))
+        return _entries(docs, text, width, similarity, key, order, boundary, hot)
+
+    # With some shingles put last, others come to the front that were not counted
+    # there before: they are listed too, until none is found.
+    for left in reversed(range(PASSES)):
+        light = settle(_shared(entries(False)), "light-entries")
+        more = _most(light.groupBy("key").agg(F.count(F.lit(1)).alias("sets")), frequent)
+        more = more[~more["key"].isin(listed["key"])]
+        if more.empty or not left:
+            break
+        listed = (pd.concat([listed, more]).sort_values(["sets", "key"], ascending=[False, True])
+                  .head(MAX_FREQUENT))
 
     hot = settle(entries(True).distinct(), "hot-entries")
     hot_keys = settle(hot.groupBy("key").agg(F.min("set_id").alias("_a"), F.max("set_id").alias("_b"))
                       .filter("_a <> _b").select("key"), "hot-keys")
-    members = settle(_shared(entries(False)).unionByName(hot.join(hot_keys, "key", "left_semi")),
-                     "members")
+    members = settle(light.unionByName(hot.join(hot_keys, "key", "left_semi")), "members")
 
     # The set in most entries stands for the entry: an unchanged original rather
     # than one of its altered copies.
     weights = settle(members.groupBy("set_id").agg(F.count(F.lit(1)).alias("weight")), "weights")
     weighted = settle(members.join(weights, "set_id"), "weighted")
     pivots = settle(weighted.groupBy("key").agg(
-        F.max(F.struct("weight", "set_id", "n")).alias("p"))
-        .select("key", F.col("p.set_id").alias("pivot"), F.col("p.n").alias("m")), "pivots")
+        F.max(F.struct("weight", "set_id", "n", "rest")).alias("p"))
+        .select("key", F.col("p.set_id").alias("pivot"), F.col("p.n").alias("m"),
+                F.col("p.rest").alias("other_rest")), "pivots")
     pairs = settle(members.join(pivots, "key").filter("set_id <> pivot")
-                   .filter(_sizes_fit(F.col("n"), F.col("m"), similarity))
+                   .filter(_may_link(similarity))
                    .select(*_ordered("set_id", "pivot")).distinct(), "pairs")
     links = _verified(pairs, sets, docs, text, width, similarity)
     roots = components(links)
@@ -409,9 +437,9 @@ def set_links(docs: DataFrame, sets: DataFrame, text: str = "text", width: int =
                        .filter("_a <> _b").select("key"), "open-keys")
     rest = settle(rooted.join(open_keys, "key", "left_semi"), "open-entries")
     other = rest.select("key", F.col("set_id").alias("other"), F.col("n").alias("m"),
-                        F.col("root").alias("other_root"))
+                        F.col("root").alias("other_root"), F.col("rest").alias("other_rest"))
     more = (rest.join(other, "key").filter("root <> other_root AND set_id < other")
-            .filter(_sizes_fit(F.col("n"), F.col("m"), similarity))
+            .filter(_may_link(similarity))
             .select(F.col("set_id").alias("a"), F.col("other").alias("b")).distinct()
             .join(pairs, ["a", "b"], "left_anti"))
     return links.unionByName(_verified(settle(more, "more-pairs"), sets, docs, text, width,

@@ -98,19 +98,19 @@ class _Shard:
         out = np.full(len(parent), -1, np.int64)
         place, known = self._parents.successor(parent)
         own = np.flatnonzero(known)
-        if len(own):
-            j = place[own]
-            at, _ = self._children.successor(j.astype(np.uint64) * np.uint64(self._words)
-                                             + word[own].astype(np.uint64))
-            first, last = self._pointers.access(j), self._pointers.access(j + 1)
-            inside = (at >= first.astype(np.int64)) & (at < last.astype(np.int64))
-            own, at, j = own[inside], at[inside], j[inside]
-            value = self._children.access(at)
-            equal = value == (j.astype(np.uint64) * np.uint64(self._words)
-                              + word[own].astype(np.uint64))
-            out[own[equal]] = at[equal]
+        # Relative to its parent's place a child's number is unique in the shard.
+        at, found = self._children.successor(
+            place[own].astype(np.uint64) * np.uint64(self._words) + word[own].astype(np.uint64))
+        out[own[found]] = at[found]
         return out
 
+    def children(self, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last place, the last excluded, of each parent's children."""
+        place, known = self._parents.successor(parent)
+        place = np.where(known, place, 0)
+        ends = [self._pointers.access(place + k).astype(np.int64) for k in (0, 1)]
+        return ends[0], np.where(known, ends[1], ends[0])
+
 
 class Levels:
     """The levels of a model as a task sees them: files are opened when needed."""
