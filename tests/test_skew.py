@@ -204,3 +204,12 @@ def test_hot_patients_are_joined_by_broadcast(crowded, settings):
     # With no hot patient, nothing of that part is left in the plan.
     plan = final_plan(reports.missed_follow_ups(t, TODAY))
     assert "BroadcastHashJoin" not in plan and "Union" not in plan
+
+
+def test_patients_without_timed_readings_have_one_row(spark):
+    silent, untimed = patient("S", date(1980, 1, 1)), patient("U", date(1980, 1, 1))
+    t = hospital(spark, patients=[silent, untimed],
+                 vitals=[{"vital_id": 1, "patient_id": "U"}, {"vital_id": 2, "patient_id": "U"}])
+    for hot_rows in (1, skew.HOT_ROWS):
+        rows = reports.high_risk(t, TODAY + timedelta(days=20_000), hot_rows=hot_rows).collect()
+        assert sorted(r.patient_id for r in rows) == ["S", "U"]

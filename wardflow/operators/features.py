@@ -87,7 +87,8 @@ def risk_features(t: Tables, as_of: date | None = None,
     women = (t["patients"].filter(E.same_text(F.col("gender"), "Female"))
              .select("patient_id",
                      E.age_years(as_of).alias("age")))
-    latest = (skew.latest_with_ties(_vitals(t), ["patient_id"], "recorded_at", ["vital_id"],
+    timed = _vitals(t).filter("recorded_at IS NOT NULL")
+    latest = (skew.latest_with_ties(timed, ["patient_id"], "recorded_at", ["vital_id"],
                                     hot_rows).whole()
               .groupBy("patient_id", *READINGS).agg(F.count(F.lit(1)).alias("_readings")))
     deliveries = t["delivery_information"].groupBy("patient_id").agg(

@@ -7,6 +7,7 @@ reading and scores with the age today.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import date
@@ -165,7 +166,8 @@ def evaluate_classifier(model: PipelineModel, test: DataFrame,
     """Rows (metric, label, value): report per class, averages, accuracy, ROC AUC."""
     weight = F.lit(1.0) if copies is None else F.col(copies).cast("double")
     scored = model.transform(test).withColumn("_weight", weight)
-    ranking = BinaryClassificationEvaluator(labelCol="label", weightCol="_weight")
+    ranking = BinaryClassificationEvaluator(labelCol="label", weightCol="_weight",
+                                            numBins=0)  # every score a point of the curve
     return classification_report(scored, ranking.evaluate(scored))
 
 
@@ -212,20 +214,33 @@ def evaluate_regressor(model: PipelineModel, test: DataFrame) -> DataFrame:
 
 # -- storage ------------------------------------------------------------------
 
-def is_saved(spark: SparkSession, path: str) -> bool:
+def _saved_folder(spark: SparkSession, path: str) -> str | None:
+    """The folder of the last model that was saved whole, by the note written after it."""
     try:
-        spark.read.text(f"{path}/metadata")
+        note = spark.read.text(f"{path}/current").first()
     except AnalysisException:
-        return False
-    return True
+        return None
+    return f"{path}/{note['value']}" if note else None
+
+
+def is_saved(spark: SparkSession, path: str) -> bool:
+    return _saved_folder(spark, path) is not None
 
 
 def fit_or_load(spark: SparkSession, path: str, train: Callable[[], Trained],
                 retrain: bool = False) -> PipelineModel:
-    """The model saved at ``path``; trained and saved there if there is none."""
-    if retrain or not is_saved(spark, path):
-        train().model.write().overwrite().save(path)
-    return PipelineModel.load(path)
+    """The model saved at ``path``; trained and saved there if there is none.
+
+    Every save has a folder of its own, so one that broke off is never loaded.
+    """
+    folder = None if retrain else _saved_folder(spark, path)
+    if folder is None:
+        name = uuid.uuid4().hex
+        folder = f"{path}/{name}"
+        train().model.write().save(folder)
+        (spark.range(1).select(F.lit(name).alias("value")).write.mode("overwrite")
+         .text(f"{path}/current"))
+    return PipelineModel.load(folder)
 
 
 def load_models(spark: SparkSession, t: Tables, folder: str, as_of: date | None = None,

@@ -30,12 +30,15 @@ def _high_risk_rows(t: Tables, as_of: date | None, hot_rows: int = skew.HOT_ROWS
         E.age_years(as_of).alias("age"))
     keys = t["patients"].select("patient_id")
     # Left joins become inner ones, which hold for a hot patient: a row without
-    # a reading stands where there is no reading (it ranks last), and a row
-    # without a delivery where there is no delivery.
+    # a reading stands where there is no reading with a time, and a row without
+    # a delivery where there is no delivery.
     vitals = t["vitals"].select("patient_id", "vital_id", "recorded_at",
                                 "blood_pressure_systolic", "blood_pressure_diastolic")
-    latest = skew.latest_with_ties(vitals.unionByName(keys, allowMissingColumns=True),
-                                   ["patient_id"], "recorded_at", ["vital_id"], hot_rows)
+    vitals = vitals.filter("recorded_at IS NOT NULL")
+    latest = skew.latest_with_ties(vitals, ["patient_id"], "recorded_at", ["vital_id"], hot_rows)
+    unread = keys.join(vitals.select("patient_id").distinct(), "patient_id", "left_anti")
+    latest = skew.Split(latest.cold.unionByName(unread, allowMissingColumns=True), latest.hot,
+                        latest.listed)
     readings = (latest.join(patients, "patient_id")
                 .withColumn("_by_age", F.coalesce(F.col("age") > E.RISK_AGE, F.lit(False)))
                 .withColumn("_by_pressure", E.high_pressure()))
