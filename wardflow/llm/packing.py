@@ -18,7 +18,6 @@ from __future__ import annotations
 import re
 import zlib
 from functools import lru_cache
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -51,11 +50,23 @@ def _tokenizer(path: str) -> Tokenizer:
     return found
 
 
+# Words that are encoded as one line: a call has a cost of its own.
+_LINE = 256
+
+
 def _encode(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    # This vocabulary never joins across white space, so words stand alone.
-    found = [x.ids for x in _tokenizer(path).encode_batch(words, add_special_tokens=False)]
-    return (np.fromiter(chain.from_iterable(found), np.int32),
-            np.fromiter(map(len, found), np.int64, len(found)))
+    # This vocabulary never joins across white space, so a word's ids do not depend
+    # on its neighbours; an id belongs to the word in which its characters begin.
+    lines = [words[k:k + _LINE] for k in range(0, len(words), _LINE)]
+    ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for line, found in zip(lines, _tokenizer(path).encode_batch(
+            [" ".join(line) for line in lines], add_special_tokens=False), strict=True):
+        size = np.fromiter(map(len, line), np.int64, len(line)) + 1
+        at = np.array([begin for begin, _ in found.offsets], np.int64)
+        word = np.searchsorted(np.cumsum(size) - size, at, "right") - 1
+        ids.append(np.array(found.ids, np.int32))
+        counts.append(np.bincount(word, minlength=len(line)))
+    return np.concatenate(ids), np.concatenate(counts)
 
 
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text",
