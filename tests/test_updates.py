@@ -44,20 +44,26 @@ def test_new_patient_ids(spark):
         F.col("id").alias("row_id"), F.lit("Pat").alias("first_name"),
         F.lit("Lee").alias("last_name"), F.lit("1990-2-3").alias("date_of_birth"))
     none = table(spark, "patients", [])
-    rows = U.append_patients(accepted, none, NOW).collect()
+    first = U.append_patients(accepted, none, "1", NOW)
+    rows = first.collect()
     ids = {r.patient_id for r in rows}
     assert len(ids) == 50
-    assert all(len(i) == 9 and i[0] == "P" and int(i[1:], 16) >= 0 and i == i.upper()
+    assert all(len(i) == 33 and i[0] == "P" and int(i[1:], 16) >= 0 and i == i.upper()
                for i in ids)
     assert rows[0].date_of_birth == date(1990, 2, 3) and rows[0].created_at == NOW
-    again = {r.patient_id for r in U.append_patients(accepted, none, NOW).collect()}
-    other = {r.patient_id for r in U.append_patients(accepted, none, NOW, batch="2").collect()}
-    assert again == ids and not other & ids
-    # An id in use is not given again.
-    used = table(spark, "patients", [patient(sorted(ids)[0], BORN)])
-    renewed = {r.patient_id for r in U.append_patients(accepted, used, NOW).collect()}
-    assert len(renewed) == 50 and sorted(ids)[0] not in renewed
-    assert [len(i) for i in renewed - ids] == [33]
+    again = {r.patient_id for r in U.append_patients(accepted, none, "1", NOW).collect()}
+    other = {r.patient_id for r in U.append_patients(accepted, none, "2", NOW).collect()}
+    assert again == ids and len(other) == 50 and not other & ids
+    # What has landed is not added again, also if it was changed since; the rest is.
+    landed = table(spark, "patients", [patient(i, BORN) for i in sorted(ids)[:20]])
+    rest = {r.patient_id for r in U.append_patients(accepted, landed, "1", NOW).collect()}
+    assert rest == set(sorted(ids)[20:])
+    # Three batches that number their rows alike, each run twice.
+    stored = none
+    for batch in ("1", "1", "2", "2", "3", "3"):
+        stored = stored.unionByName(U.append_patients(accepted, stored, batch, NOW),
+                                    allowMissingColumns=True)
+    assert stored.count() == stored.select("patient_id").distinct().count() == 150
 
 
 def test_partial_update(spark):

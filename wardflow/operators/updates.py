@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.functions import exprs as E
@@ -17,15 +17,13 @@ from wardflow.functions import skew
 from wardflow.operators import quality as Q
 from wardflow.sources.schemas import TABLES
 
-# The form of a new patient id, and the fields of a patient that
-# may be set.
+# The form of a new patient id. The prefix, and the fields of a
+# patient that may be set.
 ID_PREFIX = "P"
-ID_DIGITS = 8
+ID_DIGITS = 32
 PATIENT_FIELDS = ("first_name", "last_name", "date_of_birth", "gender", "email", "phone",
                   "address", "city", "state", "zip_code", "insurance_provider",
                   "insurance_id", "emergency_contact_name", "emergency_contact_phone")
-# Used in place of ID_DIGITS for ids that would clash.
-WIDE_ID_DIGITS = 32
 
 
 def append_vitals(accepted: DataFrame, vitals: DataFrame, as_of_ts: datetime | None = None,
@@ -48,33 +46,26 @@ def append_vitals(accepted: DataFrame, vitals: DataFrame, as_of_ts: datetime | N
         for c, type_ in kept.items()])
 
 
-def append_patients(accepted: DataFrame, patients: DataFrame, as_of_ts: datetime | None = None,
-                    arrival: str = "row_id", batch: str = "") -> DataFrame:
+def append_patients(accepted: DataFrame, patients: DataFrame, batch: str,
+                    as_of_ts: datetime | None = None, arrival: str = "row_id") -> DataFrame:
     """Accepted patients as new rows, each with a new id.
 
-    An id is the prefix and eight upper-case hexadecimal digits, taken from a
-    hash of the batch name and the unique ``arrival`` value, so a repeated run
-    gives the same ids. Eight digits clash from some ten thousand patients on;
-    an id already in use, or drawn twice, gets more digits.
+    An id is the prefix and 32 upper-case hexadecimal digits, taken from a hash
+    of the batch name and the ``arrival`` number, which is unique in its batch.
+    So batches may number their rows alike, and a row whose id is stored has
+    landed before: a batch that is run again adds only what did not land. Eight
+    digits would clash from some ten thousand patients on, and a clash could not
+    be told from a row that has landed.
     """
     digits = F.upper(F.sha2(F.concat_ws("|", F.lit(batch), F.col(arrival).cast("string")), 256))
-
-    def id_of(length: int) -> Column:
-        return F.concat(F.lit(ID_PREFIX), F.substring("_digits", 1, length))
-
-    drawn = accepted.withColumn("_digits", digits).withColumn("patient_id", id_of(ID_DIGITS))
-    repeated = (drawn.groupBy("patient_id").agg(F.count(F.lit(1)).alias("_n"))
-                .filter("_n > 1").select("patient_id"))
-    used = drawn.join(patients.select("patient_id"), "patient_id", "left_semi")
-    clash = (repeated.union(used.select("patient_id")).distinct()
-             .withColumn("_clash", F.lit(True)))
+    drawn = accepted.withColumn("patient_id", F.concat(
+        F.lit(ID_PREFIX), F.substring(digits, 1, ID_DIGITS)))
     born = F.try_to_date("date_of_birth", "y-M-d")
     fields = [born.alias(c) if c == "date_of_birth" else F.col(c)
               for c in PATIENT_FIELDS if c in accepted.columns]
-    return drawn.join(clash, "patient_id", "left").select(
-        F.when(F.col("_clash"), id_of(WIDE_ID_DIGITS)).otherwise(F.col("patient_id"))
-        .alias("patient_id"),
-        *fields, E.now(as_of_ts).alias("created_at"), E.now(as_of_ts).alias("updated_at"))
+    return drawn.join(patients.select("patient_id"), "patient_id", "left_anti").select(
+        "patient_id", *fields, E.now(as_of_ts).alias("created_at"),
+        E.now(as_of_ts).alias("updated_at"))
 
 
 # -- partial update -----------------------------------------------------------

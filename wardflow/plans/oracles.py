@@ -430,15 +430,17 @@ SELECT (SELECT max(vital_id) FROM vitals) + row_number() OVER (ORDER BY row_id)
   CAST(heart_rate AS INTEGER) AS heart_rate, blood_pressure_systolic, blood_pressure_diastolic
 FROM checked WHERE reject_reason IS NULL"""),
         "check_patients": _query("raw_patients", f"STEP {_CHECKED_PATIENTS} FROM checked"),
-        "append_patients": _query("raw_patients patients", f"""STEP {_CHECKED_PATIENTS},
-drawn AS (SELECT *, upper(sha256('|' || CAST(row_id AS VARCHAR))) AS digits FROM checked
-  WHERE reject_reason IS NULL)
-SELECT 'P' || CASE WHEN count(*) OVER (PARTITION BY substr(digits, 1, 8)) > 1
-      OR 'P' || substr(digits, 1, 8) IN (SELECT patient_id FROM patients)
-    THEN substr(digits, 1, 32) ELSE substr(digits, 1, 8) END AS patient_id,
+        "append_patients": _query("raw_patients patients", f"""STEP {_CHECKED_PATIENTS}
+SELECT 'P' || upper(substr(sha256('|' || CAST(row_id AS VARCHAR)), 1, 32)) AS patient_id,
   first_name, last_name, CAST(date_of_birth AS DATE) AS date_of_birth, gender, email,
   {NOW} AS created_at, {NOW} AS updated_at
-FROM drawn"""),
+FROM checked WHERE reject_reason IS NULL"""),
+        "append_patients_batches": _query("raw_patients patients", f"""STEP {_CHECKED_PATIENTS}
+SELECT patient_id, first_name, last_name, date_of_birth FROM patients
+UNION ALL
+SELECT 'P' || upper(substr(sha256(batch || '|' || CAST(row_id AS VARCHAR)), 1, 32)),
+  first_name, last_name, CAST(date_of_birth AS DATE)
+FROM checked CROSS JOIN (VALUES ('1'), ('2'), ('3')) b(batch) WHERE reject_reason IS NULL"""),
         "partial_update": _query("raw_changes patients", f"""STEP {_CHECKED_CHANGES},
 renewed AS (
   SELECT patient_id, first_name, {_last_set('last_name')}, {_last_set('date_of_birth')}, gender,

@@ -42,7 +42,17 @@ def _append_vitals(t: HospitalTables) -> DataFrame:
 
 def _append_patients(t: HospitalTables) -> DataFrame:
     new, _ = quality.validate_patients(t["raw_patients"])
-    return updates.append_patients(new, t["patients"], NOW)
+    return updates.append_patients(new, t["patients"], "", NOW)
+
+
+def _append_patients_batches(t: HospitalTables) -> DataFrame:
+    """The table after three batches with the same row numbers, the last one run twice."""
+    new, _ = quality.validate_patients(t["raw_patients"])
+    table = t["patients"]
+    for batch in ("1", "2", "3", "3"):
+        table = table.unionByName(updates.append_patients(new, table, batch, NOW),
+                                  allowMissingColumns=True)
+    return table.select("patient_id", "first_name", "last_name", "date_of_birth")
 
 
 def _partial_update(t: HospitalTables) -> tuple[DataFrame, DataFrame]:
@@ -179,6 +189,7 @@ def queries() -> dict[str, Query]:
         "append_vitals": _append_vitals,
         "check_patients": lambda t: quality.check_patients(t["raw_patients"]),
         "append_patients": _append_patients,
+        "append_patients_batches": _append_patients_batches,
         "partial_update": lambda t: _partial_update(t)[0],
         "partial_update_rejected": lambda t: _partial_update(t)[1].drop("fields"),
         "audit": lambda t: quality.audit(t, AUDITED),
