@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardflow.functions import exprs as E
@@ -198,8 +198,8 @@ def delivery_methods(t: Tables) -> DataFrame:
 # -- demographics -------------------------------------------------------------
 
 def _patient_counts(t: Tables, as_of: date | None) -> DataFrame:
-    """One row per patient: group, joined row count, deliveries of all time and of
-    the month.
+    """One row per patient: group, joined row count, deliveries of all time, of the
+    month and with complications.
 
     ``patient_count`` counts rows of patient x condition x delivery. The
     product of two counts gives that number without forming the rows.
@@ -209,20 +209,22 @@ def _patient_counts(t: Tables, as_of: date | None) -> DataFrame:
     this_month = F.trunc("delivery_date", "month") == F.trunc(E.today(as_of), "month")
     deliveries = (t["delivery_information"].groupBy("patient_id")
                   .agg(F.count("delivery_id").alias("_deliveries"),
-                       F.count_if(this_month).alias("_this_month")))
+                       F.count(F.lit(1)).alias("_all_deliveries"),
+                       F.count_if(this_month).alias("_this_month"),
+                       F.count_if(E.has_text(F.col("complications"))).alias("_complicated")))
     at_least_one = [F.greatest(F.coalesce(c, F.lit(1)), F.lit(1))
                     for c in ("_conditions", "_deliveries")]
     return (_patient_groups(t, as_of)
             .join(conditions, "patient_id", "left")
             .join(deliveries, "patient_id", "left")
             .withColumn("_rows", at_least_one[0] * at_least_one[1])
-            .na.fill(0, ["_deliveries", "_this_month"]))
+            .na.fill(0, ["_deliveries", "_all_deliveries", "_this_month", "_complicated"]))
 
 
 def _patient_groups(t: Tables, as_of: date | None) -> DataFrame:
     return t["patients"].select(
         "patient_id", E.age_band(E.age_years(as_of)).alias("age_group"),
-        "city", "state")
+        "city", "state", (E.age_years(as_of) > E.RISK_AGE).alias("_by_age"))
 
 
 def demographics(t: Tables, as_of: date | None = None) -> DataFrame:
@@ -263,27 +265,51 @@ def age_distribution(t: Tables, as_of: date | None = None) -> DataFrame:
             .agg(F.sum("_rows").alias("patient_count")))
 
 
+def _latest_reading_counts(t: Tables) -> DataFrame:
+    """Per patient, the readings that share its latest time and those with high pressure."""
+    by_time = (t["vitals"].filter("recorded_at IS NOT NULL").groupBy("patient_id", "recorded_at")
+               .agg(F.count(F.lit(1)).alias("_n"), F.count_if(E.high_pressure()).alias("_high")))
+    return by_time.groupBy("patient_id").agg(
+        F.max_by("_n", "recorded_at").alias("_readings"),
+        F.max_by("_high", "recorded_at").alias("_high_readings"))
+
+
+def _missed_counts(t: Tables, as_of: date | None) -> DataFrame:
+    """Per patient, the rows of the missed follow-ups.
+
+    Visits are counted per due date first, so the window has a row per patient and day.
+    """
+    due = F.col("follow_up_required") & (F.col("follow_up_date") < E.today(as_of))
+    by_date = (t["follow_up_visits"].groupBy("patient_id", "follow_up_date")
+               .agg(F.count_if(due).alias("_due"), F.max("visit_date").alias("_last")))
+    last = F.max("_last").over(Window.partitionBy("patient_id"))
+    return (by_date.withColumn("_last_visit", last)
+            .filter(F.col("_last_visit") <= F.col("follow_up_date"))
+            .groupBy("patient_id").agg(F.sum("_due").alias("_missed")))
+
+
 def dashboard_totals(t: Tables, as_of: date | None = None) -> DataFrame:
     """One row of totals over the other reports.
 
     ``deliveries`` are all deliveries; ``deliveries_this_month`` are those in
-    the month of the reference date.
+    the month of the reference date. The rows of the high-risk report are latest
+    readings times deliveries; they are counted per patient and not formed, and
+    every table is read once.
     """
-    # Every part is one row that fills its own columns.
-    parts = [
-        _patient_counts(t, as_of).agg(F.sum("_rows").alias("total_patients"),
-                                      F.sum("_deliveries").alias("deliveries"),
-                                      F.sum("_this_month").alias("deliveries_this_month")),
-        _high_risk_rows(t, as_of).agg(F.count(F.lit(1)).alias("high_risk")),
-        _missed_rows(t, as_of).agg(F.count(F.lit(1)).alias("missed_follow_ups")),
-    ]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part, allowMissingColumns=True)
-    return union.agg(*[
-        F.coalesce(F.sum(c), F.lit(0)).alias(c)
-        for c in ("total_patients", "high_risk", "missed_follow_ups", "deliveries",
-                  "deliveries_this_month")])
+    counts = (_patient_counts(t, as_of)
+              .join(_latest_reading_counts(t), "patient_id", "left")
+              .join(_missed_counts(t, as_of), "patient_id", "left")
+              .na.fill(0, ["_readings", "_high_readings", "_missed"]))
+    # A patient without readings or deliveries has one row in their place.
+    readings = F.greatest("_readings", F.lit(1))
+    deliveries = F.greatest("_all_deliveries", F.lit(1))
+    high_risk = (F.when(F.col("_by_age"), readings * deliveries)
+                 .otherwise(F.col("_high_readings") * deliveries
+                            + (readings - F.col("_high_readings")) * F.col("_complicated")))
+    sums = {"total_patients": F.col("_rows"), "high_risk": high_risk,
+            "missed_follow_ups": F.col("_missed"), "deliveries": F.col("_deliveries"),
+            "deliveries_this_month": F.col("_this_month")}
+    return counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in sums.items()])
 
 
 # -- lists and per-patient views ----------------------------------------------
