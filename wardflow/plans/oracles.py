@@ -35,10 +35,11 @@ def _flag(condition: str, name: str) -> str:
 
 
 def _latest(ties: bool) -> str:
-    order = "recorded_at DESC" + ("" if ties else ", vital_id DESC")
-    rank = "rank" if ties else "row_number"
-    return (f"latest AS (SELECT * FROM vitals QUALIFY {rank}() OVER "
-            f"(PARTITION BY patient_id ORDER BY {order}) = 1)")
+    if ties:
+        return """latest AS (SELECT * FROM vitals v WHERE recorded_at =
+  (SELECT max(recorded_at) FROM vitals w WHERE w.patient_id = v.patient_id))"""
+    return ("latest AS (SELECT * FROM vitals QUALIFY row_number() OVER "
+            "(PARTITION BY patient_id ORDER BY recorded_at DESC, vital_id DESC) = 1)")
 
 
 _HIGH_RISK = f"""STEP {_latest(True)},
