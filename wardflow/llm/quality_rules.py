@@ -36,7 +36,7 @@ TREES = 24
 DEPTH = 3
 PENALTY = 0.002
 # Steps of the lasso fit, each a job or two over the training rows. On test rows the
-# loss falls by a fifteenth more in 70 further steps, and no held-out label changes.
+# loss falls by 6 % more in 70 further steps, and as many held-out labels are right.
 STEPS = 30
 
 STATISTICS = [
