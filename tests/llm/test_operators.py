@@ -336,6 +336,50 @@ def test_secrets_are_found_and_masked(spark):
     assert {i: texts[i] for i in (2, 3, 4, 5, 6)} == dict(rows[1:])
 
 
+def test_secrets_of_every_form_are_masked(spark):
+    key, b64 = hashlib.sha1(b"q").hexdigest(), base64.b64encode(hashlib.sha256(b"q").digest())
+    b64 = b64.decode().rstrip("=")
+    jwt = f"eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIx{key[:12]}.{b64.replace('/', '_').replace('+', '-')}"
+    lines = "\n".join([b64[:32] * 2, b64[8:40] * 2, b64[:20] + "=="])
+    secret = {
+        "bare": f"api_key={key[:20]}", "upper": f"AWS_SECRET_ACCESS_KEY={b64[:40]}",
+        "url": f"see https://example.com/cb?a=1&access_token={key}&page=2 now",
+        "quoted": f'the token = "{key}" here', "json": f'{{"auth_token": "{key}"}}',
+        "spaced": f"export password: {b64[:12]}", "short": f"password={b64[3:13]}",
+        "symbols": f"DB_PASSWORD={b64[:5]}!{b64[7:11]}1", "prefixed": f"use sk-{key} now",
+        "github": f"the ghp_{key[:36]}", "dotted": f"Authorization: Bearer {jwt}",
+        "dotted_value": f"access_token={jwt}",
+        "block": f"a\n-----BEGIN RSA PRIVATE KEY-----\n{lines}\n-----END RSA PRIVATE KEY-----\nb",
+    }
+    plain = {
+        "commit": f"commit {key} merged", "sum": f"checksum: {key}", "path": f"src=\"/{key}.png",
+        "words": "password = example-version-2024-sample", "prose": "the secret: another thing",
+        "date": "date=2024-01-12T00", "image": f"https://example.com/{key}.js",
+    }
+    rows = list({**secret, **plain}.items())
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    forest = secret_forest.train(secret_forest.labelled_findings(spark))
+    texts = {r.doc_id: r.text for r in secret_forest.masked(docs, forest).collect()}
+    assert {k: texts[k] for k in plain} == plain
+    assert texts["block"] == ("a\n-----BEGIN RSA PRIVATE KEY-----\n[SECRET]\n"
+                              "-----END RSA PRIVATE KEY-----\nb")
+    assert texts["url"] == "see https://example.com/cb?a=1&access_token=[SECRET]&page=2 now"
+    assert texts["bare"] == "api_key=[SECRET]"
+    assert texts["dotted_value"] == "access_token=[SECRET]"
+    assert [k for k in secret if "[SECRET]" not in texts[k] or key[:9] in texts[k]
+            or b64[3:10] in texts[k]] == []
+
+
+def test_labelled_findings_come_from_the_scanner(spark):
+    lines = secret_forest.labelled_lines(spark, 300)
+    found = secret_forest.labelled_findings(spark, 300)
+    assert found.filter("contains(candidate, '_KEY=') OR candidate = ''").count() == 0
+    unquoted = found.filter("label = 1 AND before RLIKE '[a-zA-Z]=$'")
+    assert unquoted.count() > 50
+    # Every line with a secret gives a finding with that label.
+    assert found.filter("label = 1").count() >= lines.filter("label = 1").count()
+
+
 # -- language model --------------------------------------------------------------------
 
 def test_elias_fano_equals_sorted_search():
