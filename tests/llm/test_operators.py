@@ -24,6 +24,7 @@ from wardflow.llm import (
     ngram_trie,
     packing,
     quality_rules,
+    queries,
     secret_forest,
     slot_sharding,
     vector_search,
@@ -427,6 +428,58 @@ def test_ngram_scores_near_exact_model(spark, docs):
         assert abs(row.lm.score - exact) < 0.02 * len(t) + 0.02
 
 
+def test_ngram_scores_near_unpruned_model(spark, docs):
+    """All n-grams are kept: rows learnt from and rows held out, against plain counts."""
+    rows = [r for r in docs.collect() if r.doc_id is not None]
+    learnt = [r for i, r in enumerate(rows) if i % 3]
+    model = ngram_trie.train(spark, spark.createDataFrame(learnt, docs.schema), min_count=1)
+    tokens = [[*WORD.findall(_lower(r.text or "")), "</s>"] for r in learnt]
+    grams = {k: Counter(g for t in tokens for g in zip(
+        *[(["<s>", *t] if k > 1 else t)[i:] for i in range(k)], strict=False)) for k in (1, 2, 3)}
+    n, size, cut = sum(grams[1].values()), len(grams[1]), ngram_trie.DISCOUNT
+    once = sum(c == 1 for c in grams[3].values())
+    assert once > 0  # the rows that a model with min_count=2 loses
+    seen = {**grams[1], ("<s>",): len(tokens), **grams[2]}
+    taken: Counter = Counter()
+    for g, c in [*grams[2].items(), *grams[3].items()]:
+        taken[g[:-1]] += c - cut
+
+    def p(gram):
+        if len(gram) == 1:
+            return (grams[1][gram] + 0.1) / (n + 0.1 * (size + 1))
+        context, lower = gram[:-1], p(gram[1:])
+        if context not in taken:
+            return lower
+        return (max(grams[len(gram)][gram] - cut, 0) / seen[context]
+                + (1 - taken[context] / seen[context]) * lower)
+
+    memo: dict = {}
+    pruned = ngram_trie.train(spark, spark.createDataFrame(learnt, docs.schema), min_count=2)
+    other = {r.doc_id: r.lm.score for r in ngram_trie.scored(docs, pruned).collect()}
+    moved = 0
+    for row in ngram_trie.scored(spark.createDataFrame(rows, docs.schema), model).collect():
+        t = ["<s>", *WORD.findall(_lower(row.text or "")), "</s>"]
+        exact = 0.0
+        for j in range(1, len(t)):
+            gram = tuple(t[max(j - 2, 0):j + 1])
+            if gram not in memo:
+                memo[gram] = np.log10(p(gram))
+            exact += memo[gram]
+        assert abs(row.lm.score - exact) < 0.02 * len(t)
+        moved += abs(other[row.doc_id] - exact) > 0.02 * len(t)
+    assert moved > 0
+
+
+def test_query_keeps_ngrams_seen_once(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, "a b c" if i == 1 else "d e") for i in range(1, 40)],
+                          "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = []
+    train = ngram_trie.train
+    monkeypatch.setattr(ngram_trie, "train", lambda *a, **b: made.append(train(*a, **b)) or made[0])
+    assert queries.op8_ngram_trie(spark, str(tmp_path)).count() == 39
+    assert made[0].min_count == 1
+
+
 def test_model_of_nothing(spark, empty, docs):
     model = ngram_trie.train(spark, empty)
     assert ngram_trie.scored(docs, model).filter("lm.n_known > 0").count() == 0

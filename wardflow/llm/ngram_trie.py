@@ -2,7 +2,7 @@
 
 Level 1 holds the words of the training texts: their 64-bit hashes as a rising
 sequence, with exact counts. A word's number is its place. Level k holds the
-n-grams of k words seen ``MIN_COUNT`` times or more, as children of the n-gram
+n-grams of k words seen ``min_count`` times or more, as children of the n-gram
 of their first k - 1 words: rising numbers of the parents, rising pointers to
 their first children, and the children's words made rising by adding the
 parent's place. A child is found by a successor search relative to its parent.
@@ -14,8 +14,9 @@ c(v u) + g(v u) p(w | u)`` with ``g`` such that all words of a context, unseen
 ones included, sum to one. Below two words it is the additive unigram estimate.
 The first term and ``g`` are stored in 8 bits of their logarithm.
 
-N-grams of two words and more that were seen once are left out, as is usual;
-words never are. All counts come from all training rows.
+``min_count=1`` keeps every n-gram, as the query does. By default those of two
+words and more that were seen once are left out; words never are. All counts come
+from all training rows.
 
 Defined results: a null or empty text is the end token alone. A null id is held
 out. Repeated rows are counted and scored each.
@@ -59,6 +60,7 @@ class Model(NamedTuple):
     words: int
     tokens: int
     texts: int
+    min_count: int = MIN_COUNT
 
 
 def held_out(doc_id: Column) -> Column:
@@ -401,8 +403,8 @@ def _ngram_level(texts: DataFrame, model: Model, level: int) -> Model:
                 for at_level, at, context in _contexts(levels, tokens, level):
                     if at_level == level:
                         # All words are known here: these are the training texts.
-                        # What holds a word seen once is itself seen once.
-                        often = tokens.count[at] >= MIN_COUNT
+                        # No n-gram is seen more often than a word in it.
+                        often = tokens.count[at] >= model.min_count
                         yield from pending.add(_key(context[often], tokens.word[at[often]],
                                                     words))
         yield pending.sent()
@@ -411,7 +413,8 @@ def _ngram_level(texts: DataFrame, model: Model, level: int) -> Model:
 
     def finish(shard, keys, counts):
         levels = Levels(model)
-        keys, counts = keys[counts >= MIN_COUNT], counts[counts >= MIN_COUNT]
+        often = counts >= model.min_count
+        keys, counts = keys[often], counts[often]
         parent = (keys // np.uint64(words + 1)).astype(np.int64)
         word = keys % np.uint64(words + 1)
         distinct, first, place = np.unique(parent, return_index=True, return_inverse=True)
@@ -487,7 +490,8 @@ def _left_level(taken: DataFrame, model: Model, level: int, shards: int) -> None
             **encode(np.zeros(0, np.uint64), 1, "keys"), **_quantised(np.zeros(0), "left")})
 
 
-def train(spark: SparkSession, docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
+def train(spark: SparkSession, docs: DataFrame, text: str = "text", order: int = ORDER,
+          min_count: int = MIN_COUNT) -> Model:
     """A model of all rows of ``docs``, its levels in a new shared folder."""
     texts = docs.select(F.col(text).alias("_text"))
     path = run_dir(spark, "ngrams")
@@ -496,7 +500,7 @@ def train(spark: SparkSession, docs: DataFrame, text: str = "text", order: int =
     # A word and its space take six bytes or so: an upper bound for the shards' sizes.
     shards, words, tokens = _word_level(texts, path, (size // 6 + n) // 4)
     firsts = tuple((np.cumsum(words) - np.array(words)).tolist())
-    model = Model(path, 1, (shards,), firsts, (), sum(words), tokens, n)
+    model = Model(path, 1, (shards,), firsts, (), sum(words), tokens, n, min_count)
     for level in range(2, order + 1):
         model = _ngram_level(texts, model, level)
     return model
@@ -517,7 +521,7 @@ def _scores(levels: Levels, block: W.Block) -> list[np.ndarray]:
         grown = left < 1.0
         at, context, left = at[grown], context[grown], left[grown]
         term = np.zeros(len(at))
-        known = np.flatnonzero(tokens.count[at] >= MIN_COUNT)
+        known = np.flatnonzero(tokens.count[at] >= model.min_count)
         _, where, back = np.unique(_key(context[known], tokens.word[at[known]], model.words),
                                    return_index=True, return_inverse=True)
         _, value = levels.child(level, context[known[where]], tokens.word[at[known[where]]])

@@ -84,7 +84,7 @@ def op6_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = ngram_trie.held_out(F.col("doc_id"))
-    model = ngram_trie.train(spark, docs.filter(~out))
+    model = ngram_trie.train(spark, docs.filter(~out), min_count=1)
     return ngram_trie.scored(docs, model).select(
         "doc_id", out.alias("held_out"), "lm.n_tokens", "lm.n_known",
         F.lit(model.tokens).cast("long").alias("train_tokens"), "lm.base_score", "lm.score")
