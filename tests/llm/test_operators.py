@@ -165,6 +165,28 @@ def test_jaccard_classes_equal_brute_force(docs, boundary):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want
 
 
+@pytest.mark.parametrize("boundary", [None, 60])
+def test_every_link_is_counted(spark, boundary):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(160)]
+    # Near copies of one text, which link with one another or not, and exact copies.
+    texts = [" ".join(base)] * 3
+    for _ in range(24):
+        words = list(base)
+        for k in rng.sample(range(160), rng.choice([1, 1, 2])):
+            words[k] = f"x{rng.random()}"
+        texts += [" ".join(words)] * rng.choice([1, 2])
+    texts += ["", None, "some text that has no copy at all", "two words", "two words"]
+    sets = [set(zip(*[t.split()[i:] for i in range(5)], strict=False)) or
+            ({tuple(t.split())} if t.split() else set()) for t in (t or "" for t in texts)]
+    want = {i: (sum(5 * len(s & x) >= 4 * len(s | x) for x in sets) - 1 if s else 0)
+            for i, s in enumerate(sets)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = jaccard_join.join_documents(docs, boundary=boundary, frequent=3).collect()
+    assert {r.doc_id: r.n_links for r in got} == want
+    assert len(set(want.values())) > 3
+
+
 def test_one_of_each_class_stays(docs, empty):
     want = _classes([(r.doc_id, r.text) for r in docs.collect()])
     got = jaccard_join.one_of_each(docs).collect()

@@ -18,7 +18,9 @@ Documents with equal sets form one class, which is compared once; copies are
 never paired. In each entry, all sets are first compared with the one that
 occurs in most entries. Sets that are connected by then need no more pairs; every
 other pair of an entry is compared in a second round. So the classes are exact,
-and no pairs are made within a large group of near copies.
+and no pairs are made within a large group of near copies. A document's number of
+links needs every pair: then all pairs of an entry are compared, and the links of
+a set are weighted by the copies of the sets it links with.
 
 A set is named by a 64-bit hash that covers its shingles and size, and shingles
 are compared by 64-bit hashes.
@@ -382,11 +384,11 @@ def _most(counts: DataFrame, frequent: int) -> pd.DataFrame:
 
 def set_links(docs: DataFrame, sets: DataFrame, text: str = "text", width: int = WIDTH,
               similarity: int = SIMILARITY, boundary: int | None = None,
-              frequent: int = FREQUENT) -> DataFrame:
-    """Links (``a``, ``b``) that connect the classes of similar sets.
+              frequent: int = FREQUENT, every: bool = False) -> DataFrame:
+    """Links (``a``, ``b``) between similar sets, each verified.
 
-    ``sets``: the distinct sets, with size and parity bits. The links are all verified;
-    two sets of one class may be connected through others.
+    ``sets``: the distinct sets, with size and parity bits. ``every``: all links, else
+    enough to connect the classes, in which sets may be connected through others.
     """
     counts = _shingle_counts(docs, text, width, similarity)
     listed = _most(counts, frequent)
@@ -416,6 +418,15 @@ def set_links(docs: DataFrame, sets: DataFrame, text: str = "text", width: int =
                       .filter("_a <> _b").select("key"), "hot-keys")
     members = settle(light.unionByName(hot.join(hot_keys, "key", "left_semi")), "members")
 
+    if every:
+        # Copies of the sides' columns: a table joined with itself.
+        other = members.select("key", F.col("set_id").alias("other"), F.col("n").alias("m"),
+                               F.col("rest").alias("other_rest"))
+        every_pair = (members.join(other, "key").filter("set_id < other")
+                      .filter(_may_link(similarity))
+                      .select(F.col("set_id").alias("a"), F.col("other").alias("b")).distinct())
+        return _verified(settle(every_pair, "every-pair"), sets, docs, text, width, similarity)
+
     # The set in most entries stands for the entry: an unchanged original rather
     # than one of its altered copies.
     weights = settle(members.groupBy("set_id").agg(F.count(F.lit(1)).alias("weight")), "weights")
@@ -448,24 +459,41 @@ def set_links(docs: DataFrame, sets: DataFrame, text: str = "text", width: int =
 
 def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                    width: int = WIDTH, similarity: int = SIMILARITY,
-                   boundary: int | None = None, frequent: int = FREQUENT) -> DataFrame:
-    """One row per document: ``doc_id``, ``n_shingles``, ``set_id``, ``component_id``."""
+                   boundary: int | None = None, frequent: int = FREQUENT,
+                   count_links: bool = True) -> DataFrame:
+    """One row per document: ``doc_id``, ``n_shingles``, ``set_id``, ``component_id``, ``n_links``.
+
+    ``n_links``: the other documents it is similar to, copies included. Without
+    ``count_links`` there is no such column and fewer links are made; the classes are the same.
+    """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     named = settle(with_sets(docs, width=width).select("doc_id", "shingles.*"), "sets")
     sets = settle(named.filter("n_shingles > 0").groupBy("set_id", "n_shingles")
-                  .agg(F.min("doc_id").alias("first_id"), F.first("parities").alias("parities")),
+                  .agg(F.min("doc_id").alias("first_id"), F.first("parities").alias("parities"),
+                       F.count(F.lit(1)).alias("copies")),
                   "distinct-sets")
-    roots = components(set_links(docs, sets, "text", width, similarity, boundary, frequent))
+    links = set_links(docs, sets, "text", width, similarity, boundary, frequent, count_links)
+    roots = components(links)
     rooted = (sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
               .select("set_id", F.coalesce("root", "set_id").alias("root"), "first_id"))
     rooted = settle(rooted, "set-roots")
     first = settle(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")),
                    "root-ids")
     classes = settle(rooted.join(first, "root").select("set_id", "component_id"), "classes")
-    return (named.join(classes, "set_id", "left")
-            .select("doc_id", "n_shingles", "set_id",
-                    F.when(F.col("set_id").isNull(), F.col("doc_id"))
-                    .otherwise(F.col("component_id")).alias("component_id")))
+    columns = ["doc_id", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("doc_id"))
+               .otherwise(F.col("component_id")).alias("component_id")]
+    if count_links:
+        # Copies are counted, not paired.
+        both = links.select("a", "b").unionByName(
+            links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        linked = (both.join(sets.select(F.col("set_id").alias("b"), "copies"), "b")
+                  .groupBy(F.col("a").alias("set_id")).agg(F.sum("copies").alias("_others")))
+        numbers = settle(sets.select("set_id", "copies").join(linked, "set_id", "left").select(
+            "set_id", (F.coalesce("_others", F.lit(0)) + F.col("copies") - 1).alias("_links")),
+            "link-counts")
+        classes = classes.join(numbers, "set_id")
+        columns.append(F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
+    return named.join(classes, "set_id", "left").select(*columns)
 
 
 def one_of_each(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -474,7 +502,8 @@ def one_of_each(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     The row with the smallest id stays, of equal ids one of them. Documents
     without words all stay.
     """
-    joined = settle(join_documents(docs, similarity=similarity), "joined")
+    joined = settle(join_documents(docs, similarity=similarity, count_links=False),
+                    "joined")
     chosen = (joined.filter("set_id IS NOT NULL")
               .groupBy("set_id", "component_id").agg(F.min("doc_id").alias("first_id"))
               # A class without any id is its set alone or has none to choose by.
