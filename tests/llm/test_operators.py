@@ -131,6 +131,37 @@ def test_quality_rules_learn_and_score_all(spark):
 
 # -- joins -----------------------------------------------------------------------
 
+def test_lasso_is_fitted_until_its_tolerance(spark, monkeypatch):
+    rng = random.Random(2)
+    rows, labels = [], []
+    for i in range(400):
+        bad = rng.random() < 0.4
+        words = ["".join(rng.choices("abcdefg", k=rng.choice([3, 5, 9]))) for _ in range(40)]
+        noisy = bad != (rng.random() < 0.15)
+        rows.append((i, " ".join(w.upper() + "!" if noisy and rng.random() < 0.5 else w
+                                 for w in words)))
+        labels.append((i, int(not bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fitted = []
+    plain_lasso = quality_rules.LogisticRegression
+
+    class Recorded(quality_rules.LogisticRegression):
+        def fit(self, *a, **b):
+            fitted.append((super().fit(*a, **b), self.getMaxIter(), a[0]))
+            return fitted[-1][0]
+
+    monkeypatch.setattr(quality_rules, "LogisticRegression", Recorded)
+    quality_rules.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    (model, bound, rows), = fitted
+    assert model.summary.totalIterations < bound
+    # Merged rows give the loss of the single ones.
+    single = rows.select("label", "features", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    assert single.count() > rows.count()
+    plain = plain_lasso(elasticNetParam=1.0, regParam=quality_rules.PENALTY, maxIter=1000).fit(single)
+    assert model.summary.objectiveHistory[-1] == pytest.approx(
+        plain.summary.objectiveHistory[-1], rel=1e-3)
+
+
 def _classes(rows: list[tuple[int | None, str | None]]) -> dict:
     sets = []
     for i, text in rows:
