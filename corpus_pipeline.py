@@ -58,8 +58,8 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-# Trained models, tokenizer and plan cannot be written in SQL; the tests compare
-# with plain versions instead.
+# Trained models, tokenizer and plan cannot be written in SQL. The tests cover the
+# operators, not this chain of them.
 ORACLE_SQL = None
 
 
