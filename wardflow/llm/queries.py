@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 from wardflow.llm import (
     byte_bpe,
     jaccard_join,
+    lexical_search,
     line_cleaning,
     ngram_trie,
     packing,
     quality_rules,
     secret_forest,
     slot_sharding,
+    token_counts,
     vector_search,
     warc,
+    whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,17 +105,33 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded.bytes", 256).alias("decoded_sha256"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.with_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).select(
+        "doc_id", "size.*")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(lexical_search.index(_table(spark, sf_dir, "documents")),
+                                 _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_warc, op2_vector_search, op3_packing, op4_secret_forest, op5_quality_rules, op6_slot_sharding, op7_line_cleaning, op8_ngram_trie,
-        op9_byte_bpe,
-        op10_jaccard_join)}
+        op1_warc, op2_vector_search, op3_packing, op4_secret_forest, op5_quality_rules,
+        op6_slot_sharding, op7_line_cleaning, op8_ngram_trie, op9_byte_bpe,
+        op10_jaccard_join, op11_token_counts, op12_whitening, op13_lexical_search)}
 
 
 def oracles() -> dict[str, str]:
     """SQL with the same rows, for the queries SQL can express."""
     return {
         "op2_vector_search": _SEARCH,
+        "op13_lexical_search": _LEXICAL,
     }
 
 
@@ -133,3 +152,40 @@ ranked AS (
   FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+_LEXICAL = r"""
+WITH lowered AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents WHERE text IS NOT NULL),
+numbered AS (
+  SELECT row_number() OVER () AS row_id, doc_id, terms, len(terms) AS n
+  FROM lowered WHERE len(terms) > 0),
+corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM numbered),
+posting AS (
+  SELECT row_id, term, count(*) AS tf
+  FROM (SELECT row_id, unnest(terms) AS term FROM numbered) GROUP BY 1, 2),
+frequency AS (SELECT term, count(*) AS df FROM posting GROUP BY 1),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM frequency, corpus),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE text IS NOT NULL),
+repeats AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY 1, 2),
+normed AS (
+  SELECT row_id, doc_id, 75 + (25 * n * docs) // tokens AS m FROM numbered, corpus),
+scored AS (
+  SELECT item_id, row_id, any_value(doc_id) AS doc_id,
+    CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM repeats JOIN posting USING (term) JOIN weight USING (term) JOIN normed USING (row_id)
+  GROUP BY 1, 2),
+ranked AS (
+  SELECT item_id, doc_id, score,
+    row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""

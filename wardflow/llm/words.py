@@ -16,9 +16,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from wardflow.llm.carried import Carried
+
 BLOCK_BYTES = 1 << 21
 # A word beyond this many bytes is hashed by itself.
 _SEGMENT = 1 << 20
@@ -98,12 +101,15 @@ def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[Block]:
         row = stop
 
 
-def words(data: np.ndarray, bounds: np.ndarray) -> Words:
-    """All words; none reaches over the bounds of a text."""
+def words(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray = _SEPARATOR) -> Words:
+    """All words; none reaches over the bounds of a text.
+
+    ``separators``: a mark for each byte that is not part of a word.
+    """
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(none, none, none)
-    separator = _SEPARATOR[data]
+    separator = separators[data]
     cuts = bounds[(bounds > 0) & (bounds < len(data))]
     before = np.empty(len(data), bool)
     before[0], before[1:] = True, separator[:-1]
@@ -175,29 +181,31 @@ def add_struct(df: DataFrame, text: str, name: str, fields: StructType,
     """``df`` with a struct column made from the whole texts of a batch.
 
     ``compute`` gets the text column and returns one array per field. A column
-    of that name is replaced; all others pass unchanged.
+    of that name is replaced; all others pass unchanged, whatever their names.
     """
-    # The text may itself bear the name of the result.
-    kept = [c for c in df.columns if c != name]
-    taken = df.select(*[df[c].alias(f"_{i}") for i, c in enumerate(kept)],
-                      df[text].alias("_text"))
-    schema = StructType([*taken.schema.fields[:-1]]).add("_out", fields)
+    carried = Carried(df)
+    kept = [i for i, c in enumerate(carried.names) if c != name]
+    at = carried.names.index(text)
+    # The text is sent once; last, if it bears the name of the result and goes.
+    sent = kept if at in kept else [*kept, at]
+    taken = carried.rows.select(*[f"c{i}" for i in sent])
+    column, keep = sent.index(at), len(kept)
+    schema = StructType(taken.schema.fields[:keep]).add("_out", fields)
     arrow = to_arrow_schema(schema)
     kind = arrow.field("_out").type
 
     def run(batches):
         for batch in batches:
             made = [pa.array(x, type=kind.field(i).type)
-                    for i, x in enumerate(compute(batch.column(batch.num_columns - 1)))]
+                    for i, x in enumerate(compute(batch.column(column)))]
             out = pa.StructArray.from_arrays(made, fields=[kind.field(i) for i in
                                                            range(kind.num_fields)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], schema=pa.schema(
-                [*[batch.schema.field(i) for i in range(batch.num_columns - 1)],
-                 pa.field("_out", kind)]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], out], schema=pa.schema(
+                [*[batch.schema.field(i) for i in range(keep)], pa.field("_out", kind)]))
 
     result = taken.mapInArrow(run, schema)
-    return result.select(*[result[f"_{i}"].alias(c) for i, c in enumerate(kept)],
-                         result["_out"].alias(name))
+    return result.select(*[F.col(f"c{i}").alias(carried.names[i]) for i in kept],
+                         F.col("_out").alias(name))
 
 
 def joined(parts: list[list[np.ndarray]], types: list) -> list[np.ndarray]:
