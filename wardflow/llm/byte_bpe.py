@@ -8,13 +8,15 @@ ids behind it move up, and finished rows leave the matrix. A piece of more than
 heap instead.
 
 Defined results: a null or empty text has no ids. Ids that are not in the
-vocabulary are refused on decoding. Other columns pass unchanged.
+vocabulary are refused on decoding. Other columns pass unchanged, whatever their
+names. Repeated rows are coded each; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
@@ -27,9 +29,11 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 from wardflow.llm import words as W
 from wardflow.llm.pieces import PieceTable, ranges
 
-LONG = 256
+LONG = 4096
 # Texts are taken in groups of about this many characters.
-GROUP_CHARS = 1 << 21
+GROUP_CHARS = 1 << 18
+# Byte ids that a matrix holds at most.
+CELLS = 1 << 17
 # Pieces taken at a time from a text longer than a group.
 _STRETCH = 200_000
 _NONE = np.int32(2 ** 31 - 1)
@@ -113,8 +117,8 @@ class Vocabulary:
         width = 2
         while width <= LONG:
             own = rest[(size > width // 2) & (size <= width)] if width > 2 else rest[size <= 2]
-            for k in range(0, len(own), (1 << 20) // width):
-                self._merge_matrix(raw, own[k:k + (1 << 20) // width], width, out)
+            for k in range(0, len(own), CELLS // width):
+                self._merge_matrix(raw, own[k:k + CELLS // width], width, out)
             width *= 2
         counts = np.array([len(x) for x in out], np.int64)
         return np.concatenate(out) if out else np.zeros(0, np.int32), counts
@@ -224,25 +228,49 @@ def _encode_group(texts: list[str], pattern, table: PieceTable) -> tuple[np.ndar
     return ids, np.diff(total[np.concatenate([[0], np.cumsum(counts)])]).tolist()
 
 
+@lru_cache(maxsize=2)
+def _pieces(ranks: str) -> PieceTable:
+    """Pieces known to this worker, kept for its next tasks."""
+    return PieceTable(_vocabulary(ranks).encode)
+
+
+def _encoded(column: pa.Array, ranks: str, cut) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """Ids of the texts of a column, group by group, and each text's number of them."""
+    for group in _groups(column):
+        yield _encode_group(group, cut, _pieces(ranks))
+
+
+def _lists(ids: list[np.ndarray], sizes: list[int]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(
+        np.concatenate([np.zeros(0, np.int32), *ids])))
+
+
+def _decoded(ids: np.ndarray, sizes: list[int], ranks: str) -> list[bytes]:
+    """The bytes of runs of ids after each other."""
+    vocabulary = _vocabulary(ranks)
+    ids = ids.astype(np.int64)
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(vocabulary.starts) - 1):
+        raise ValueError("an id is not in the vocabulary")
+    starts = vocabulary.starts[ids]
+    counts = vocabulary.starts[ids + 1] - starts
+    data = vocabulary.bytes[ranges(starts, counts)].tobytes()
+    at = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+    return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text",
            name: str = "tokens") -> DataFrame:
     """``docs`` with a struct ``tokens.ids``: the ids of the whole text.
 
     ``ranks``: a rank file that every executor has at that path.
     """
-    tables: dict[str, PieceTable] = {}
-
     def compute(column: pa.Array) -> list:
-        if ranks not in tables:
-            tables[ranks] = PieceTable(_vocabulary(ranks).encode)
-        cut = regex.compile(pattern)
-        ids, sizes = [np.zeros(0, np.int32)], []
-        for group in _groups(column):
-            own, counts = _encode_group(group, cut, tables[ranks])
+        ids, sizes = [], []
+        for own, counts in _encoded(column, ranks, regex.compile(pattern)):
             ids.append(own)
             sizes += counts
-        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))]
+        return [_lists(ids, sizes)]
 
     return W.add_struct(docs, text, name, StructType().add("ids", ArrayType(IntegerType())),
                         compute)
@@ -251,17 +279,29 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text",
 def decode(docs: DataFrame, ranks: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """``docs`` with a struct ``decoded.bytes``: the bytes of the ids; null for null ids."""
     def compute(column: pa.Array) -> list:
-        vocabulary = _vocabulary(ranks)
-        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        if len(flat) and (flat.min() < 0 or flat.max() >= len(vocabulary.starts) - 1):
-            raise ValueError("an id is not in the vocabulary")
-        starts = vocabulary.starts[flat]
-        counts = vocabulary.starts[flat + 1] - starts
-        data = vocabulary.bytes[ranges(starts, counts)].tobytes()
-        at = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(sizes)])]
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        sizes = column.value_lengths().fill_null(0).to_pylist()
         null = column.is_null().to_pylist() if column.null_count else [False] * len(column)
-        return [pa.array([None if gone else data[a:b] for a, b, gone in
-                          zip(at[:-1], at[1:], null, strict=True)], pa.binary())]
+        return [pa.array([None if gone else x for x, gone in
+                          zip(_decoded(flat, sizes, ranks), null, strict=True)], pa.binary())]
 
     return W.add_struct(docs, ids, name, StructType().add("bytes", BinaryType()), compute)
+
+
+def encode_and_decode(docs: DataFrame, ranks: str, pattern: str, text: str = "text",
+                      name: str = "tokens") -> DataFrame:
+    """``docs`` with a struct of the text's ``ids`` and the ``bytes`` they decode to.
+
+    Both ways in one pass, group by group.
+    """
+    fields = StructType().add("ids", ArrayType(IntegerType())).add("bytes", BinaryType())
+
+    def compute(column: pa.Array) -> list:
+        ids, sizes, data = [], [], []
+        for own, counts in _encoded(column, ranks, regex.compile(pattern)):
+            ids.append(own)
+            sizes += counts
+            data += _decoded(own, counts, ranks)
+        return [_lists(ids, sizes), pa.array(data, pa.binary())]
+
+    return W.add_struct(docs, text, name, fields, compute)

@@ -3,13 +3,15 @@
 A line fails if it is *punctuation* (more than an eighth of its non-blank
 characters are ASCII punctuation other than ``.,;:'"-()`` or digits' signs),
 *navigation* (two or more ``|`` separators, with at most ``NAV_WORDS`` words to
-each), or *boilerplate* (it holds one of ``PHRASES``, in any case). Failing
+each), or *boilerplate* (``PHRASES``, in any case, make up at least
+``BOILERPLATE_SHARE`` of its words, so a mention in prose does no harm). Failing
 lines are removed. A document goes if its base checks fail or if the removed
 lines hold more than ``max_lost`` of its non-blank characters.
 
 Defined results: a null or empty text has no words, fails the base check and
 keeps a null or empty clean text. A null id, repeated rows and further columns
-pass unchanged; a column named like the result is replaced.
+pass unchanged; a column named like the result is replaced. An empty table gives an
+empty one. A very long text is a block of its own; memory follows the longest.
 """
 
 from __future__ import annotations
@@ -23,16 +25,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructType
 
 from wardflow.llm import words as W
+from wardflow.llm.carried import Carried
 
 MAX_LOST = 0.5
 MIN_WORDS = 50
 PUNCTUATION_SHARE = 0.125
 NAV_WORDS = 4
+BOILERPLATE_SHARE = 0.15
+# Phrases of site furniture and licences in English, German, French and Spanish.
 PHRASES = (
     "all rights reserved", "licensed under", "released under the", "cookie policy",
     "accept cookies", "privacy policy", "terms of use", "terms of service",
     "terms and conditions", "enable javascript", "click here", "sign up for",
     "subscribe to our", "skip to content", "back to top", "share this", "lorem ipsum",
+    "alle rechte vorbehalten", "lizenziert unter", "cookie-richtlinie", "cookies akzeptieren",
+    "datenschutzerklärung", "nutzungsbedingungen", "hier klicken", "zum inhalt springen",
+    "nach oben", "newsletter abonnieren", "javascript aktivieren",
+    "tous droits réservés", "sous licence", "accepter les cookies", "politique de cookies",
+    "politique de confidentialité", "conditions d'utilisation", "mentions légales",
+    "cliquez ici", "aller au contenu", "haut de page", "abonnez-vous à",
+    "todos los derechos reservados", "bajo licencia", "aceptar cookies",
+    "política de cookies", "política de privacidad", "términos de uso",
+    "términos y condiciones", "haga clic aquí", "saltar al contenido", "volver arriba",
+    "suscríbete a",
 )
 
 FIELDS = (StructType()
@@ -42,7 +57,7 @@ FIELDS = (StructType()
           .add("n_lines", LongType()).add("n_punctuation", LongType())
           .add("n_navigation", LongType()).add("n_boilerplate", LongType())
           .add("chars", LongType()).add("lost_chars", LongType())
-          .add("kept", BooleanType()).add("clean_text", StringType()))
+          .add("kept", BooleanType()))
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -74,7 +89,7 @@ def _spans(marks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return total[ends] - total[starts]
 
 
-def _measure(block: W.Block, max_lost: float) -> list:
+def _measure(block: W.Block, max_lost: float, clean: bool) -> list:
     data, bounds = block.data, block.bounds
     n = len(bounds) - 1
     found = W.words(data, bounds)
@@ -106,16 +121,24 @@ def _measure(block: W.Block, max_lost: float) -> list:
     pipes = _spans(data == ord("|"), starts, ends)
     punctuation = odd > PUNCTUATION_SHARE * chars
     navigation = (pipes >= 2) & (line_words <= (NAV_WORDS + 1) * (pipes + 1))
-    boilerplate = np.zeros(len(starts), bool)
+    phrase_words = np.zeros(len(starts), np.int64)
     # The bounds of texts and lines: a phrase counts only within one line.
     for hit in _PHRASE.finditer(data.tobytes()):
         k = int(np.searchsorted(starts, hit.start(), "right")) - 1
-        boilerplate[k] |= hit.end() <= ends[k]
+        if hit.end() <= ends[k]:
+            phrase_words[k] += 1 + hit.group().count(b" ")
+    boilerplate = (phrase_words > 0) & (phrase_words >= BOILERPLATE_SHARE * line_words)
     failed = (punctuation | navigation | boilerplate) & (line_words > 0)
     total = np.bincount(text, weights=chars, minlength=n).astype(np.int64)
     lost = np.bincount(text[failed], weights=chars[failed], minlength=n).astype(np.int64)
     kept = ~base_failed & (lost <= max_lost * total)
 
+    lines = [np.bincount(text[x & (line_words > 0)], minlength=n)
+             for x in (line_words > 0, punctuation, navigation, boilerplate)]
+    counts = [n_words, word_chars, n_symbols, n_dup_lines, n_repeat, base_failed, *lines,
+              total, lost, kept]
+    if not clean:
+        return counts
     gone: dict[int, list[int]] = {}
     for k in np.flatnonzero(failed):
         gone.setdefault(int(text[k]), []).append(k)
@@ -128,31 +151,42 @@ def _measure(block: W.Block, max_lost: float) -> list:
             continue
         rest = np.setdiff1d(np.arange(first[i], first[i + 1]), gone[i])
         cleaned.append(b"\n".join(raw[starts[k]:ends[k]] for k in rest).decode("utf-8", "replace"))
-    lines = [np.bincount(text[x & (line_words > 0)], minlength=n)
-             for x in (line_words > 0, punctuation, navigation, boilerplate)]
-    return [n_words, word_chars, n_symbols, n_dup_lines, n_repeat, base_failed, *lines,
-            total, lost, kept, np.array(cleaned, dtype=object)]
+    return [*counts, np.array(cleaned, dtype=object)]
 
 
 def clean_lines(docs: DataFrame, text: str = "text", name: str = "lines",
-                max_lost: float = MAX_LOST) -> DataFrame:
-    """``docs`` with a struct of counts, verdict and the text without failing lines."""
-    types = [np.int64] * 5 + [bool] + [np.int64] * 6 + [bool, object]
+                max_lost: float = MAX_LOST, clean: bool = True) -> DataFrame:
+    """``docs`` with a struct of counts and verdict.
+
+    ``clean`` adds the field ``clean_text``, the text without failing lines.
+    """
+    types = [np.int64] * 5 + [bool] + [np.int64] * 6 + [bool] + [object] * clean
+    fields = StructType([*FIELDS.fields])
+    if clean:
+        fields = fields.add("clean_text", StringType())
 
     def compute(column: pa.Array) -> list:
-        out = W.joined([_measure(b, max_lost) for b in W.blocks(column)], types)
-        # A null text stays null.
-        out[-1] = pa.array(out[-1], type=pa.string(), mask=column.is_null().to_numpy(
-            zero_copy_only=False) if column.null_count else None)
+        out = W.joined([_measure(b, max_lost, clean) for b in W.blocks(column)], types)
+        if clean:  # a null text stays null
+            out[-1] = pa.array(out[-1], type=pa.string(), mask=column.is_null().to_numpy(
+                zero_copy_only=False) if column.null_count else None)
         return out
 
-    return W.add_struct(docs, text, name, FIELDS, compute)
+    return W.add_struct(docs, text, name, fields, compute)
+
 
+def kept_documents(docs: DataFrame, text: str = "text", chars: str = "n_chars") -> DataFrame:
+    """The documents that stay, without their failing lines, in the same columns.
 
-def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that stay, without their failing lines, in the same columns."""
-    cleaned = clean_lines(docs, name="_lines").filter("_lines.kept")
-    changes = {"text": F.col("_lines.clean_text")}
-    if "n_chars" in docs.columns:
-        changes["n_chars"] = F.length("_lines.clean_text").cast(docs.schema["n_chars"].dataType)
-    return cleaned.withColumns(changes).select(*docs.columns)
+    A column ``chars``, if there is one, is the new texts' length. Null and empty texts
+    go. All other columns pass, whatever their names.
+    """
+    carried = Carried(docs)
+    column = carried[text]
+    cleaned = (clean_lines(carried.rows, column, "_lines").filter("_lines.kept")
+               .withColumn(column, F.col("_lines.clean_text")))
+    if chars in carried.names:
+        size = carried[chars]
+        cleaned = cleaned.withColumn(
+            size, F.length(column).cast(carried.rows.schema[size].dataType))
+    return carried.back(cleaned)

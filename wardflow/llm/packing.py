@@ -69,6 +69,12 @@ def _encode(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(counts)
 
 
+@lru_cache(maxsize=2)
+def _word_table(path: str) -> PieceTable:
+    """Words known to this worker, kept for its next tasks."""
+    return PieceTable(lambda words: _encode(path, words))
+
+
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text",
            window: int = WINDOW) -> DataFrame:
     """Full windows and rests of all texts, with the checksum of their ids.
@@ -93,7 +99,7 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
                 yield i, start, len(piece), zlib.crc32(piece.tobytes()), len(whole)
 
     def run(batches):
-        table = PieceTable(lambda words: _encode(tokenizer, words))
+        table = _word_table(tokenizer)
         part, counter = TaskContext.get().partitionId(), Counter(window + 1)
         for batch in batches:
             texts = batch.column(1).to_pylist()

@@ -11,7 +11,8 @@ with the smallest hash of the id. Everything else covers all rows.
 Defined results: a null text counts as empty and gets a score too. Without
 labelled rows of both classes there are no rules, and the score is the share of
 label 1 (0.5 without labels). Ids may be null or repeated: the statistics travel
-with their row, so none is lost or doubled by a join.
+with their row, so none is lost or doubled by a join. Columns pass whatever their
+names; an empty table gives an empty one. Texts of any length are measured whole.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from wardflow.llm import words as W
+from wardflow.llm.carried import Carried
 from wardflow.session import settle
 
 TRAIN_ROWS = 20_000
@@ -244,8 +246,17 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> R
     return fit(with_statistics(training_rows(docs, labels, "quality", train_rows)), "_label")
 
 
-def scored(docs: DataFrame, model: RuleEnsemble, name: str = "score") -> DataFrame:
+def scored(docs: DataFrame, model: RuleEnsemble, name: str = "score",
+           text: str = "text") -> DataFrame:
     """``docs`` with the score of the whole text; a column of that name is replaced."""
-    kept = [c for c in docs.columns if c != name]
-    measured = with_statistics(docs, name="_statistics")
-    return measured.select(*kept, model.score("_statistics").alias(name))
+    carried = Carried(docs)
+    measured = with_statistics(carried.rows, carried[text], "_statistics")
+    return measured.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carried.names)
+                             if c != name], model.score("_statistics").alias(name))
+
+
+def kept_documents(docs: DataFrame, model: RuleEnsemble, least: float) -> DataFrame:
+    """The documents with a score of at least ``least``, in the same columns."""
+    carried = Carried(docs)
+    measured = with_statistics(carried.rows, carried["text"], "_statistics")
+    return carried.back(measured.filter(model.score("_statistics") >= least))

@@ -41,8 +41,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_cleaning.clean_lines(docs).select(
-        "doc_id", *[f"lines.{c}" for c in line_cleaning.FIELDS.names if c != "clean_text"])
+    return line_cleaning.clean_lines(docs, clean=False).select("doc_id", "lines.*")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,13 +95,12 @@ def op8_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN).select(
-        "doc_id", F.col("tokens.ids").alias("ids"))
-    return byte_bpe.decode(encoded.withColumn("_ids", F.col("ids")), ranks, "_ids").select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256)
+    coded = byte_bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id", F.size("tokens.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("tokens.ids").cast("array<string>"), " ").cast("binary"), 256)
         .alias("ids_sha256"),
-        F.sha2("decoded.bytes", 256).alias("decoded_sha256"))
+        F.sha2("tokens.bytes", 256).alias("decoded_sha256"))
 
 
 def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@ findings may be added.
 Defined results: null and empty texts have no findings. A secret that occurs
 twice is two findings. The body of a PEM block is one finding, its lines parted by
 line feeds, and counts as one word. All rows and columns pass; a column named like
-the result is replaced.
+the result is replaced. Texts and values may be of any length; an empty table gives
+no findings.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardflow.llm.carried import Carried
 from wardflow.session import settle
 
 LABELLED_ROWS = 4000
@@ -37,26 +39,35 @@ TREES = 15
 DEPTH = 5
 THRESHOLD = 0.5
 MASK = "[SECRET]"
+# Characters of a word before a candidate that are looked at, and of each word before it.
+CONTEXT = 200
 
+# Repeated groups are possessive, which Java matches in a loop; others it matches by
+# recursion, and a long value would overflow the stack.
 _BODY = r"[A-Za-z0-9+/_\-]"
-_PLAIN = (rf"(?<!{_BODY})(?=[A-Za-z0-9+/_.\-]*[0-9])(?=[A-Za-z0-9+/_.\-]*[A-Za-z])"
-          rf"(?:[A-Z]{{2,4}}\.)?{_BODY}{{8,}}+(?:\.{_BODY}{{8,}}+)*(?:={{1,2}}(?![A-Za-z0-9+/_=\-]))?")
+_PLAIN = (rf"(?<!{_BODY})(?:[A-Z]{{2,4}}\.)?{_BODY}{{8,}}+(?:\.{_BODY}{{8,}}+)*+"
+          r"(?:={1,2}(?![A-Za-z0-9+/_=\-]))?")
 _GLUE = "\x01"  # stands for the line ends in a PEM block
-# A value may hold more symbols; an @ before a host ends it.
-_VALUE = (r"(?<=[=:][\"'`]?)(?!//)(?:[A-Za-z0-9+/_.~!#$%^*|\-]|@(?![a-z0-9.\-]+[:/])){5,}"
-          r"[A-Za-z0-9+/_~!#$%^*|\-]={0,2}")
+# A value may hold more symbols. An @ before a host ends it, and no dot or @ is its last.
+_INNER = r"(?:\.|@(?![a-z0-9.\-]++[:/]))"
+_LAST = r"[A-Za-z0-9+/_~!#$%^*|\-]"
+_VALUE = (rf"(?<=[=:][\"'`]?)(?!//)(?=(?:{_INNER}|{_LAST}){{5}}{_INNER}*+{_LAST})"
+          rf"(?:{_INNER}*+{_LAST}++)++={{0,2}}")
 _RUN = rf"(?<={_GLUE})[A-Za-z0-9+/={_GLUE}]*[A-Za-z0-9+/=]|{_VALUE}|{_PLAIN}"
 # Texts without this have no candidate.
-_ANY = rf"[=:][\x20\x09-\x0D\"'`]*[^\x20\x09-\x0D\"'`]{{6}}|-----BEGIN |{_PLAIN}"
-_LINE_END = r"(?:\s|\\[rn])+"
+_ANY = (r"[=:][\x20\x09-\x0D\"'`]*+[^\x20\x09-\x0D\"'`]{6}|-----BEGIN |"
+        rf"(?<!{_BODY})(?=[A-Za-z+/_\-]*+[0-9]){_BODY}{{8}}")
+_LINE_END = r"(?:\s|\\[rn])++"
 # The first line of a PEM block with its headers, then one line of base64 at a time.
-_BLOCK = (r"(?:(-----BEGIN [A-Z0-9 ]+-----)(?:\s+[A-Za-z\-]+: [^\r\n]*)*|(?!\A)\G"
-          rf"([A-Za-z0-9+/]{{40,}}={{0,2}}|=?[A-Za-z0-9+/]+={{0,2}}(?={_LINE_END}-----END)))"
+_BLOCK = (r"(?:(-----BEGIN [A-Z0-9 ]+-----)(?:\s+[A-Za-z\-]+: [^\r\n]*+)*+|(?!\A)\G"
+          rf"([A-Za-z0-9+/]{{40,}}+={{0,2}}|=?[A-Za-z0-9+/]++={{0,2}}(?={_LINE_END}-----END)))"
           + _LINE_END)
 _SPACE = r"[\x20\x09-\x0D]+"
 _ASSIGNED = r"[=:]>?\s*[\"'`]?$"
 _CREDENTIAL = (r"(?i)(token|secret|passw|passphrase|[_\-.]pass\b|pwd|api.?key|access.?key|auth|"
                r"bearer|credential|private|(signing|encryption|account|master).?key|"
+               r"kennwort|geheim|zugangscode|contrase|clave|secreto|credencial|"
+               r"\bpasse\b|\bmdp\b|cl[eé].?(secr|priv|api)|jeton|"
                r"://[^\s/@:]+:$)")
 _PREFIX = (r"^(sk[-_]|pk_live|rk_live|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|AKIA|ASIA|AIza|"
            r"eyJ[A-Za-z0-9_\-]+\.|SG\.|npm_|hf_)")
@@ -146,7 +157,8 @@ def labelled_lines(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFrame:
                          "my_", "in ", shift=10),
                     pick("token", "secret", "api_key", "password", "access_key", "auth_token",
                          "client secret", "AWS_SECRET_ACCESS_KEY", "apiKey", "access_token",
-                         "PRIVATE_KEY", "passphrase", shift=11),
+                         "PRIVATE_KEY", "passphrase", "passwort", "Kennwort", "contraseña",
+                         "clave", "mot de passe", "jeton", shift=11),
                     pick(" = ", "=", "=", ": ", " := ", "\": ", shift=12))
     quote = pick("\"", "'", "", "", shift=13)
     end = pick("", " and", "&page=2", ",", shift=25)
@@ -241,8 +253,9 @@ def _candidates(text: Column) -> Column:
         previous = F.coalesce(F.get(all_words, i - 1), F.lit(""))
         # A value that follows its name and a space is taken like one without the space.
         glued = F.when(previous.rlike(r"[=:]>?$"), F.concat(F.lit("="), word)).otherwise(word)
-        lead = F.array_join(F.slice(all_words, F.greatest(i - 2, F.lit(0)) + 1,
-                                    F.least(i, F.lit(2))), " ")
+        lead = F.array_join(F.transform(
+            F.slice(all_words, F.greatest(i - 2, F.lit(0)) + 1, F.least(i, F.lit(2))),
+            lambda w: F.substring(w, -CONTEXT, CONTEXT)), " ")
 
         def next_one(state: Column, c: Column) -> Column:
             at = F.call_function("locate", c, word, state["next"])
@@ -250,15 +263,20 @@ def _candidates(text: Column) -> Column:
                 (at + F.length(c)).alias("next"),
                 F.concat(state["found"], F.array(F.struct(
                     i.alias("word_no"), F.replace(c, F.lit(_GLUE), F.lit("\n")).alias("candidate"),
-                    F.concat(lead, F.lit(" "), F.substring(word, F.lit(1), at - 1)).alias("before"),
+                    F.concat(lead, F.lit(" "), F.substring(
+                        word, F.greatest(at - CONTEXT, F.lit(1)),
+                        F.least(at - 1, F.lit(CONTEXT)))).alias("before"),
                     F.coalesce(F.nullif(F.substring(word, at + F.length(c), F.lit(40)), F.lit("")),
-                               F.concat(F.lit(" "), F.get(all_words, i + 1)), F.lit(""))
+                               F.concat(F.lit(" "), F.substring(F.get(all_words, i + 1), 1, 40)),
+                               F.lit(""))
                     .alias("after")))).alias("found"))
 
         none = F.array().cast("array<struct<word_no:int,candidate:string,before:string,"
                               "after:string>>")
         return F.aggregate(
-            F.regexp_extract_all(glued, F.lit(_RUN), F.lit(0)),
+            # Words of letters alone match too, and only a named value may be one.
+            F.filter(F.regexp_extract_all(glued, F.lit(_RUN), F.lit(0)),
+                     lambda c: c.rlike("[0-9]") | glued.rlike("[=:]")),
             F.struct(F.lit(1).alias("next"), none.alias("found")), next_one)["found"]
 
     # An array of one element holds the words, which are split once.
@@ -299,9 +317,15 @@ def findings(docs: DataFrame, forest: Forest, doc_id: str = "doc_id", text: str
 
 
 def masked(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD,
-           mask: str = MASK) -> DataFrame:
-    """``docs`` with every secret replaced by ``mask``, in the same columns."""
-    found = with_findings(docs, forest, name="_findings")
+           mask: str = MASK, text: str = "text", chars: str = "n_chars") -> DataFrame:
+    """``docs`` with every secret replaced by ``mask``, in the same columns.
+
+    A column ``chars``, if there is one, is the changed texts' new length. All other
+    columns pass, whatever their names.
+    """
+    carried = Carried(docs)
+    column = carried[text]
+    found = with_findings(carried.rows, forest, column, "_findings")
     secrets = F.array_distinct(F.transform(
         F.filter("_findings", lambda x: x["score"] >= threshold), lambda x: x["candidate"]))
     # Longer ones first: one secret may be a part of another.
@@ -309,14 +333,15 @@ def masked(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD,
         F.length(s).alias("n"), s.alias("s")))))
     # Whole strings only: a short secret may also be a part of a word.
     put = F.lit(mask.replace("\\", "\\\\").replace("$", "\\$"))
-    text = F.aggregate(secrets, F.col("text"), lambda t, s: F.regexp_replace(t, F.concat(
+    changed = F.aggregate(secrets, F.col(column), lambda t, s: F.regexp_replace(t, F.concat(
         F.lit(r"(?:(?<![A-Za-z0-9])|(?<=\\[nrt]))\Q"),
         F.replace(s["s"], F.lit("\n"), F.lit(rf"\E{_LINE_END}\Q")),
         F.lit(r"\E(?![A-Za-z0-9])")), put))
-    changes = {"text": F.when(F.size("_findings") > 0, text).otherwise(F.col("text"))}
-    out = found.withColumns(changes)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(
-            F.size("_findings") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
-            .otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = found.withColumn(column, F.when(F.size("_findings") > 0, changed)
+                           .otherwise(F.col(column)))
+    if chars in carried.names:
+        size = carried[chars]
+        out = out.withColumn(size, F.when(
+            F.size("_findings") > 0, F.length(column).cast(carried.rows.schema[size].dataType))
+            .otherwise(F.col(size)))
+    return carried.back(out)
