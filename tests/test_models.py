@@ -137,7 +137,7 @@ def test_only_absent_models_are_trained(spark, tables, risk, tmp_path, monkeypat
     for name in ("risk", "followup", "vitals"):
         monkeypatch.setattr(M, f"train_{name}",
                             lambda *args, name=name: trained.append(name) or risk)
-    risk.model.write().save(f"{tmp_path}/risk")
+    M.fit_or_load(spark, f"{tmp_path}/risk", lambda: risk)
     assert set(M.load_models(spark, tables, str(tmp_path), TODAY)) == {
         "risk", "followup", "vitals"}
     assert trained == ["followup", "vitals"]

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle_check import connect, difference
+from wardflow.plans import oracles, queries
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -21,7 +22,7 @@ def test_same_rows(spark, duck, name):
 
 
 def test_only_models_lack_an_oracle():
-    without = set(entry.queries()) - set(entry.oracle_sql())
+    without = set(queries.queries()) - set(oracles.oracles())
     assert without == {f"{m}_{k}" for m in ("risk", "followup", "vitals")
                        for k in ("scores", "metrics")}
     assert not set(entry.oracle_sql()) - set(entry.queries())

@@ -97,7 +97,7 @@ def test_filters_reach_the_scan(written):
     text = plan(OPERATORS["missed_follow_ups"](written))
     assert "EqualTo(follow_up_required,true)" in text
     assert "LessThan(follow_up_date,2002-01-01)" in text
-    text = plan(profile.patient_profile(written, "P00000001"))
+    text = plan(profile.profile_entries(written, "P00000001"))
     assert text.count("EqualTo(patient_id,P00000001)") == text.count("ReadSchema")
     text = plan(reports.patient(written, "P00000001"))
     assert "EqualTo(patient_id,P00000001)" in text and "Exchange" not in text
@@ -115,14 +115,17 @@ def exchanges(text: str) -> int:
 
 
 def test_numbers_of_shuffles(written):
-    """Without hot patients: one shuffle per table, and one for the final order."""
+    """Without hot patients: one shuffle per table, and one for the final order.
+
+    Profiles and lagged vitals start from rows dealt by range and written.
+    """
     found = {n: exchanges(plan(OPERATORS[n](written))) for n in (
         "recent_vitals", "patient_profile", "vitals_lag_features", "risk_features",
         "followup_features", "missed_follow_ups", "abnormal_vitals", "check_vitals")}
     assert found == {
         "recent_vitals": 1,
-        "patient_profile": 2,        # all entries; patients
-        "vitals_lag_features": 2,    # vitals; patients
+        "patient_profile": 4,        # parts of lists; pages; pages by patient; patients
+        "vitals_lag_features": 3,    # parts of patients; vitals; patients
         "risk_features": 4,          # patients; latest readings; history; deliveries
         "followup_features": 3,      # visits; last visits; patients
         "missed_follow_ups": 4,      # as above, and the order

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import TODAY, hospital, patient
-from wardflow.functions import skew
+from wardflow.functions import scan, skew
 from wardflow.operators import features, profile, quality, reports
 
 START = datetime(2000, 1, 1)
@@ -62,29 +62,52 @@ def test_split_is_whole(crowded):
     assert (split.cold.count(), split.hot.count(), split.listed.count()) == (606, 300, 1)
 
 
-@pytest.mark.parametrize("hot_rows", [1, 100, skew.HOT_ROWS])
-def test_numbering(crowded, hot_rows):
-    df = skew.numbered(crowded["vitals"], ["patient_id"], [F.desc("recorded_at"), F.desc("vital_id")],
-                       skew.hour_bucket(F.col("recorded_at"), newest_first=True), ["vital_id"],
-                       "place", hot_rows)
+@pytest.mark.parametrize("parts", [None, 1, 4, 60])
+def test_numbering(crowded, parts):
+    df = scan.numbered(crowded["vitals"], ["patient_id"],
+                       [F.desc("recorded_at"), F.desc("vital_id")], "place", parts)
     groups = by_patient(df.collect(), lambda r: (-r.recorded_at.timestamp(), -r.vital_id))
     assert sum(map(len, groups.values())) == 906
     for rows in groups.values():
         assert [r.place for r in rows] == list(range(1, len(rows) + 1))
 
 
-@pytest.mark.parametrize("hot_rows", [1, 50, skew.HOT_ROWS])
-def test_numbering_with_missing_dates(crowded, hot_rows):
-    df = skew.numbered(crowded["delivery_information"], ["patient_id"],
-                       [F.desc("delivery_date"), F.desc("delivery_id")],
-                       skew.day_bucket(F.col("delivery_date"), newest_first=True),
-                       ["delivery_id"], "place", hot_rows)
+@pytest.mark.parametrize("parts", [None, 1, 4, 60])
+def test_numbering_with_missing_dates(crowded, parts):
+    df = scan.numbered(crowded["delivery_information"], ["patient_id"],
+                       [F.desc("delivery_date"), F.desc("delivery_id")], "place", parts)
     groups = by_patient(df.collect(), lambda r: (
         r.delivery_date is None, -(r.delivery_date or TODAY).toordinal(), -r.delivery_id))
     for rows in groups.values():
         assert [r.place for r in rows] == list(range(1, len(rows) + 1))
 
 
+@pytest.mark.parametrize("moment", [None, START])
+def test_rows_of_one_moment_lie_in_several_parts(spark, moment):
+    """A patient whose rows all share a time, or have none, is no single task's work."""
+    rows = [(k, n, moment) for k, size in (("hot", 3000), ("a", 2), (None, 40), ("z", 1))
+            for n in range(size)]
+    df = spark.createDataFrame(rows, "key string, id long, at timestamp_ntz").repartition(5)
+    dealt = scan._dealt(df, ["key"], [F.asc("at"), F.asc("id")], 8)
+    sizes = [r["count"] for r in dealt.groupBy("_part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1000
+    assert {(r.key,) for r in scan._cut_keys(dealt, ["key"]).collect()} == {("hot",)}
+    order = [F.asc("at"), F.asc("id")]
+    assert all(r.place == r.id + 1
+               for r in scan.numbered(df, ["key"], order, "place", 8).collect())
+    lags = scan.lagged(df, ["key"], ["at", "id"], {"before": "id", "then": "at"}, 8).collect()
+    assert len(lags) == 3043
+    for r in lags:
+        assert r.before == (r.id - 1 if r.id else None)
+        assert r.then == (moment if r.id else None)
+
+
+def test_scans_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "key string, id long")
+    assert scan.numbered(df, ["key"], [F.asc("id")], "place").collect() == []
+    assert scan.lagged(df, ["key"], ["id"], {"before": "id"}).collect() == []
+
+
 @pytest.mark.parametrize("width", [10, skew.HOT_ROWS])
 def test_numbering_a_whole_table(spark, width):
     ids = [*range(-50, 3000, 7), 10 ** 6, 2 ** 62]
@@ -94,12 +117,10 @@ def test_numbering_a_whole_table(spark, width):
         (i, n) for n, i in enumerate(ids, start=1)]
 
 
-@pytest.mark.parametrize("hot_rows", [1, 100, skew.HOT_ROWS])
-def test_lag(crowded, hot_rows):
-    split = skew.lagged(
-        crowded["vitals"], ["patient_id"], [F.asc("recorded_at"), F.asc("vital_id")],
-        {"before": "vital_id"}, skew.hour_bucket(F.col("recorded_at")), ["vital_id"], hot_rows)
-    rows = split.whole().collect()
+@pytest.mark.parametrize("parts", [None, 1, 4, 60])
+def test_lag(crowded, parts):
+    rows = scan.lagged(crowded["vitals"], ["patient_id"], ["recorded_at", "vital_id"],
+                       {"before": "vital_id"}, parts).collect()
     groups = by_patient(rows, lambda r: (r.recorded_at, r.vital_id))
     assert len(rows) == 906
     for group in groups.values():
@@ -120,17 +141,13 @@ def test_latest_with_ties(crowded, hot_rows):
 @pytest.mark.parametrize("hot_rows", [1, 100])
 def test_operators_do_not_depend_on_hot_keys(crowded, hot_rows):
     for run in (lambda **k: reports.high_risk(crowded, TODAY, **k),
-                lambda **k: features.risk_features(crowded, TODAY, **k),
-                lambda **k: features.vitals_lag_features(crowded, **k),
-                lambda **k: profile.patient_profile(crowded, page_size=40, **k)):
+                lambda **k: features.risk_features(crowded, TODAY, **k)):
         assert sorted(map(str, run(hot_rows=hot_rows).collect())) == sorted(
             map(str, run().collect()))
 
 
-@pytest.mark.parametrize("hot_rows", [1, 100, skew.HOT_ROWS])
-def test_profile_pages_are_whole_and_bounded(crowded, hot_rows):
-    rows = profile.patient_profile(crowded, "hot", page_size=40, hot_rows=hot_rows).orderBy(
-        "page").collect()
+def test_profile_pages_are_whole_and_bounded(crowded):
+    rows = profile.patient_profile(crowded, "hot", page_size=40).orderBy("page").collect()
     assert [r.page for r in rows] == list(range(8))
     listed = [v for r in rows for v in r.vitals]
     assert len(listed) == 300

@@ -6,10 +6,11 @@ from a shuffle, and a window puts every row of its key in one task. Here:
 
 * Top-n per key filters on the rank, which Spark applies before the shuffle as
   well, so each task sends at most n rows per key.
-* For the rest, keys with very many rows are found first. Their rows meet the
-  few matching parents by a broadcast join, and are numbered or lagged in
-  ordered buckets (an hour, a range of ids) that are joined up again. All other
-  keys take the ordinary join or window.
+* For joins, keys with very many rows are found first. Their rows meet the few
+  matching parents by a broadcast join. All other keys take the ordinary join.
+* A whole table is numbered in ranges of its number.
+
+Places and previous rows within a key are in ``scan.py``.
 
 Which keys are treated as hot never changes a result, only where the work runs.
 If there are none, adaptive execution drops that part of the plan.
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key is cut into buckets from about this many rows on.
+# A key is hot from about this many rows on.
 HOT_ROWS = 1_000_000
 # Upper bound of the broadcast list of such keys. A key outside the list has
 # fewer rows than that, or less than 1/4096 of the table.
@@ -33,7 +34,6 @@ _COUNTED = 1000
 
 _BUCKET = "_bucket"
 _BEFORE = "_rows_before"
-_LAST_BUCKET = 2 ** 62
 
 
 @dataclass(frozen=True)
@@ -116,62 +116,11 @@ def split_hot(df: DataFrame, keys: Sequence[str], unique: Sequence[str],
                  df.join(F.broadcast(listed), keys, "left_semi"), listed)
 
 
-def hour_bucket(moment: Column, newest_first: bool = False) -> Column:
-    """Bucket for rows ordered by a date or timestamp, NULLs last."""
-    hours = F.unix_date(moment.cast("date")).cast("bigint") * 24 + F.hour(moment)
-    return F.coalesce(-hours if newest_first else hours, F.lit(_LAST_BUCKET))
-
-
-def day_bucket(day: Column, newest_first: bool = False) -> Column:
-    """Bucket for rows ordered by a date, NULLs last."""
-    days = F.unix_date(day).cast("bigint")
-    return F.coalesce(-days if newest_first else days, F.lit(_LAST_BUCKET))
-
-
 def id_bucket(number: Column, width: int = HOT_ROWS) -> Column:
     """Bucket for rows ordered by an ascending unique number."""
     return F.floor(number / width)
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column,
-             unique: Sequence[str], name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Number the rows of each key from 1 in the given order.
-
-    ``bucket`` must not decrease along ``order``; with a unique order the
-    result is the same whichever keys are hot.
-    """
-    split = split_hot(df, keys, unique, hot_rows)
-    return number_whole(split.cold, keys, order, name).unionByName(
-        number_by_bucket(split.hot, keys, order, bucket, name))
-
-
-def number_whole(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-                 name: str) -> DataFrame:
-    """Number the rows of each key in one window; for keys that are not hot."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(window).cast("bigint"))
-
-
-def number_by_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-                     bucket: Column, name: str) -> DataFrame:
-    """Number the rows of each key bucket by bucket.
-
-    Each row adds its place in its bucket to the size of the earlier buckets.
-    """
-    cut = df.withColumn(_BUCKET, bucket)
-    local = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
-    # One row per bucket reaches this window, not one per row of the key.
-    earlier = (Window.partitionBy(*keys).orderBy(_BUCKET)
-               .rowsBetween(Window.unboundedPreceding, -1))
-    sizes = cut.groupBy(*keys, _BUCKET).agg(F.count(F.lit(1)).alias("_rows"))
-    before = sizes.select(*keys, _BUCKET,
-                          F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias(_BEFORE))
-    return (cut.withColumn(name, F.row_number().over(local))
-            .join(before, [*keys, _BUCKET])
-            .withColumn(name, F.col(name) + F.col(_BEFORE))
-            .select(*df.columns, name))
-
-
 def number_table(df: DataFrame, number: str, name: str, width: int = HOT_ROWS) -> DataFrame:
     """Number all rows from 1 along a unique whole number.
 
@@ -196,30 +145,3 @@ def number_table(df: DataFrame, number: str, name: str, width: int = HOT_ROWS) -
     return (cut.withColumn(name, F.row_number().over(local)).join(before, _BUCKET)
             .withColumn(name, F.col(name) + F.col(_BEFORE))
             .select(*df.columns, name))
-
-
-def lagged(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-           lags: dict[str, str], bucket: Column, unique: Sequence[str],
-           hot_rows: int = HOT_ROWS) -> Split:
-    """``df`` with values of the previous row of the same key.
-
-    ``lags`` maps each new column to the column it is taken from.
-    """
-    split = split_hot(df, keys, unique, hot_rows)
-    whole = Window.partitionBy(*keys).orderBy(*order)
-    take = {new: F.lag(old).over(whole) for new, old in lags.items()}
-
-    cut = split.hot.withColumn(_BUCKET, bucket)
-    local = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
-    cut = cut.withColumns({
-        **{new: F.lag(old).over(local) for new, old in lags.items()},
-        "_first": F.row_number().over(local) == 1,
-        "_last": F.lead(F.lit(1)).over(local).isNull(),
-    })
-    # The row before a bucket's first row is the last row of an earlier bucket,
-    # so the first and last rows alone give the remaining values.
-    edges = cut.filter(F.col("_first") | F.col("_last")).withColumns(take)
-    columns = [*df.columns, *lags]
-    hot = (cut.filter(~F.col("_first")).select(*columns)
-           .unionByName(edges.filter("_first").select(*columns)))
-    return Split(split.cold.withColumns(take), hot, split.listed)

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import date
-from itertools import product
+from itertools import count, product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardflow.functions import exprs as E
-from wardflow.functions import skew
+from wardflow.functions import scan, skew
 from wardflow.operators.reports import last_visit_per_patient, missed_condition
+from wardflow.session import settle
 
 Tables = Mapping[str, DataFrame]
 
@@ -168,7 +171,7 @@ def followup_features_serving(t: Tables, as_of: date | None = None) -> DataFrame
 
 # -- future vitals ------------------------------------------------------------
 
-def vitals_lag_features(t: Tables, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def vitals_lag_features(t: Tables) -> DataFrame:
     """Each reading with the patient's previous one; target is the systolic pressure.
 
     Age is the age at the reading. Rows whose target is missing are kept.
@@ -176,9 +179,8 @@ def vitals_lag_features(t: Tables, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     patients = t["patients"].select("patient_id", "date_of_birth",
                                     F.coalesce("gender", F.lit(UNKNOWN)).alias("gender"))
     age = E.years_between("date_of_birth", "recorded_at")
-    return (skew.lagged(_vitals(t), ["patient_id"], [F.asc("recorded_at"), F.asc("vital_id")],
-                        PREVIOUS, skew.hour_bucket(F.col("recorded_at")), ["vital_id"], hot_rows)
-            .map(lambda rows: rows.dropna(subset=NEEDED_PREVIOUS))
+    return (scan.lagged(_vitals(t), ["patient_id"], ["recorded_at", "vital_id"], PREVIOUS)
+            .dropna(subset=NEEDED_PREVIOUS)
             .join(patients, "patient_id")
             .select("patient_id", "vital_id", "recorded_at", "gender",
                     age.alias("age_at_recording"), *PREVIOUS, "blood_pressure_systolic"))
@@ -196,16 +198,79 @@ def vitals_features_serving(t: Tables, as_of: date | None = None) -> DataFrame:
 
 # -- preparation --------------------------------------------------------------
 
+# Bins of a pass of the selection by rank.
+BINS = 1024
+
+
+def _finite(value: Column) -> Column:
+    largest = float(np.finfo(float).max)
+    return F.when(value.isNull() | F.isnan(value), value).otherwise(
+        F.greatest(F.least(value, F.lit(largest)), F.lit(-largest)))
+
+
+def _half(value: Column) -> Column:
+    """So that the width of the widest range is finite."""
+    return value / 2
+
+
+def _magnitude(value: Column) -> Column:
+    """A logarithm that grows with the value over all numbers, negative ones included."""
+    return F.when(value == 0, 0.0).otherwise(F.signum(value) * (F.log(F.abs(value)) + 800))
+
+
+def _ranks(total: int) -> tuple[int, int]:
+    """Places, from 0, of the two middle values of that many (the same one if odd)."""
+    return (total - 1) // 2, total // 2
+
+
 def medians(df: DataFrame, columns: Sequence[str], copies: str | None = None) -> dict[str, float]:
     """Exact interpolated medians; ``copies`` counts how often a row stands.
 
-    The aggregation keeps one count per distinct value, and a vital sign has a
-    few thousand of those at most.
+    By selection: the values between two bounds are counted in ``BINS`` bins, the bin
+    that holds the wanted rank gives the next bounds, until a bin has one value. Bins
+    are of equal width in one pass and of equal width of the logarithm in the next, so
+    neither a narrow range nor one of many magnitudes takes many passes. Each pass counts
+    all columns at once and returns at most ``BINS`` rows for each, so no task or driver
+    holds the distinct values. NULL and NaN do not count; infinity is the largest number.
     """
-    frequency = F.lit(1) if copies is None else F.col(copies)
-    row = df.agg(*[F.percentile(F.col(c).cast("double"), 0.5, frequency).alias(c)
-                   for c in columns]).first()
-    return row.asDict()
+    weight = F.lit(1) if copies is None else F.col(copies).cast("bigint")
+    rows = settle(df.select(weight.alias("_copies"), F.explode(F.array(*[
+        F.struct(F.lit(i).alias("column"), _finite(F.col(c).cast("double")).alias("value"))
+        for i, c in enumerate(columns)])).alias("v"))
+        .select("_copies", "v.*").filter("value IS NOT NULL AND NOT isnan(value)"), "median-values")
+    # By column and wanted rank: bounds, and the rank among the values within them.
+    wanted: dict[tuple[int, int], tuple[float, float, int]] = {}
+    found: dict[tuple[int, int], float] = {}
+    for row in rows.groupBy("column").agg(
+            F.min("value").alias("low"), F.max("value").alias("high"),
+            F.sum("_copies").alias("n")).collect():
+        for which, rank in enumerate(_ranks(row["n"])):
+            wanted[row["column"], which] = (row["low"], row["high"], rank)
+    for turn in count():
+        for key, (low, high, _) in list(wanted.items()):
+            if low == high:
+                found[key] = low
+                del wanted[key]
+        if not wanted:
+            break
+        ranges = df.sparkSession.createDataFrame(
+            [(c, which, low, high) for (c, which), (low, high, _) in wanted.items()],
+            "column int, which int, low double, high double")
+        scale = _magnitude if turn % 2 else _half
+        low, high = scale(F.col("low")), scale(F.col("high"))
+        place = F.coalesce(F.try_divide(scale(F.col("value")) - low, high - low), F.lit(0.0)) * BINS
+        bins = (rows.join(F.broadcast(ranges), "column").filter("value BETWEEN low AND high")
+                .groupBy("column", "which", F.least(F.floor(place), F.lit(BINS - 1)).alias("bin"))
+                .agg(F.min("value").alias("least"), F.max("value").alias("most"),
+                     F.sum("_copies").alias("n")).orderBy("column", "which", "bin").collect())
+        for key, (_, _, rank) in list(wanted.items()):
+            for row in (r for r in bins if (r["column"], r["which"]) == key):
+                if rank < row["n"]:
+                    wanted[key] = (row["least"], row["most"], rank)
+                    break
+                rank -= row["n"]
+    return {c: found[i, 0] / 2 + found[i, 1] / 2 if (i, 0) in found else None
+            for i, c in enumerate(columns)}
 
 
 def median_fill(df: DataFrame, columns: Sequence[str], copies: str | None = None) -> DataFrame:
@@ -215,6 +280,17 @@ def median_fill(df: DataFrame, columns: Sequence[str], copies: str | None = None
         c: F.coalesce(F.col(c).cast("double"), F.lit(found[c]).cast("double")) for c in columns})
 
 
+# Bits of a draw, and of a digit that a pass of the stratified split counts by.
+_DRAW_DIGITS, _DIGIT_BITS = 4, 12
+
+
+def draw(keys: Sequence[str], seed: int = 42) -> Column:
+    """A number of 48 bits from a hash of the keys: the same on every run."""
+    text = F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(k).cast("string"), F.lit(""))
+                                            for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
+
+
 def split(df: DataFrame, keys: Sequence[str], test_percent: int = 20,
           seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(training, test) rows by a hash of their keys.
@@ -224,5 +300,54 @@ def split(df: DataFrame, keys: Sequence[str], test_percent: int = 20,
     """
     text = F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(k).cast("string"), F.lit(""))
                                             for k in keys])
-    draw = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % 100
-    return df.filter(draw >= test_percent), df.filter(draw < test_percent)
+    drawn = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % 100
+    return df.filter(drawn >= test_percent), df.filter(drawn < test_percent)
+
+
+def stratified_limits(df: DataFrame, keys: Sequence[str], label: str, test_percent: int = 20,
+                      seed: int = 42) -> dict[object, int]:
+    """For each label the draw below which its share of rows lies, exact to one row.
+
+    Found digit by digit: a pass counts the rows by label and by the next twelve bits of
+    their draw, among those that agree with the digits found so far. Nothing is sorted,
+    and a pass returns at most 4,096 rows a label. Rows with the same keys draw the
+    same number and stay together.
+    """
+    rows = settle(df.select(F.col(label).alias("label"), draw(keys, seed).alias("draw")), "draws")
+    left = {r["label"]: (0, (2 * r["n"] * test_percent + 100) // 200)
+            for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for place in reversed(range(_DRAW_DIGITS)):
+        shift = place * _DIGIT_BITS
+        known = df.sparkSession.createDataFrame(
+            [(k, prefix) for k, (prefix, _) in left.items()],
+            T.StructType([T.StructField("_label", df.schema[label].dataType),
+                          T.StructField("_prefix", T.LongType())]))
+        near = rows.join(F.broadcast(known), F.col("label").eqNullSafe(F.col("_label"))
+                         & (F.shiftright("draw", shift + _DIGIT_BITS) == F.col("_prefix")))
+        digit = F.shiftright("draw", shift).bitwiseAND(F.lit((1 << _DIGIT_BITS) - 1))
+        counts: dict[object, list] = {}
+        for r in (near.groupBy("label", digit.alias("digit")).agg(F.count(F.lit(1)).alias("n"))
+                  .orderBy("label", "digit").collect()):
+            counts.setdefault(r["label"], []).append((r["digit"], r["n"]))
+        for key, (prefix, rest) in left.items():
+            # The digit in which the share ends; all of it is taken if it ends beyond.
+            digits = counts.get(key, [])
+            at = 0
+            for at, n in digits:
+                if n > rest:
+                    break
+                rest -= n
+            else:
+                at = at + 1 if digits else 0
+            left[key] = ((prefix << _DIGIT_BITS) + at, rest)
+    return {key: limit for key, (limit, _) in left.items()}
+
+
+def stratified_split(df: DataFrame, keys: Sequence[str], label: str, test_percent: int = 20,
+                     seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(training, test) rows; the test rows are the wanted share of each label."""
+    limits = stratified_limits(df, keys, label, test_percent, seed)
+    limit = F.lit(0).cast("bigint")  # two labels, a few at most
+    for key, at in limits.items():
+        limit = F.when(F.col(label).eqNullSafe(F.lit(key)), F.lit(at)).otherwise(limit)
+    return df.filter(draw(keys, seed) >= limit), df.filter(draw(keys, seed) < limit)

@@ -15,12 +15,12 @@ from datetime import date
 from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import (OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer,
                                 VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardflow.operators import features as X
@@ -41,6 +41,9 @@ COMPLIANCE_BANDS = ((0.3, "High Compliance"), (0.6, "Medium Compliance"),
 PRESSURE_BANDS = ((120, "Normal"), (130, "Elevated"), (140, "Hypertension Stage 1"),
                   (None, "Hypertension Stage 2"))
 
+# Slices of the range of scores whose weights are added up apart.
+SLICES = 1024
+
 RISK_NUMBERS = ["age", *X.READINGS, *X.CONDITIONS]
 RISK_KEYS = ["patient_id", *X.READINGS, *X.CONDITIONS, "had_complications"]
 FOLLOWUP_KEYS = ["visit_id"]
@@ -70,6 +73,12 @@ def band(score: Column, bands: tuple[tuple[float | None, str], ...]) -> Column:
 
 # -- training -----------------------------------------------------------------
 
+def prepared(train: DataFrame, numbers: list[str], copies: str | None = None,
+             category: str | None = None) -> PipelineModel:
+    """The fitted stages from raw columns to ``features``, without a learner."""
+    return Pipeline(stages=_prepared(train, numbers, copies, category)).fit(train)
+
+
 def _prepared(train: DataFrame, numbers: list[str], copies: str | None = None,
               category: str | None = None) -> list:
     """Stages from raw columns to ``features``.
@@ -102,13 +111,17 @@ def _prepared(train: DataFrame, numbers: list[str], copies: str | None = None,
 
 
 def _train(rows: DataFrame, name: str, keys: list[str], numbers: list[str], learner: Estimator,
-           copies: str | None = None, category: str | None = None) -> Trained:
+           copies: str | None = None, category: str | None = None,
+           stratified: bool = True) -> Trained:
     # The learner passes over its rows many times.
     rows = settle(rows, name)
     held = rows.count() if copies is None else rows.agg(F.sum(copies)).first()[0]
     if (held or 0) < MIN_ROWS:
         raise NotEnoughRows(f"{name}: {held or 0} rows, at least {MIN_ROWS} are needed")
-    train, test = X.split(rows, keys, seed=SEED)
+    if stratified:
+        train, test = X.stratified_split(rows, keys, "label", seed=SEED)
+    else:
+        train, test = X.split(rows, keys, seed=SEED)
     stages = _prepared(train, numbers, copies, category)
     return Trained(Pipeline(stages=[*stages, learner]).fit(train), test)
 
@@ -133,9 +146,11 @@ def vitals_rows(t: Tables) -> DataFrame:
             .withColumn("label", F.col("blood_pressure_systolic").cast("double")))
 
 
-def test_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+def test_rows(rows: DataFrame, keys: list[str], stratified: bool = True) -> DataFrame:
     """The rows that training leaves out."""
-    return X.split(rows, keys, seed=SEED)[1]
+    rows = settle(rows, "labelled")
+    return (X.stratified_split(rows, keys, "label", seed=SEED) if stratified
+            else X.split(rows, keys, seed=SEED))[1]
 
 
 def train_risk(t: Tables, as_of: date | None = None, trees: int = ROUNDS,
@@ -156,7 +171,8 @@ def train_vitals(t: Tables, rounds: int = ROUNDS) -> Trained:
     """Boosted trees for the next systolic pressure."""
     learner = GBTRegressor(labelCol="label", maxIter=rounds, maxDepth=BOOST_DEPTH,
                            stepSize=BOOST_RATE, seed=SEED)
-    return _train(vitals_rows(t), "vitals", VITALS_KEYS, VITALS_NUMBERS, learner)
+    return _train(vitals_rows(t), "vitals", VITALS_KEYS, VITALS_NUMBERS, learner,
+                  stratified=False)
 
 
 # -- evaluation ---------------------------------------------------------------
@@ -165,13 +181,50 @@ def evaluate_classifier(model: PipelineModel, test: DataFrame,
                         copies: str | None = None) -> DataFrame:
     """Rows (metric, label, value): report per class, averages, accuracy, ROC AUC."""
     weight = F.lit(1.0) if copies is None else F.col(copies).cast("double")
-    scored = model.transform(test).withColumn("_weight", weight)
-    ranking = BinaryClassificationEvaluator(labelCol="label", weightCol="_weight",
-                                            numBins=0)  # every score a point of the curve
-    return classification_report(scored, ranking.evaluate(scored))
+    scored = model.transform(test).select("label", "prediction", weight.alias("_weight"),
+                                          _probability().alias("_score"))
+    scored = settle(scored, "scored")
+    return classification_report(scored, roc_auc(scored, "_score", "_weight"))
+
 
+def roc_auc(scored: DataFrame, score: str, weight: str) -> float | None:
+    """Area under the ROC curve of rows with a 0/1 ``label``: exact, ties count half.
 
-def classification_report(scored: DataFrame, roc_auc: float) -> DataFrame:
+    Weighted ranks by prefix sums on two levels: weights are added up per distinct
+    score, in slices of equal width of the scores' range, then per slice. Within a slice
+    a window adds up the scores before one, so no task orders all scores. None without
+    rows of both labels.
+    """
+    real = F.col("label") == 1
+    exact = F.col(weight).cast("double")
+    by_score = (scored.filter(F.col(score).isNotNull() & F.col("label").isin(0, 1))
+                .groupBy(F.col(score).cast("double").alias("_s"))
+                .agg(F.sum(F.when(real, exact).otherwise(0.0)).alias("one"),
+                     F.sum(F.when(real, 0.0).otherwise(exact)).alias("zero")))
+    by_score = settle(by_score, "scores")
+    low, high = by_score.agg(F.min("_s"), F.max("_s")).first()
+    if low is None:
+        return None
+    width = (high - low) or 1.0
+    cut = by_score.withColumn("_slice", F.floor((F.col("_s") - low) / width * SLICES))
+    sums = {r["_slice"]: (r["one"], r["zero"]) for r in cut.groupBy("_slice").agg(
+        F.sum("one").alias("one"), F.sum("zero").alias("zero")).collect()}
+    ones, zeros = (sum(s[i] for s in sums.values()) for i in (0, 1))
+    if not ones or not zeros:
+        return None
+    before = (Window.partitionBy("_slice").orderBy("_s")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    below = F.coalesce(F.sum("zero").over(before), F.lit(0.0)) + F.col("zero") / 2
+    within = cut.withColumn("_below", below).agg(
+        F.sum(F.col("one") * F.col("_below")).alias("area")).first()["area"]
+    earlier = area = 0.0
+    for slice_ in sorted(sums):
+        area += sums[slice_][0] * earlier
+        earlier += sums[slice_][1]
+    return (within + area) / (ones * zeros)
+
+
+def classification_report(scored: DataFrame, roc_auc: float | None) -> DataFrame:
     """The report of rows with ``label``, ``prediction`` and ``_weight``."""
     def total(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, F.col("_weight"))), F.lit(0.0))
@@ -198,7 +251,7 @@ def classification_report(scored: DataFrame, roc_auc: float) -> DataFrame:
         rows.append((metric, "weighted avg", ratio(
             zero * F.col("real_0") + one * F.col("real_1"), everything)))
     rows.append(("accuracy", None, ratio(F.col("hit_0") + F.col("hit_1"), everything)))
-    rows.append(("roc_auc", None, F.lit(float(roc_auc))))
+    rows.append(("roc_auc", None, F.lit(roc_auc).cast("double")))
     return counts.select(F.inline(F.array(*[
         F.struct(F.lit(metric).alias("metric"), F.lit(label).cast("string").alias("label"),
                  value.alias("value")) for metric, label, value in rows])))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -142,13 +144,45 @@ def validate_patients(raw: DataFrame, form: bool = False) -> tuple[DataFrame, Da
 
 # -- declared constraints -----------------------------------------------------
 
-def _rows(df: DataFrame, table: str, found: list[tuple[str, str, Column]]) -> DataFrame:
-    """Aggregates of one table as rows of the audit."""
-    return df.agg(F.array(*[
-        F.struct(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
-                 F.lit(column).alias("column_name"),
-                 F.coalesce(count, F.lit(0)).cast("bigint").alias("violations"))
-        for rule, column, count in found]).alias("found")).select(F.inline("found"))
+@dataclass(frozen=True)
+class Rule:
+    """One declared constraint. ``entity``: the table whose keys it is about, or none."""
+
+    table: str
+    rule: str
+    column: str
+    entity: str = ""
+
+
+def declared_rules(held: Mapping[str, Iterable[str]]) -> list[Rule]:
+    """The constraints that tables with these columns can break."""
+    rules = []
+    for name, columns in held.items():
+        table = TABLES[name]
+        rules += [Rule(name, "not_null", c) for c in table.required if c in columns]
+        rules += [Rule(name, "length", c) for c in table.lengths if c in columns]
+        rules.append(Rule(name, "unique", table.key, name))
+        rules += [Rule(name, "foreign_key", c, parent)
+                  for c, (parent, _) in table.references.items()
+                  if c in columns and parent in held]
+    return rules
+
+
+def _marks(df: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
+    """One row per broken row rule, and per key or reference held: one scan of a table."""
+    def mark(number: int, rule: Rule) -> Column:
+        column = F.col(rule.column)
+        if rule.rule == "not_null":
+            condition, value = column.isNull(), F.lit("")
+        elif rule.rule == "length":
+            limit = TABLES[rule.table].lengths[rule.column]
+            condition, value = F.length(column) > limit, F.lit("")
+        else:
+            condition, value = column.isNotNull(), column.cast("string")
+        return F.when(condition, F.struct(F.lit(number).alias("number"), value.alias("value")))
+
+    marks = F.filter(F.array(*[mark(i, r) for i, r in rules]), lambda m: m.isNotNull())
+    return df.select(F.explode(marks).alias("m")).select("m.number", "m.value")
 
 
 def audit(t: Tables, names: list[str] | None = None) -> DataFrame:
@@ -156,29 +190,38 @@ def audit(t: Tables, names: list[str] | None = None) -> DataFrame:
 
     ``not_null`` and ``length`` count rows, ``unique`` counts repeated keys and
     ``foreign_key`` counts rows without their parent.
+
+    Every table is read once. Keys, and references to them, meet as rows of one stream
+    that is counted by entity and value, so no table is joined, and a value that very
+    many rows share is counted before the shuffle.
     """
     names = list(t) if names is None else names
-    parts = []
-    for name in names:
-        table, df = TABLES[name], t[name]
-        held = set(df.columns)
-        by_row = [("not_null", c, F.count_if(F.col(c).isNull()))
-                  for c in table.required if c in held]
-        by_row += [("length", c, F.count_if(F.length(c) > n))
-                   for c, n in table.lengths.items() if c in held]
-        parts.append(_rows(df, name, by_row))
-        repeated = (df.filter(F.col(table.key).isNotNull()).groupBy(table.key)
-                    .agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
-        parts.append(_rows(repeated, name, [("unique", table.key, F.count(F.lit(1)))]))
-        for column, (parent, key) in table.references.items():
-            if column not in held or parent not in names:
-                continue
-            # Counted per key first, so a key with many rows costs one row.
-            orphans = (df.filter(F.col(column).isNotNull()).groupBy(column)
-                       .agg(F.count(F.lit(1)).alias("_n"))
-                       .join(t[parent].select(F.col(key).alias(column)), column, "left_anti"))
-            parts.append(_rows(orphans, name, [("foreign_key", column, F.sum("_n"))]))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    rules = declared_rules({name: t[name].columns for name in names})
+    numbered = list(enumerate(rules))
+    streams = [_marks(t[name], [(i, r) for i, r in numbered if r.table == name])
+               for name in names]
+    # Numbers of the rules about keys; the others only have to be counted.
+    keyed = [i for i, r in numbered if r.entity]
+    entity = F.element_at(F.array(*[F.lit(names.index(r.entity) if r.entity else -1)
+                                    for r in rules]), F.col("number") + 1)
+    counted = (reduce(DataFrame.unionByName, streams)
+               .groupBy(F.when(entity >= 0, entity).otherwise(-1 - F.col("number"))
+                        .alias("entity"), "value")
+               .agg(F.count(F.lit(1)).alias("rows"),
+                    *[F.count_if(F.col("number") == i).alias(f"n{i}") for i in keyed]))
+    found = []
+    for i, rule in numbered:
+        if rule.rule == "unique":
+            broken = F.when(F.col(f"n{i}") > 1, 1)
+        elif rule.rule == "foreign_key":
+            parent = next(j for j, r in numbered if r.rule == "unique" and r.table == rule.entity)
+            broken = F.when(F.col(f"n{parent}") == 0, F.col(f"n{i}"))
+        else:
+            broken = F.when(F.col("entity") == -1 - i, F.col("rows"))
+        if rule.entity:
+            broken = F.when(F.col("entity") == names.index(rule.entity), broken)
+        found.append(F.coalesce(F.sum(broken), F.lit(0)).cast("bigint"))
+    return counted.agg(F.array(*[
+        F.struct(F.lit(r.table).alias("table_name"), F.lit(r.rule).alias("rule"),
+                 F.lit(r.column).alias("column_name"), count.alias("violations"))
+        for r, count in zip(rules, found, strict=True)]).alias("found")).select(F.inline("found"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardflow.functions import exprs as E
-from wardflow.functions import skew
+from wardflow.functions import scan, skew
 
 Tables = Mapping[str, DataFrame]
 
@@ -323,12 +323,18 @@ def patient(t: Tables, patient_id: str) -> DataFrame:
     return t["patients"].filter(F.col("patient_id") == patient_id)
 
 
+def contains_term(term: str) -> Column:
+    """Whether name or date of birth contains the term, given in lower case."""
+    return (F.lower(E.full_name()).contains(term)
+            | F.date_format("date_of_birth", "yyyy-MM-dd").contains(term))
+
+
 def search_patients(t: Tables, term: str) -> DataFrame:
-    """Patients whose name, or date of birth as ISO text, contains the term."""
-    term = term.lower()
-    return t["patients"].filter(
-        F.lower(E.full_name()).contains(term)
-        | F.date_format("date_of_birth", "yyyy-MM-dd").contains(term))
+    """Patients whose name, or date of birth as ISO text, contains the term.
+
+    Reads all patients; ``operators.search`` has an index for repeated searches.
+    """
+    return t["patients"].filter(contains_term(term.lower()))
 
 
 def _shown(column: str) -> Column:
@@ -359,10 +365,9 @@ def appointment_split(t: Tables, as_of_ts: datetime | None = None, past_n: int =
     now = E.now(as_of_ts)
     appointments = t["appointments"]
     when = F.col("appointment_date")
-    upcoming = skew.numbered(
+    upcoming = scan.numbered(
         appointments.filter(when >= now), ["patient_id"],
-        [F.asc("appointment_date"), F.asc("appointment_id")], skew.hour_bucket(when),
-        ["appointment_id"], "position")
+        [F.asc("appointment_date"), F.asc("appointment_id")], "position")
     past = skew.first_per_key(
         appointments.filter(when < now), ["patient_id"],
         [F.desc("appointment_date"), F.desc("appointment_id")], past_n, position="position")
@@ -373,10 +378,8 @@ def appointment_split(t: Tables, as_of_ts: datetime | None = None, past_n: int =
 
 def deliveries_by_patient(t: Tables) -> DataFrame:
     """Deliveries with their place in the patient's list, newest first."""
-    return skew.numbered(
-        t["delivery_information"], ["patient_id"],
-        [F.desc("delivery_date"), F.desc("delivery_id")],
-        skew.day_bucket(F.col("delivery_date"), newest_first=True), ["delivery_id"], "position")
+    return scan.numbered(t["delivery_information"], ["patient_id"],
+                         [F.desc("delivery_date"), F.desc("delivery_id")], "position")
 
 
 def with_overdue_band(df: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from wardflow.functions import exprs as E
 from wardflow.functions import skew
 from wardflow.operators import quality as Q
+from wardflow.session import settle
+from wardflow.sources.clustered import ClusteredTable
 from wardflow.sources.schemas import TABLES
 
 # The form of a new patient id. The prefix, and the fields of a
@@ -138,6 +140,19 @@ def partial_update(patients: DataFrame, changes: DataFrame,
     return apply_changes(patients, Q.accepted(checked), as_of_ts), Q.rejected(checked)
 
 
+def write_back_changes(patients: ClusteredTable, changes: DataFrame,
+                       as_of_ts: datetime | None = None) -> DataFrame:
+    """Apply accepted changes to the written patients; returns the rejected ones.
+
+    Only the buckets of patients with accepted changes are read again and rewritten.
+    """
+    checked = settle(check_changes(changes, patients.rows()), "checked-changes")
+    accepted = Q.accepted(checked)
+    patients.change(accepted.select("patient_id"),
+                    lambda old: apply_changes(old, accepted, as_of_ts))
+    return Q.rejected(checked)
+
+
 def delete_by_key(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The table without the rows whose key is listed."""
     return table.join(keys.select(key), key, "left_anti")

@@ -291,6 +291,81 @@ _RISK_BAND = """CASE risk_category WHEN 'Age Risk' THEN 'warning' WHEN 'Hyperten
   WHEN 'Previous Complications' THEN 'danger' ELSE 'success' END AS risk_band"""
 
 
+# -- checks of the model chain ----------------------------------------------------
+
+_DRAW_48 = f"CAST(('0x' || substr(md5('42|' || {_DRAW_TEXT}), 1, 12)) AS BIGINT)"
+_STRATIFIED = f"""
+SELECT * EXCLUDE (_place, _rows), CASE WHEN _place <= (2 * _rows * 20 + 100) // 200 THEN 'test'
+  ELSE 'train' END AS part
+FROM (SELECT *, row_number() OVER (PARTITION BY high_risk ORDER BY {_DRAW_48}) AS _place,
+  count(*) OVER (PARTITION BY high_risk) AS _rows FROM features)"""
+
+
+def _rule_metrics() -> str:
+    rows = []
+    for c in (0, 1):
+        rows += [f"SELECT 'precision', '{c}', p{c} FROM m", f"SELECT 'recall', '{c}', r{c} FROM m",
+                 f"SELECT 'f1', '{c}', f{c} FROM m", f"SELECT 'support', '{c}', real{c} FROM m"]
+    for name, short in (("precision", "p"), ("recall", "r"), ("f1", "f")):
+        rows += [f"SELECT '{name}', 'macro avg', ({short}0 + {short}1) / 2 FROM m",
+                 f"SELECT '{name}', 'weighted avg', ({short}0 * real0 + {short}1 * real1) "
+                 f"/ (real0 + real1) FROM m"]
+    rows += ["SELECT 'accuracy', NULL, (hit0 + hit1) / (real0 + real1) FROM m",
+             "SELECT 'roc_auc', NULL, area FROM curve"]
+
+    def total(condition: str) -> str:
+        return f"coalesce(sum(copies) FILTER (WHERE {condition}), 0)::DOUBLE"
+
+    counts = ", ".join(
+        f"{total(f'label = {c} AND said = {c}')} AS hit{c}, {total(f'said = {c}')} AS said{c}, "
+        f"{total(f'label = {c}')} AS real{c}" for c in (0, 1))
+    shares = ", ".join(
+        f"coalesce(hit{c} / nullif(said{c}, 0), 0) AS p{c}, "
+        f"coalesce(hit{c} / nullif(real{c}, 0), 0) AS r{c}, "
+        f"coalesce(2 * hit{c} / nullif(said{c} + real{c}, 0), 0) AS f{c}" for c in (0, 1))
+    return f"""{_RISK_FEATURES}, scored AS (
+  SELECT high_risk AS label, copies,
+    (coalesce(age, 0) * 7 + coalesce(heart_rate, 0) * 3) % 101 AS score FROM features),
+judged AS (SELECT *, CASE WHEN score >= 50 THEN 1 ELSE 0 END AS said FROM scored),
+counts AS (SELECT {counts} FROM judged),
+m AS (SELECT *, {shares} FROM counts),
+curve AS (
+  SELECT sum(a.copies * b.copies * CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score
+    THEN 0.5 ELSE 0.0 END)::DOUBLE / sum(a.copies * b.copies)::DOUBLE AS area
+  FROM (SELECT score, sum(copies) AS copies FROM scored WHERE label = 1 GROUP BY 1) a,
+    (SELECT score, sum(copies) AS copies FROM scored WHERE label = 0 GROUP BY 1) b),
+said(metric, label, value) AS ({" UNION ALL ".join(rows)})
+SELECT metric, label, round(value, 9) AS value FROM said"""
+
+
+_FOLLOWUP = f"""
+SELECT p.patient_id, f.visit_id, {_AGE} AS age, coalesce(gender, 'Unknown') AS gender, {_CONTACT},
+  CAST(f.follow_up_date - f.visit_date AS INTEGER) AS days_between_visits,
+  {_flag(f'''f.follow_up_required AND f.follow_up_date < {TODAY} AND NOT EXISTS (
+    FROM follow_up_visits later
+    WHERE later.patient_id = p.patient_id AND later.visit_date > f.follow_up_date)''', 'missed_followup')}
+FROM patients p JOIN follow_up_visits f ON p.patient_id = f.patient_id"""
+_FOLLOWUP_NUMBERS = ("age has_address has_phone has_email has_insurance "
+                     "days_between_visits").split()
+
+
+def _followup_prepared() -> str:
+    filled = ", ".join(f"coalesce({c}::DOUBLE, (SELECT median({c}) FROM rows)) AS {c}"
+                       for c in _FOLLOWUP_NUMBERS)
+    scaled = ", ".join(
+        f"round(coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_samp({c}) OVER (), 0), 0), 6) "
+        f"AS scaled_{c}" for c in _FOLLOWUP_NUMBERS)
+    # Categories by falling frequency, equal ones by name.
+    return f"""STEP rows AS ({_FOLLOWUP}),
+kinds AS (SELECT gender, row_number() OVER (ORDER BY count(*) DESC, gender) AS place
+  FROM rows GROUP BY gender),
+filled AS (SELECT visit_id, gender, {filled} FROM rows)
+SELECT visit_id, {scaled},
+  {", ".join(f"CASE WHEN place = {i + 1} THEN 1.0 ELSE 0.0 END::DOUBLE AS gender_{i}"
+             for i in range(3))}
+FROM filled JOIN kinds USING (gender)"""
+
+
 def oracles(derived: bool = True) -> dict[str, str]:
     """The SQL by query name; without derivations it expects the hospital tables."""
     def _query(tables: str, body: str) -> str:
@@ -301,7 +376,7 @@ def oracles(derived: bool = True) -> dict[str, str]:
             return f"WITH {body}" if steps else body
         return f"{oracle_ctes(*tables.split())}{',' if steps else ''}\n{body}"
 
-    return {
+    found = {
         "high_risk": _query("patients vitals delivery_information",
                             _HIGH_RISK + "FROM high_risk"),
         "high_risk_bands": _query("patients vitals delivery_information",
@@ -345,6 +420,9 @@ SELECT (SELECT count(*) FROM joined) AS total_patients,
         "search_patients": _query("patients", """FROM patients
 WHERE contains(lower(first_name || ' ' || last_name), 'pat 00000001')
   OR contains(CAST(date_of_birth AS VARCHAR), 'pat 00000001')"""),
+        "search_patients_short_indexed": _query("patients", """FROM patients
+WHERE contains(lower(first_name || ' ' || last_name), '7')
+  OR contains(CAST(date_of_birth AS VARCHAR), '7')"""),
         "search_patients_by_birth": _query("patients", """FROM patients
 WHERE contains(lower(first_name || ' ' || last_name), '1990-0')
   OR contains(CAST(date_of_birth AS VARCHAR), '1990-0')"""),
@@ -386,6 +464,8 @@ FROM patients WHERE patient_id > 'P00000020' ORDER BY patient_id LIMIT 20"""),
             _RISK_TABLES, _RISK_FEATURES + f"SELECT * REPLACE ({_FILLED}) FROM features"),
         "risk_features_split": _query(_RISK_TABLES, _RISK_FEATURES + f"""
 SELECT *, CASE WHEN {_DRAW} < 20 THEN 'test' ELSE 'train' END AS part FROM features"""),
+        "risk_features_stratified": _query(_RISK_TABLES, _RISK_FEATURES + _STRATIFIED),
+        "risk_rule_metrics": _query(_RISK_TABLES, _rule_metrics()),
         "risk_features_serving": _query("patients vitals medical_history", f"""STEP {_latest(False)},
 held AS (
   SELECT patient_id, max(has_hypertension) AS has_hypertension, max(has_diabetes) AS has_diabetes,
@@ -394,13 +474,8 @@ held AS (
 SELECT p.patient_id, {_AGE} AS age, {_READINGS}, coalesce(has_hypertension, 0) AS has_hypertension,
   coalesce(has_diabetes, 0) AS has_diabetes, coalesce(has_asthma, 0) AS has_asthma
 FROM patients p LEFT JOIN latest USING (patient_id) LEFT JOIN held USING (patient_id)"""),
-        "followup_features": _query("patients follow_up_visits", f"""
-SELECT p.patient_id, f.visit_id, {_AGE} AS age, coalesce(gender, 'Unknown') AS gender, {_CONTACT},
-  CAST(f.follow_up_date - f.visit_date AS INTEGER) AS days_between_visits,
-  {_flag(f'''f.follow_up_required AND f.follow_up_date < {TODAY} AND NOT EXISTS (
-    FROM follow_up_visits later
-    WHERE later.patient_id = p.patient_id AND later.visit_date > f.follow_up_date)''', 'missed_followup')}
-FROM patients p JOIN follow_up_visits f ON p.patient_id = f.patient_id"""),
+        "followup_features": _query("patients follow_up_visits", _FOLLOWUP),
+        "followup_features_prepared": _query("patients follow_up_visits", _followup_prepared()),
         "followup_features_serving": _query("patients follow_up_visits", f"""STEP latest AS (
   FROM follow_up_visits QUALIFY row_number() OVER
     (PARTITION BY patient_id ORDER BY visit_date DESC, visit_id DESC) = 1)
@@ -458,3 +533,11 @@ SELECT change_id, patient_id, reject_reason FROM checked WHERE reject_reason IS
         "delete_by_key": _query("vitals delivery_information", """
 FROM vitals ANTI JOIN delivery_information ON vital_id = delivery_id"""),
     }
+    # Other ways to the same rows.
+    return found | {other: found[name] for other, name in {
+        "search_patients_indexed": "search_patients",
+        "search_patients_by_birth_indexed": "search_patients_by_birth",
+        "one_patient_profile_lookup": "one_patient_profile",
+        "partial_update_written": "partial_update",
+        "delete_by_key_written": "delete_by_key",
+    }.items()}

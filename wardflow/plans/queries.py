@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from datetime import date, datetime
 from functools import lru_cache
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from wardflow.operators import features, models, profile, quality, reports, updates
-from wardflow.session import run_dir, shared_dir, tune
+from wardflow.operators import features, models, profile, quality, reports, search, updates
+from wardflow.session import run_dir, settle, shared_dir, tune
 from wardflow.sources import derived
+from wardflow.sources.clustered import ClusteredTable
 from wardflow.sources.derived import HospitalTables
 from wardflow.sources.tables import JSON_OPTIONS, json_rows
 from wardflow.streaming import vitals as feed
@@ -28,7 +30,7 @@ AUDITED = ["patients", "medical_history", "vitals", "medications", "appointments
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _profile_json(t: HospitalTables, patient_id: str | None = None) -> DataFrame:
+def _profile_json(t: Mapping[str, DataFrame], patient_id: str | None = None) -> DataFrame:
     """The profile as it is sent: every list as a JSON array."""
     pages = profile.patient_profile(t, patient_id)
     return pages.withColumns({
@@ -71,6 +73,74 @@ def _split(t: HospitalTables) -> DataFrame:
             .unionByName(test.withColumn("part", F.lit("test"))))
 
 
+def _stratified(t: HospitalTables) -> DataFrame:
+    train, test = features.stratified_split(features.risk_features(t, TODAY), models.RISK_KEYS,
+                                            "high_risk")
+    return (train.withColumn("part", F.lit("train"))
+            .unionByName(test.withColumn("part", F.lit("test"))))
+
+
+def _rule_metrics(t: HospitalTables) -> DataFrame:
+    """The report of a score made by rule, so that SQL can check it."""
+    rows = features.risk_features(t, TODAY)
+    score = (F.coalesce("age", F.lit(0)) * 7 + F.coalesce("heart_rate", F.lit(0)) * 3) % 101
+    scored = settle(rows.select(
+        F.col("high_risk").cast("double").alias("label"), (score / 100.0).alias("score"),
+        F.when(score >= 50, 1.0).otherwise(0.0).alias("prediction"),
+        F.col("copies").cast("double").alias("_weight")), "rule-scores")
+    report = models.classification_report(scored, models.roc_auc(scored, "score", "_weight"))
+    return report.withColumn("value", F.round("value", 9))
+
+
+def _prepared_numbers(t: HospitalTables) -> DataFrame:
+    """The follow-up model's inputs as its pipeline makes them, to six places."""
+    rows = features.followup_features(t, TODAY)
+    made = models.prepared(rows, features.FOLLOWUP_NUMBERS, category="gender")
+    width = len(features.FOLLOWUP_NUMBERS)
+    inputs = vector_to_array("features")
+    return made.transform(rows).select(
+        "visit_id", *[F.round(inputs[i], 6).alias(f"scaled_{c}")
+                      for i, c in enumerate(features.FOLLOWUP_NUMBERS)],
+        *[inputs[width + i].alias(f"gender_{i}") for i in range(3)])
+
+
+# -- clustered files ------------------------------------------------------------
+
+BUCKETS = 16
+
+
+def _clustered(t: HospitalTables, names: list[str]) -> dict[str, ClusteredTable]:
+    folder = run_dir(t.spark, "clustered")
+    return {n: ClusteredTable.create(t[n], f"{folder}/{n}", "patient_id", BUCKETS)
+            for n in names}
+
+
+def _profile_lookup(t: HospitalTables) -> DataFrame:
+    """One patient's profile from clustered files, one bucket of each table read."""
+    kept = _clustered(t, ["patients", *profile.SECTIONS])
+    return _profile_json({n: table.lookup(PATIENT) for n, table in kept.items()}, PATIENT)
+
+
+def _search_indexed(t: HospitalTables, term: str) -> DataFrame:
+    return search.PatientIndex.build(t["patients"], run_dir(t.spark, "index"), BUCKETS).search(term)
+
+
+def _partial_update_written(t: HospitalTables) -> DataFrame:
+    """The update written back: only the buckets of changed patients are rewritten."""
+    patients = t["patients"].withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
+    folder = run_dir(t.spark, "written-back")
+    table = ClusteredTable.create(patients, folder, "patient_id", BUCKETS)
+    updates.write_back_changes(table, derived.changes_as_maps(t["raw_changes"]), NOW)
+    return ClusteredTable(t.spark, folder).rows()
+
+
+def _delete_written(t: HospitalTables) -> DataFrame:
+    folder = run_dir(t.spark, "written-back")
+    table = ClusteredTable.create(t["vitals"], folder, "vital_id", BUCKETS)
+    table.delete(t["delivery_information"].select(F.col("delivery_id").alias("vital_id")))
+    return ClusteredTable(t.spark, folder).rows()
+
+
 def _filled(t: HospitalTables) -> DataFrame:
     return features.median_fill(features.risk_features(t, TODAY), features.READINGS, "copies")
 
@@ -134,7 +204,7 @@ MODELS = {
         models.test_rows(models.followup_rows(t, TODAY), models.FOLLOWUP_KEYS)),
     "vitals_scores": lambda t: models.score_vitals(t, _vitals_model(t), TODAY),
     "vitals_metrics": lambda t: models.evaluate_regressor(
-        _vitals_model(t), models.test_rows(models.vitals_rows(t), models.VITALS_KEYS)),
+        _vitals_model(t), models.test_rows(models.vitals_rows(t), models.VITALS_KEYS, stratified=False)),
 }
 
 
@@ -167,6 +237,10 @@ def queries() -> dict[str, Query]:
         "patients_json": lambda t: json_rows(reports.patients(t)),
         "search_patients": lambda t: reports.search_patients(t, "Pat 00000001"),
         "search_patients_by_birth": lambda t: reports.search_patients(t, "1990-0"),
+        "search_patients_indexed": lambda t: _search_indexed(t, "Pat 00000001"),
+        "search_patients_by_birth_indexed": lambda t: _search_indexed(t, "1990-0"),
+        "search_patients_short_indexed": lambda t: _search_indexed(t, "7"),
+        "one_patient_profile_lookup": _profile_lookup,
         "recent_vitals": reports.recent_vitals,
         "appointment_split": lambda t: reports.appointment_split(t, SPLIT_TIME),
         "deliveries_by_patient": reports.deliveries_by_patient,
@@ -180,6 +254,9 @@ def queries() -> dict[str, Query]:
         "risk_features": lambda t: features.risk_features(t, TODAY),
         "risk_features_filled": _filled,
         "risk_features_split": _split,
+        "risk_features_stratified": _stratified,
+        "risk_rule_metrics": _rule_metrics,
+        "followup_features_prepared": _prepared_numbers,
         "risk_features_serving": lambda t: features.risk_features_serving(t, TODAY),
         "followup_features": lambda t: features.followup_features(t, TODAY),
         "followup_features_serving": lambda t: features.followup_features_serving(t, TODAY),
@@ -194,6 +271,8 @@ def queries() -> dict[str, Query]:
         "partial_update_rejected": lambda t: _partial_update(t)[1].drop("fields"),
         "audit": lambda t: quality.audit(t, AUDITED),
         "delete_by_key": _delete_by_key,
+        "partial_update_written": _partial_update_written,
+        "delete_by_key_written": _delete_written,
     }
     streams = {
         "check_vitals_stream": _check_vitals_stream,
