@@ -18,7 +18,10 @@ Documents with equal sets form one class, which is compared once; copies are
 never paired. In each entry, all sets are first compared with the one that
 occurs in most entries. Sets that are connected by then need no more pairs; every
 other pair of an entry is compared in a second round. So the classes are exact,
-and no pairs are made within a large group of near copies. A document's number of
+and no pairs are made within a large group of near copies. That round scans the
+lists in blocks of ``LIST_BLOCK`` sets, which carry their parity bits: the pairs
+of two blocks are formed and ruled out in a task, and only pairs near enough leave
+it. So a list of any length is cut into tasks of equal size. A document's number of
 links needs every pair: then all pairs of an entry are compared, and the links of
 a set are weighted by the copies of the sets it links with.
 
@@ -28,7 +31,9 @@ are compared by 64-bit hashes.
 Defined results: a null, empty or blank text has 0 shingles and links with
 nothing; under five words the whole sequence is one shingle. A null id takes
 part in links, but is never a class's id unless there is no other. Equal rows
-give equal results, each its own row.
+give equal results, each its own row. Texts and sets of any size are compared
+whole. Other columns, whatever their names, are not read, or pass; an empty table gives
+an empty one.
 """
 
 from __future__ import annotations
@@ -41,6 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructType
 
 from wardflow.llm import words as W
+from wardflow.llm.carried import Carried
 from wardflow.llm.components import components
 from wardflow.session import settle
 
@@ -55,6 +61,13 @@ FILTER_BITS = 26
 _SEEN = 1 << 18
 # Passes over the entries in which frequent shingles may still be found.
 PASSES = 3
+# Sets of a list that are compared with as many others at a time.
+LIST_BLOCK = 256
+# Rows of units that are taken at a time, and rows of a unit that is not taken alone.
+_UNIT_ROWS = 1 << 14
+_SMALL_UNIT = 16
+# Words of 64 parity bits that are compared at a time.
+_PARITY_WORDS = 1 << 20
 
 _SET = (StructType().add("n_shingles", LongType()).add("set_id", LongType())
         .add("parities", BinaryType()))
@@ -326,6 +339,128 @@ def _differing(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+class _Parities:
+    """Parity bits of a batch of sets, in a matrix for each width."""
+
+    def __init__(self, bits: pa.Array):
+        raw = bits.to_pylist()
+        self._words = np.array([len(b) // 8 for b in raw])
+        self._row = np.zeros(len(raw), np.int64)
+        self._matrix = {}
+        for w in np.unique(self._words):
+            own = np.flatnonzero(self._words == w)
+            self._row[own] = np.arange(len(own))
+            self._matrix[int(w)] = np.frombuffer(b"".join(raw[i] for i in own),
+                                                 np.uint64).reshape(-1, w)
+
+    def differing(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """For pairs of sets, at most the number of shingles in one of both only."""
+        out = np.zeros(len(i), np.int64)
+        swap = self._words[i] > self._words[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        kind = self._words[i] << 32 | self._words[j]
+        for k in np.unique(kind):
+            own = np.flatnonzero(kind == k)
+            short, long = int(k) >> 32, int(k) & 0xFFFFFFFF
+            step = max(1, _PARITY_WORDS // long)
+            for a in range(0, len(own), step):
+                at = own[a:a + step]
+                x = self._matrix[short][self._row[i[at]]]
+                y = self._matrix[long][self._row[j[at]]]
+                if long > short:  # equal low parts lie a whole number of widths apart
+                    y = np.bitwise_xor.reduce(y.reshape(len(at), -1, short), axis=1)
+                out[at] = np.bitwise_count(x ^ y).sum(axis=1)
+        return out
+
+
+class _Unit:
+    """Rows of units after each other, and the pairs in them that may be near."""
+
+    def __init__(self, table: pa.Table, similarity: int):
+        (self.key, self.low, self.high, self.block, self.name, self.n, self.rest, self.root) = (
+            table.column(c).to_numpy() for c in range(8))
+        self._bits, self._similarity = table.column(8).combine_chunks(), similarity
+
+    def _may_link(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, y = self.n[a].astype(np.int64), self.n[b].astype(np.int64)
+        least = np.minimum(self.rest[a], self.rest[b]).astype(np.int64)
+        keep = ((self.root[a] != self.root[b])
+                & (100 * np.minimum(x, y) >= self._similarity * np.maximum(x, y))
+                & ((100 + self._similarity) * least >= self._similarity * (x + y)))
+        return a[keep], b[keep]
+
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        head = np.ones(len(self.key), bool)
+        head[1:] = ((self.key[1:] != self.key[:-1]) | (self.low[1:] != self.low[:-1])
+                    | (self.high[1:] != self.high[:-1]))
+        starts, unit = np.flatnonzero(head), np.cumsum(head) - 1
+        sizes = np.diff(np.append(starts, len(head)))
+        small, whole = sizes <= _SMALL_UNIT, self.low == self.high
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        # Small units all at once, by the distance of the rows; large ones by themselves.
+        for d in range(1, int(sizes[small].max(initial=1))):
+            a = np.flatnonzero((unit[:-d] == unit[d:]) & small[unit[:-d]])
+            a = a[whole[a] | (self.block[a] != self.block[a + d])]
+            found.append(self._may_link(a, a + d))
+        for start, size in zip(starts[~small], sizes[~small], strict=True):
+            a, b = np.triu_indices(size, 1)
+            a, b = a + start, b + start
+            if not whole[start]:  # of two blocks only the pairs across
+                across = self.block[a] != self.block[b]
+                a, b = a[across], b[across]
+            found.append(self._may_link(a, b))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        return a, b
+
+    def near(self) -> pa.RecordBatch:
+        a, b = self._pairs()
+        apart = _Parities(self._bits).differing(a, b)
+        keep = ((100 + self._similarity) * apart
+                <= (100 - self._similarity) * (self.n[a].astype(np.int64) + self.n[b]))
+        a, b = self.name[a[keep]], self.name[b[keep]]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.ascontiguousarray(pairs[:, c])) for c in (0, 1)], names=["a", "b"])
+
+
+def _near_in_lists(entries: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of sets that share a list, differ in root, and may link by their parities.
+
+    ``entries``: key, set_id, n, rest, root, parities and ``size``, the number of sets in
+    the key's list. A unit is a block of a list, or two blocks of it; a block's rows are
+    sent once for each block of its list.
+    """
+    blocks = F.ceil(F.col("size") / LIST_BLOCK).cast("int")
+    cut = entries.withColumn("block", F.pmod(F.xxhash64("set_id"), blocks).cast("int"))
+    units = cut.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other")).select(
+        "key", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"),
+        "block", "set_id", "n", "rest", "root", "parities")
+    dealt = units.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < _UNIT_ROWS:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            open_ = np.ones(len(table), bool)  # rows of the last unit, which may go on
+            for c in range(3):
+                values = table.column(c).to_numpy()
+                open_ &= values == values[-1]
+            first = int(open_.argmax())
+            if first:
+                yield _Unit(table.slice(0, first), similarity).near()
+            held, rows = table.slice(first).to_batches(), len(table) - first
+        if rows:
+            yield _Unit(pa.Table.from_batches(held).combine_chunks(), similarity).near()
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, width: int,
               similarity: int) -> DataFrame:
     """The pairs whose sets are similar enough, by their exact overlap.
@@ -343,6 +478,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, wid
             keep = (100 + similarity) * apart <= (100 - similarity) * total.astype(np.int64)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
+    def side(name: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("set_id").alias(name), *[F.col(c).alias(f"_{c}_{name}")
+                                                          for c in columns])
+
+    near = settle(pairs.join(side("a", "parities", "n_shingles"), "a")
+                  .join(side("b", "parities", "n_shingles"), "b")
+                  .select("a", "b", "_parities_a", "_parities_b", "_n_shingles_a",
+                          "_n_shingles_b")
+                  .mapInArrow(may_link, "a long, b long"), "near-pairs")
+    return _exactly_linked(near, docs, text, width, similarity)
+
+
+def _exactly_linked(near: DataFrame, docs: DataFrame, text: str, width: int,
+                    similarity: int) -> DataFrame:
+    """The pairs, a written table, whose shingles overlap enough."""
     def link(batches):
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
@@ -354,20 +504,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, wid
                 common = int((both[1:] == both[:-1]).sum())
                 keep[i] = 100 * common >= similarity * (len(both) - common)
             yield batch.select([0, 1]).filter(pa.array(keep))
-
-    def side(name: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("set_id").alias(name), *[F.col(c).alias(f"_{c}_{name}")
-                                                          for c in columns])
-
-    near = settle(pairs.join(side("a", "parities", "n_shingles"), "a")
-                  .join(side("b", "parities", "n_shingles"), "b")
-                  .select("a", "b", "_parities_a", "_parities_b", "_n_shingles_a",
-                          "_n_shingles_b")
-                  .mapInArrow(may_link, "a long, b long"), "near-pairs")
     if near.isEmpty():
         return near
     sets = _paired_sets(docs, text, width, near)
-    return settle(near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
+
+    def side(name: str) -> DataFrame:
+        return sets.select(F.col("set_id").alias(name), F.col("shingles").alias(f"_shingles_{name}"))
+
+    return settle(near.join(side("a"), "a").join(side("b"), "b")
                   .select("a", "b", "_shingles_a", "_shingles_b")
                   .mapInArrow(link, "a long, b long"), "links")
 
@@ -443,18 +587,14 @@ def set_links(docs: DataFrame, sets: DataFrame, text: str = "text", width: int =
 
     rooted = settle(members.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
                     .withColumn("root", F.coalesce("root", "set_id")), "rooted")
-    # Copies of the sides' columns: a table joined with itself.
-    open_keys = settle(rooted.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"))
-                       .filter("_a <> _b").select("key"), "open-keys")
-    rest = settle(rooted.join(open_keys, "key", "left_semi"), "open-entries")
-    other = rest.select("key", F.col("set_id").alias("other"), F.col("n").alias("m"),
-                        F.col("root").alias("other_root"), F.col("rest").alias("other_rest"))
-    more = (rest.join(other, "key").filter("root <> other_root AND set_id < other")
-            .filter(_may_link(similarity))
-            .select(F.col("set_id").alias("a"), F.col("other").alias("b")).distinct()
-            .join(pairs, ["a", "b"], "left_anti"))
-    return links.unionByName(_verified(settle(more, "more-pairs"), sets, docs, text, width,
-                                       similarity))
+    open_keys = settle(rooted.groupBy("key").agg(
+        F.min("root").alias("_a"), F.max("root").alias("_b"), F.count(F.lit(1)).alias("size"))
+        .filter("_a <> _b").select("key", "size"), "open-keys")
+    rest = (rooted.join(open_keys, "key")
+            .join(sets.select("set_id", "parities"), "set_id"))
+    near = settle(_near_in_lists(rest, similarity).join(pairs, ["a", "b"], "left_anti"),
+                  "more-near-pairs")
+    return links.unionByName(_exactly_linked(near, docs, text, width, similarity))
 
 
 def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -496,14 +636,17 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return named.join(classes, "set_id", "left").select(*columns)
 
 
-def one_of_each(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each class, in the same columns.
+def one_of_each(docs: DataFrame, similarity: int = SIMILARITY, doc_id: str = "doc_id",
+                text: str = "text") -> DataFrame:
+    """``docs`` with one row of each class, in the same columns, whatever their names.
 
     The row with the smallest id stays, of equal ids one of them. Documents
     without words all stay.
     """
-    joined = settle(join_documents(docs, similarity=similarity, count_links=False),
-                    "joined")
+    carried = Carried(docs)
+    key, column = carried[doc_id], carried[text]
+    joined = settle(join_documents(carried.rows, key, column, similarity=similarity,
+                                   count_links=False), "joined")
     chosen = (joined.filter("set_id IS NOT NULL")
               .groupBy("set_id", "component_id").agg(F.min("doc_id").alias("first_id"))
               # A class without any id is its set alone or has none to choose by.
@@ -513,9 +656,9 @@ def one_of_each(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         "_n", F.row_number().over(by_class)).filter("_n = 1").select("set_id")
     chosen = settle(with_id.unionByName(
         chosen.filter("component_id IS NULL").select("set_id")), "chosen")
-    named = with_sets(docs, name="_shingles").withColumn("_set", F.col("_shingles.set_id"))
-    order = Window.partitionBy("_set").orderBy(F.col("doc_id").asc_nulls_last())
+    named = (with_sets(carried.rows, column, "_shingles")
+             .withColumn("_set", F.col("_shingles.set_id")).drop("_shingles"))
+    order = Window.partitionBy("_set").orderBy(F.col(key).asc_nulls_last())
     first = (named.join(chosen.withColumnRenamed("set_id", "_set"), "_set", "left_semi")
-             .withColumn("_n", F.row_number().over(order)).filter("_n = 1"))
-    return first.select(*docs.columns).unionByName(
-        named.filter("_set IS NULL").select(*docs.columns))
+             .withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n"))
+    return carried.back(first.unionByName(named.filter("_set IS NULL")))

@@ -45,8 +45,8 @@ def op7_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (jaccard_join.join_documents(_table(spark, sf_dir, "documents"))
-            .select("doc_id", "n_shingles", "component_id", "n_links"))
+    return (jaccard_join.join_documents(_table(spark, sf_dir, "documents"), count_links=False)
+            .select("doc_id", "n_shingles", "component_id"))
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
