@@ -24,6 +24,8 @@ def encode(values: np.ndarray, universe: int, name: str) -> dict[str, np.ndarray
     at = high + np.arange(n)
     np.bitwise_or.at(words, at >> 6, _ONE << (at & 63).astype(np.uint64))
     ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
+    if n < 1 << 31:
+        ones = ones.astype(np.int32)
     packed = np.zeros(n * low // 64 + 2, np.uint64)
     if low:
         rest = values & np.uint64((1 << low) - 1)
@@ -79,7 +81,8 @@ class EliasFano:
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """The i-th numbers."""
-        word = np.searchsorted(self._ones, i, "right") - 1
+        # Of the directory's type, which else would be copied to be searched.
+        word = np.searchsorted(self._ones, i.astype(self._ones.dtype), "right") - 1
         at = word * 64 + _select_in_word(self._high[word], i - self._ones[word])
         return ((at - i).astype(np.uint64) << np.uint64(self._bits)) | self._lows(i)
 

@@ -6,8 +6,9 @@ n-grams of k words seen ``min_count`` times or more, as children of the n-gram
 of their first k - 1 words: rising numbers of the parents, rising pointers to
 their first children, and the children's words made rising by adding the
 parent's place. A child is found by a successor search relative to its parent.
-Levels are cut into shards by a hash of parent and word, so a frequent context
-is spread over all of them; shards are files that tasks map into memory.
+Levels are cut into shards by a hash of the parent, files that tasks map into memory.
+Contexts seen ``HEAVY`` times or more have shards of their own, by a hash of parent
+and word, so a frequent context is spread over all of them.
 
 Smoothing is interpolated absolute discounting: ``p(w | v u) = (c(v u w) - D) /
 c(v u) + g(v u) p(w | u)`` with ``g`` such that all words of a context, unseen
@@ -42,6 +43,8 @@ MIN_COUNT = 2
 DISCOUNT = 0.75
 ADDED = 0.1
 SHARD_ROWS = 1 << 21
+# A context seen as often is spread over several shards.
+HEAVY = 1 << 18
 _END = int(W.mix(np.array([0x656E64], np.uint64))[0])
 # N-grams of a task that are counted together before they are sent.
 _HELD = 1 << 21
@@ -54,9 +57,10 @@ class Model(NamedTuple):
 
     path: str
     order: int
-    shards: tuple[int, ...]  # by level
+    shards: tuple[int, ...]  # by level; from level 2 on as many again for heavy contexts
     firsts: tuple[int, ...]  # first word number of each shard of level 1
     bases: tuple[tuple[int, ...], ...]  # first n-gram number of each shard, by level from 2
+    heavy: tuple[bool, ...]  # whether the level has heavy contexts, by level from 2
     words: int
     tokens: int
     texts: int
@@ -86,8 +90,13 @@ def _shard_of(key: np.ndarray, shards: int) -> np.ndarray:
     return (W.mix(key) % np.uint64(shards)).astype(np.int64)
 
 
+def _small(values: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes each as the largest needs."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
 class _Shard:
-    """Children of many parents: numbers, first terms and, if needed, counts."""
+    """Children of many parents: numbers and first terms, and the parents' ``g``."""
 
     def __init__(self, arrays: dict[str, np.ndarray], words: int):
         self.arrays, self._words = arrays, words
@@ -95,6 +104,13 @@ class _Shard:
         self._pointers = EliasFano(arrays, "pointers")
         self._children = EliasFano(arrays, "children")
 
+    def left(self, parent: np.ndarray) -> np.ndarray:
+        """``g`` of each parent, 1 for one without children."""
+        out = np.ones(len(parent))
+        place, known = self._parents.successor(parent)
+        out[known] = _restored(self.arrays, "left", place[known])
+        return out
+
     def find(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Place of each child in the shard, or -1."""
         out = np.full(len(parent), -1, np.int64)
@@ -106,13 +122,6 @@ class _Shard:
         out[own[found]] = at[found]
         return out
 
-    def children(self, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last place, the last excluded, of each parent's children."""
-        place, known = self._parents.successor(parent)
-        place = np.where(known, place, 0)
-        ends = [self._pointers.access(place + k).astype(np.int64) for k in (0, 1)]
-        return ends[0], np.where(known, ends[1], ends[0])
-
 
 class Levels:
     """The levels of a model as a task sees them: files are opened when needed."""
@@ -126,6 +135,7 @@ class Levels:
         if key not in self._files:
             arrays = read_arrays(f"{self.model.path}/{kind}-{level}-{shard}")
             self._files[key] = (_Shard(arrays, self.model.words + 1) if kind == "ngrams"
+                                else arrays if kind == "counts"
                                 else (EliasFano(arrays, "keys"), arrays))
         return self._files[key]
 
@@ -154,34 +164,48 @@ class Levels:
                         count[own] = np.where(same, arrays["counts"][here], count[own])
         return number, count
 
-    def _by_shard(self, level: int, key: np.ndarray):
-        shard = _shard_of(key, self.model.shards[level - 1])
+    def _by_shard(self, level: int, key: np.ndarray, own: np.ndarray):
+        """Shards of the level and which of ``own`` belong to each, by their key."""
+        shard = _shard_of(key[own], self.model.shards[level - 1])
         order = np.argsort(shard, kind="stable")
         bounds = np.searchsorted(shard[order], np.arange(self.model.shards[level - 1] + 1))
         for s in np.flatnonzero(np.diff(bounds)):
-            yield int(s), order[bounds[s]:bounds[s + 1]]
-
-    def child(self, level: int, parent: np.ndarray, word: np.ndarray, counts: bool = False):
-        """N-gram number (or -1) and first term (or count) of each child; pairs are distinct."""
+            yield int(s), own[order[bounds[s]:bounds[s + 1]]]
+
+    def _heavy_left(self, level: int, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each context is a heavy one, and its ``g``."""
+        heavy, out = np.zeros(len(parent), bool), np.ones(len(parent))
+        if self.model.heavy[level - 2]:
+            for s, own in self._by_shard(level, parent.astype(np.uint64), np.arange(len(parent))):
+                keys, arrays = self._open("left", level, s)
+                at, found = keys.successor(parent[own])
+                heavy[own[found]] = True
+                out[own[found]] = _restored(arrays, "left", at[found])
+        return heavy, out
+
+    def child(self, level: int, parent: np.ndarray, word: np.ndarray):
+        """N-gram number (or -1) and first term of each child; pairs are distinct."""
         number = np.full(len(parent), -1, np.int64)
         value = np.zeros(len(parent))
-        key = _key(parent, word, self.model.words)
-        for s, own in self._by_shard(level, key):
-            shard = self._open("ngrams", level, s)
-            at = shard.find(parent[own], word[own])
-            own, at = own[at >= 0], at[at >= 0]
-            number[own] = at + self.model.bases[level - 2][s]
-            value[own] = (shard.arrays["counts"][at] if counts
-                          else _restored(shard.arrays, "terms", at))
+        shards = self.model.shards[level - 1]
+        heavy, _ = self._heavy_left(level, parent)
+        # A heavy context's children lie in the second half of the shards.
+        for offset, key, own in (
+                (0, parent.astype(np.uint64), np.flatnonzero(~heavy)),
+                (shards, _key(parent, word, self.model.words), np.flatnonzero(heavy))):
+            for s, part in self._by_shard(level, key, own):
+                shard = self._open("ngrams", level, s + offset)
+                at = shard.find(parent[part], word[part])
+                part, at = part[at >= 0], at[at >= 0]
+                number[part] = at + self.model.bases[level - 2][s + offset]
+                value[part] = _restored(shard.arrays, "terms", at)
         return number, value
 
     def left(self, level: int, parent: np.ndarray) -> np.ndarray:
         """``g`` of each context, 1 where it has no children."""
-        out = np.ones(len(parent))
-        for s, own in self._by_shard(level, parent.astype(np.uint64)):
-            keys, arrays = self._open("left", level, s)
-            at, found = keys.successor(parent[own])
-            out[own[found]] = _restored(arrays, "left", at[found])
+        heavy, out = self._heavy_left(level, parent)
+        for s, own in self._by_shard(level, parent.astype(np.uint64), np.flatnonzero(~heavy)):
+            out[own] = self._open("ngrams", level, s).left(parent[own])
         return out
 
     def word_counts(self, number: np.ndarray) -> np.ndarray:
@@ -195,12 +219,14 @@ class Levels:
         return out
 
     def ngram_counts(self, level: int, number: np.ndarray) -> np.ndarray:
+        """Counts by n-gram number, while the level above is built."""
         bases = np.array(self.model.bases[level - 2])
         out = np.zeros(len(number))
         shard = np.searchsorted(bases, number, "right") - 1
         for s in np.unique(shard):
             own = shard == s
-            out[own] = self._open("ngrams", level, int(s)).arrays["counts"][number[own] - bases[s]]
+            counts = self._open("counts", level, int(s))["counts"]
+            out[own] = counts[number[own] - bases[s]]
         return out
 
 
@@ -291,10 +317,13 @@ def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class _Pending:
-    """Counts of a task, sent in packed rows (shard, keys, counts)."""
+    """Counts of a task, sent in packed rows (shard, keys, counts).
 
-    def __init__(self, shards: int, by_range: bool):
-        self._shards, self._by_range = shards, by_range
+    ``shard_of`` gives the shards of rising keys.
+    """
+
+    def __init__(self, shards: int, shard_of):
+        self._shards, self._shard_of = shards, shard_of
         self._keys: list[np.ndarray] = []
         self._counts: list[np.ndarray] = []
         self._held = 0
@@ -312,11 +341,7 @@ class _Pending:
         counts = np.concatenate([*self._counts, np.zeros(0, np.int64)])
         keys, counts = _summed(keys, counts)
         self._keys, self._counts, self._held = [], [], 0
-        if self._by_range:
-            shard = ((keys >> np.uint64(64 - (self._shards - 1).bit_length())).astype(np.int64)
-                     if self._shards > 1 else np.zeros(len(keys), np.int64))
-        else:
-            shard = _shard_of(keys, self._shards)
+        shard = self._shard_of(keys)
         order = np.argsort(shard, kind="stable")
         bounds = np.searchsorted(shard[order], np.arange(self._shards + 1))
         rows = []
@@ -361,8 +386,12 @@ def _rows(names: list[str], *columns) -> pa.RecordBatch:
 def _word_level(texts: DataFrame, path: str, size: int) -> tuple[int, list, int]:
     shards = 1 << max(0, (size // SHARD_ROWS).bit_length())
 
+    def by_range(keys):
+        return ((keys >> np.uint64(64 - (shards - 1).bit_length())).astype(np.int64)
+                if shards > 1 else np.zeros(len(keys), np.int64))
+
     def count(batches):
-        pending = _Pending(shards, by_range=True)
+        pending = _Pending(shards, by_range)
         for batch in batches:
             for block in W.blocks(batch.column(0)):
                 yield from pending.add(_hashes(block)[0])
@@ -390,13 +419,20 @@ def _word_level(texts: DataFrame, path: str, size: int) -> tuple[int, list, int]
     return shards, words.tolist(), sum(r["tokens"] for r in made)
 
 
-def _ngram_level(texts: DataFrame, model: Model, level: int) -> Model:
-    """The model with one more level."""
+def _ngram_level(texts: DataFrame, model: Model, level: int, last: bool) -> Model:
+    """The model with one more level; the ``last`` one needs no counts."""
     shards = max(1, -(-model.tokens // SHARD_ROWS))
     path, words = model.path, model.words
 
+    def totals(levels: Levels, parents: np.ndarray) -> np.ndarray:
+        if level == 2:
+            return np.where(parents == words, float(model.texts), levels.word_counts(parents))
+        return levels.ngram_counts(level - 1, parents)
+
     def count(batches):
-        levels, pending = Levels(model), _Pending(shards, by_range=False)
+        levels = Levels(model)
+        light = _Pending(2 * shards, lambda keys: _shard_of(keys // np.uint64(words + 1), shards))
+        heavy = _Pending(2 * shards, lambda keys: _shard_of(keys, shards) + shards)
         for batch in batches:
             for block in W.blocks(batch.column(0)):
                 tokens = _tokens(levels, block)
@@ -405,9 +441,14 @@ def _ngram_level(texts: DataFrame, model: Model, level: int) -> Model:
                         # All words are known here: these are the training texts.
                         # No n-gram is seen more often than a word in it.
                         often = tokens.count[at] >= model.min_count
-                        yield from pending.add(_key(context[often], tokens.word[at[often]],
-                                                    words))
-        yield pending.sent()
+                        at, context = at[often], context[often]
+                        distinct, back = np.unique(context, return_inverse=True)
+                        spread = (totals(levels, distinct) >= HEAVY)[back]
+                        keys = _key(context, tokens.word[at], words)
+                        yield from light.add(keys[~spread])
+                        yield from heavy.add(keys[spread])
+        yield light.sent()
+        yield heavy.sent()
 
     names = ["shard", "ngrams", "parent", "taken"]
 
@@ -418,28 +459,28 @@ def _ngram_level(texts: DataFrame, model: Model, level: int) -> Model:
         parent = (keys // np.uint64(words + 1)).astype(np.int64)
         word = keys % np.uint64(words + 1)
         distinct, first, place = np.unique(parent, return_index=True, return_inverse=True)
-        total = levels_counts(levels, distinct)
-        term = (counts - DISCOUNT) / total[place]
+        term = (counts - DISCOUNT) / totals(levels, distinct)[place]
+        taken = np.add.reduceat(term, first) if len(first) else np.zeros(0)
+        spread = shard >= shards
         write_arrays(f"{path}/ngrams-{level}-{shard}", {
             **encode(distinct, int(distinct[-1]) + 1 if len(distinct) else 1, "parents"),
             **encode(np.append(first, len(keys)), len(keys) + 1, "pointers"),
             **encode(place.astype(np.uint64) * np.uint64(words + 1) + word,
                      max(1, len(distinct)) * (words + 1), "children"),
-            **_quantised(term, "terms"), "counts": counts.astype(np.int64)})
-        taken = np.add.reduceat(term, first) if len(first) else np.zeros(0)
+            **_quantised(term, "terms"),
+            # Of a heavy context other shards hold children too.
+            **_quantised(np.zeros(0) if spread else np.clip(1.0 - taken, 1e-9, 1.0), "left")})
+        if not last:
+            write_arrays(f"{path}/counts-{level}-{shard}", {"counts": _small(counts)})
         yield _rows(names, np.array([shard]), np.array([len(keys)]), np.array([-1]),
                     np.array([0.0]))
-        yield _rows(names, np.full(len(distinct), shard), np.zeros(len(distinct), np.int64),
-                    distinct, taken)
-
-    def levels_counts(levels: Levels, parents: np.ndarray) -> np.ndarray:
-        if level == 2:
-            return np.where(parents == words, float(model.texts), levels.word_counts(parents))
-        return levels.ngram_counts(level - 1, parents)
+        if spread:
+            yield _rows(names, np.full(len(distinct), shard), np.zeros(len(distinct), np.int64),
+                        distinct, taken)
 
-    made = _gathered(texts.mapInArrow(count, "shard int, keys binary, counts binary"), shards,
+    made = _gathered(texts.mapInArrow(count, "shard int, keys binary, counts binary"), 2 * shards,
                      finish, "shard long, ngrams long, parent long, taken double")
-    sizes = np.zeros(shards, np.int64)
+    sizes = np.zeros(2 * shards, np.int64)
     # One row a shard.
     found = made.filter("parent < 0").collect()
     for row in found:
@@ -447,18 +488,20 @@ def _ngram_level(texts: DataFrame, model: Model, level: int) -> Model:
     empty = {**encode(np.zeros(0, np.uint64), 1, "parents"),
              **encode(np.zeros(1, np.uint64), 1, "pointers"),
              **encode(np.zeros(0, np.uint64), 1, "children"),
-             **_quantised(np.zeros(0), "terms"), "counts": np.zeros(0, np.int64)}
-    for s in set(range(shards)) - {r["shard"] for r in found}:
+             **_quantised(np.zeros(0), "terms"), **_quantised(np.zeros(0), "left")}
+    heavy = bool(sizes[shards:].any())
+    for s in set(range(2 * shards if heavy else shards)) - {r["shard"] for r in found}:
         write_arrays(f"{path}/ngrams-{level}-{s}", empty)
     bases = tuple((np.cumsum(sizes) - sizes).tolist())
     model = model._replace(order=level, shards=(*model.shards, shards),
-                           bases=(*model.bases, bases))
-    _left_level(made.filter("parent >= 0"), model, level, shards)
+                           bases=(*model.bases, bases), heavy=(*model.heavy, heavy))
+    if heavy:
+        _heavy_contexts(made.filter("parent >= 0"), model, level, shards)
     return model
 
 
-def _left_level(taken: DataFrame, model: Model, level: int, shards: int) -> None:
-    """Write ``g`` of every context, summed over the shards of its children."""
+def _heavy_contexts(taken: DataFrame, model: Model, level: int, shards: int) -> None:
+    """Write ``g`` of every heavy context, summed over the shards of its children."""
     path = model.path
 
     def write(batches):
@@ -500,9 +543,9 @@ def train(spark: SparkSession, docs: DataFrame, text: str = "text", order: int =
     # A word and its space take six bytes or so: an upper bound for the shards' sizes.
     shards, words, tokens = _word_level(texts, path, (size // 6 + n) // 4)
     firsts = tuple((np.cumsum(words) - np.array(words)).tolist())
-    model = Model(path, 1, (shards,), firsts, (), sum(words), tokens, n, min_count)
+    model = Model(path, 1, (shards,), firsts, (), (), sum(words), tokens, n, min_count)
     for level in range(2, order + 1):
-        model = _ngram_level(texts, model, level)
+        model = _ngram_level(texts, model, level, level == order)
     return model
 
 

@@ -9,13 +9,17 @@ often as the counts allow. The plan holds lengths and repeat counts only, so its
 size depends on the window and not on the number of texts. Rests take their
 places in it by their number among those of equal length.
 
-Defined results: a null or empty text is the end id alone. Repeated rows are
-packed each. No tokens are dropped; a sequence holds at most ``window`` of them.
+Parts of words of a block of texts are told apart by 64-bit hashes, and each is
+encoded once.
+
+Defined results: a null or empty text is the end id alone. Repeated rows, and rows
+without an id, are packed each. No tokens are dropped; a sequence holds at most
+``window`` of them. Other columns, whatever their names, are not read. An empty table
+gives no pieces.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from functools import lru_cache
 from typing import NamedTuple
@@ -28,7 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from tokenizers import Tokenizer
 
-from wardflow.llm.pieces import PieceTable
+from wardflow.llm import words as W
+from wardflow.llm.pieces import PieceTable, ranges
 from wardflow.llm.places import Counter, placed
 from wardflow.session import settle
 
@@ -36,9 +41,6 @@ WINDOW = 4096
 END = 2
 DEPTH = 3
 BINS = 128
-GROUP_CHARS = 1 << 21
-
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 # -- tokens -------------------------------------------------------------------
@@ -69,6 +71,28 @@ def _encode(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(counts)
 
 
+_SIGN = np.zeros(256, bool)
+_SIGN[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]] = True
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[b for b in range(0x7F) if chr(b).isalnum()]] = True
+
+
+def _parted(data: np.ndarray, words: W.Words) -> W.Words:
+    """Words with the ASCII signs after a last ASCII letter or digit as parts of their own.
+
+    The tokenizer cuts there as well, and lower-cases ASCII, so more parts are equal.
+    """
+    last = np.maximum.accumulate(np.where(_SIGN[data], -1, np.arange(len(data))))
+    cut = last[words.ends - 1] + 1 if len(words.ends) else words.ends
+    parted = (cut > words.starts) & (cut < words.ends)
+    parted[parted] = _PLAIN[data[cut[parted] - 1]]
+    times = 1 + parted.astype(np.int64)
+    starts, ends = np.repeat(words.starts, times), np.repeat(words.ends, times)
+    second = np.cumsum(times)[parted] - 1
+    starts[second] = ends[second - 1] = cut[parted]
+    return W.Words(starts, ends, np.repeat(words.text, times))
+
+
 @lru_cache(maxsize=2)
 def _word_table(path: str) -> PieceTable:
     """Words known to this worker, kept for its next tasks."""
@@ -83,16 +107,20 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     """
     taken = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
-    def cut(table: PieceTable, texts: list[str]):
-        words, counts = [], []
-        for one in texts:
-            own = _WORD.findall(one)
-            words += own
-            counts.append(len(own))
-        ids, sizes = table.ids(words)
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        bounds = total[np.concatenate([[0], np.cumsum(counts)])]
-        for i in range(len(texts)):
+    def cut(table: PieceTable, block: W.Block):
+        """Ids of the block's texts, each distinct part of a word looked up once."""
+        data = W.LOWER[block.data]
+        parts = _parted(data, W.words(data, block.bounds))
+        _, first, which = np.unique(W.span_hashes(data, parts.starts, parts.ends),
+                                    return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        ids, sizes = table.ids([raw[a:b].decode() for a, b in zip(
+            parts.starts[first].tolist(), parts.ends[first].tolist(), strict=True)])
+        starts = np.cumsum(sizes) - sizes
+        ids = ids[ranges(starts[which], sizes[which])]
+        total = np.concatenate([[0], np.cumsum(sizes[which])])
+        bounds = total[np.searchsorted(parts.text, np.arange(len(block.bounds)))]
+        for i in range(len(block.bounds) - 1):
             whole = np.append(ids[bounds[i]:bounds[i + 1]], END).astype("<u4")
             for start in range(0, len(whole), window):
                 piece = whole[start:start + window]
@@ -102,21 +130,14 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
         table = _word_table(tokenizer)
         part, counter = TaskContext.get().partitionId(), Counter(window + 1)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            first = 0
-            while first < len(texts):
-                group, chars = [], 0
-                while first + len(group) < len(texts) and chars < GROUP_CHARS:
-                    group.append(texts[first + len(group)] or "")
-                    chars += len(group[-1])
+            for block in W.blocks(batch.column(1)):
                 row, start, length, crc, tokens = (
-                    np.array(x, np.int64) for x in zip(*cut(table, group), strict=True))
+                    np.array(x, np.int64) for x in zip(*cut(table, block), strict=True))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(pa.array(row + first)), pa.array(start),
+                    batch.column(0).take(pa.array(row + block.row)), pa.array(start),
                     pa.array(length), pa.array(crc), pa.array(tokens),
                     pa.array(counter.places(length)),
                     pa.array(np.full(len(row), part, np.int32))], names=names)
-                first += len(group)
 
     schema = StructType(list(taken.select("doc_id").schema.fields))
     for name in ("start", "length", "ids_crc32", "doc_tokens", "place"):
