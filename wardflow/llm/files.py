@@ -12,6 +12,10 @@ _ALIGN = 64
 
 
 def located(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder named as Spark names it, and the path there."""
+    for own, arrow in (("s3a://", "s3://"), ("s3n://", "s3://")):
+        if uri.startswith(own):
+            uri = arrow + uri.removeprefix(own)
     return pafs.FileSystem.from_uri(uri)
 
 

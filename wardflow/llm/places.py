@@ -38,5 +38,6 @@ def placed(rows: DataFrame, group: str, part: str, place: str) -> DataFrame:
     earlier = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     before = settle(sizes.select(group, part, F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
                                  .alias("_before")), "places")
-    return (rows.join(before, [group, part]).withColumn(place, F.col(place) + F.col("_before"))
+    # Up to a row per group and task: too many to broadcast in a large job.
+    return (rows.join(before.hint("merge"), [group, part]).withColumn(place, F.col(place) + F.col("_before"))
             .select(*[c for c in rows.columns if c != part]))

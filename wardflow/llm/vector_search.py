@@ -14,7 +14,8 @@ number of a group of blocks; no rows are paired with all rows.
 
 Defined results: vectors that are null, or hold null or non-finite components,
 and null ids take no part. Only vectors of one length are comparable. A row
-repeated with its id counts once. Scores beyond a long are refused.
+repeated with its id counts once. Scores and components beyond a long are refused.
+Other columns are not read. An empty table, or one without queries, gives no rows.
 """
 
 from __future__ import annotations
@@ -34,10 +35,16 @@ GROUP_BLOCKS = 32
 
 
 def scaled(vector: Column, factor: int) -> Column:
-    """``floor(factor * x)`` of each component; null if the vector takes no part."""
+    """``floor(factor * x)`` of each component; null if the vector takes no part.
+
+    A finite component whose product does not fit a long is refused.
+    """
     wide = F.transform(vector, lambda x: x.cast("double") * factor)
-    bad = F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) >= 2.0 ** 62))
-    return F.when(vector.isNotNull() & ~bad, F.transform(wide, lambda x: F.floor(x)))
+    bad = F.exists(F.transform(vector, lambda x: x.cast("double")),
+                   lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    fits = F.transform(wide, lambda x: F.when(F.abs(x) < 2.0 ** 62, F.floor(x)).otherwise(
+        F.raise_error(F.lit("a component is too large for whole numbers"))))
+    return F.when(vector.isNotNull() & ~bad, fits)
 
 
 def _packed(rows: DataFrame, size: int) -> DataFrame:
