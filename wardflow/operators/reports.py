@@ -261,8 +261,12 @@ def demographics(t: Tables, as_of: date | None = None) -> DataFrame:
 
 def age_distribution(t: Tables, as_of: date | None = None) -> DataFrame:
     """``patient_count`` of the demographics summed by age band."""
-    return (_patient_counts(t, as_of).groupBy("age_group")
-            .agg(F.sum("_rows").alias("patient_count")))
+    return ages_of(_patient_counts(t, as_of))
+
+
+def ages_of(counts: DataFrame) -> DataFrame:
+    """The age distribution from the counts per patient."""
+    return counts.groupBy("age_group").agg(F.sum("_rows").alias("patient_count"))
 
 
 def _latest_reading_counts(t: Tables) -> DataFrame:
@@ -296,10 +300,25 @@ def dashboard_totals(t: Tables, as_of: date | None = None) -> DataFrame:
     readings times deliveries; they are counted per patient and not formed, and
     every table is read once.
     """
-    counts = (_patient_counts(t, as_of)
-              .join(_latest_reading_counts(t), "patient_id", "left")
-              .join(_missed_counts(t, as_of), "patient_id", "left")
-              .na.fill(0, ["_readings", "_high_readings", "_missed"]))
+    return totals_of(patient_partials(t, as_of))
+
+
+def patient_partials(t: Tables, as_of: date | None = None) -> DataFrame:
+    """One row per patient with the counts that the dashboard adds up.
+
+    A patient's row depends on the patient's own rows alone.
+    """
+    return (_patient_counts(t, as_of)
+            .join(_latest_reading_counts(t), "patient_id", "left")
+            .join(_missed_counts(t, as_of), "patient_id", "left")
+            .na.fill(0, ["_readings", "_high_readings", "_missed"])
+            .select("patient_id", "age_group", "_by_age", "_rows", "_deliveries",
+                    "_all_deliveries", "_this_month", "_complicated", "_readings",
+                    "_high_readings", "_missed"))
+
+
+def totals_of(counts: DataFrame) -> DataFrame:
+    """The dashboard's row from the counts per patient."""
     # A patient without readings or deliveries has one row in their place.
     readings = F.greatest("_readings", F.lit(1))
     deliveries = F.greatest("_all_deliveries", F.lit(1))

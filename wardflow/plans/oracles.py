@@ -536,6 +536,8 @@ FROM vitals ANTI JOIN delivery_information ON vital_id = delivery_id"""),
     # Other ways to the same rows.
     return found | {other: found[name] for other, name in {
         "search_patients_indexed": "search_patients",
+        "dashboard_totals_maintained": "dashboard_totals",
+        "age_distribution_maintained": "age_distribution",
         "search_patients_by_birth_indexed": "search_patients_by_birth",
         "one_patient_profile_lookup": "one_patient_profile",
         "partial_update_written": "partial_update",

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from datetime import date, datetime
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from wardflow.operators import features, models, profile, quality, reports, search, updates
+from wardflow.operators.dashboard import Dashboard
 from wardflow.session import run_dir, settle, shared_dir, tune
 from wardflow.sources import derived
 from wardflow.sources.clustered import ClusteredTable
@@ -141,6 +141,22 @@ def _delete_written(t: HospitalTables) -> DataFrame:
     return ClusteredTable(t.spark, folder).rows()
 
 
+def _maintained(t: HospitalTables) -> Dashboard:
+    """A dashboard of a part of the rows that got the rest in two batches."""
+    numbers = {"vitals": "vital_id", "medical_history": "history_id",
+               "delivery_information": "delivery_id", "follow_up_visits": "visit_id"}
+
+    def until(part: int) -> dict[str, DataFrame]:
+        return {"patients": t["patients"],
+                **{n: t[n].filter(F.col(c) % 3 <= part) for n, c in numbers.items()}}
+
+    kept = Dashboard.create(until(0), TODAY, run_dir(t.spark, "dashboard"), BUCKETS)
+    for part in (1, 2):
+        batch = [t[n].filter(F.col(c) % 3 == part).select("patient_id") for n, c in numbers.items()]
+        kept.refresh(until(part), settle(reduce(DataFrame.unionByName, batch), "touched"))
+    return kept
+
+
 def _filled(t: HospitalTables) -> DataFrame:
     return features.median_fill(features.risk_features(t, TODAY), features.READINGS, "copies")
 
@@ -168,8 +184,7 @@ def _abnormal_vitals_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = feed.abnormal_vitals_stream(_order_stream(spark, sf_dir, "vitals"))
     out = run_dir(spark, "abnormal-vitals")
     feed.write_changes(summary, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
-    written = spark.read.schema(summary.schema.add("batch", LongType())).parquet(f"{out}/rows")
-    return feed.current_summary(written)
+    return feed.current_summary(spark, f"{out}/rows")
 
 
 # -- models -------------------------------------------------------------------
@@ -230,6 +245,8 @@ def queries() -> dict[str, Query]:
         "demographics": lambda t: reports.demographics(t, TODAY),
         "age_distribution": lambda t: reports.age_distribution(t, TODAY),
         "dashboard_totals": lambda t: reports.dashboard_totals(t, TODAY),
+        "dashboard_totals_maintained": lambda t: _maintained(t).totals(),
+        "age_distribution_maintained": lambda t: _maintained(t).age_distribution(),
         "patient_profile": _profile_json,
         "one_patient_profile": lambda t: _profile_json(t, PATIENT),
         "patients": reports.patients,

@@ -9,16 +9,15 @@ files that no note names. Two writers cannot both write the same next note.
 
 from __future__ import annotations
 
-import json
-import re
 import uuid
 from collections.abc import Callable, Iterable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
+from wardflow.sources.notes import last_note, write_note
+
 _BUCKET = "_bucket"
 
 
@@ -27,10 +26,10 @@ class ClusteredTable:
 
     def __init__(self, spark: SparkSession, path: str):
         self._spark, self.path = spark, path.rstrip("/")
-        note = self._last_note()
-        if note is None:
+        found = last_note(spark, f"{self.path}/notes")
+        if found is None:
             raise FileNotFoundError(f"no clustered table at {path}")
-        self.version = note["version"]
+        self.version, note = found
         self.key: str = note["key"]
         self.buckets: int = note["buckets"]
         self.schema = StructType.fromJson(note["schema"])
@@ -61,11 +60,10 @@ class ClusteredTable:
         found = (self._spark.read.schema(StructType([*self.schema.fields]).add(_BUCKET, IntegerType()))
                  .parquet(f"{self.path}/{folder}"))
         folders |= {row[0]: folder for row in found.select(_BUCKET).distinct().collect()}
-        note = {"version": self.version + 1, "key": self.key, "buckets": self.buckets,
-                "schema": self.schema.jsonValue(), "folders": folders}
-        (self._spark.range(1).select(F.lit(json.dumps(note)).alias("value")).write
-         .text(f"{self.path}/notes/{note['version']:010d}"))
-        self.version, self._folders = note["version"], folders
+        write_note(self._spark, f"{self.path}/notes", self.version + 1, {
+            "key": self.key, "buckets": self.buckets, "schema": self.schema.jsonValue(),
+            "folders": folders})
+        self.version, self._folders = self.version + 1, folders
 
     def change(self, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
         """Replace the buckets of ``keys`` by what ``change`` makes of their rows.
@@ -91,16 +89,6 @@ class ClusteredTable:
 
     # -- reading ----------------------------------------------------------------
 
-    def _last_note(self) -> dict | None:
-        try:
-            notes = (self._spark.read.text(f"{self.path}/notes/*")
-                     .select("value", F.input_file_name().alias("file")))
-            rows = [(int(re.search(r"/notes/(\d+)/", r["file"]).group(1)), r["value"])
-                    for r in notes.collect()]
-        except AnalysisException:
-            return None
-        return json.loads(max(rows)[1]) if rows else None
-
     def _bucket(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key.cast(self.schema[self.key].dataType)),
                       F.lit(self.buckets)).cast("int")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wardflow.functions import skew
 from wardflow.operators import quality, reports
+from wardflow.streaming.log import ChangeLog
 
 
 def validate_vitals_stream(stream: DataFrame, patients: DataFrame) -> DataFrame:
@@ -38,17 +38,17 @@ def abnormal_vitals_stream(stream: DataFrame, min_count: int = 2) -> DataFrame:
 
 
 def write_changes(summary: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the changed summary rows of each batch to a folder of its own.
+    """Add the changed summary rows of each batch to a log under ``path``.
 
-    A batch that is run again overwrites its folder.
+    A batch that is run again after a restart is not added twice.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        ChangeLog(batch.sparkSession, path, "patient_id").append(batch, batch_id)
 
     return (summary.writeStream.outputMode("update").foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def current_summary(written: DataFrame) -> DataFrame:
-    """The latest row per patient of the written batches."""
-    return skew.first_per_key(written, ["patient_id"], [F.desc("batch")]).drop("batch")
+def current_summary(spark: SparkSession, path: str) -> DataFrame:
+    """The latest row per patient of the log under ``path``."""
+    return ChangeLog(spark, path, "patient_id").current()
