@@ -20,6 +20,7 @@ gives no pieces.
 
 from __future__ import annotations
 
+import os
 import zlib
 from functools import lru_cache
 from typing import NamedTuple
@@ -41,12 +42,16 @@ WINDOW = 4096
 END = 2
 DEPTH = 3
 BINS = 128
+# Parts of words that a worker remembers before it begins anew.
+KNOWN = 500_000
 
 
 # -- tokens -------------------------------------------------------------------
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str) -> Tokenizer:
+    # Tasks are the threads here; the library's own cost more than they save.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     found = Tokenizer.from_file(path)
     found.encode_special_tokens = True  # their names in a text are ordinary text
     return found
@@ -95,8 +100,8 @@ def _parted(data: np.ndarray, words: W.Words) -> W.Words:
 
 @lru_cache(maxsize=2)
 def _word_table(path: str) -> PieceTable:
-    """Words known to this worker, kept for its next tasks."""
-    return PieceTable(lambda words: _encode(path, words))
+    """Parts of words known to this worker, kept for its next tasks."""
+    return PieceTable(lambda words: _encode(path, words), KNOWN)
 
 
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text",

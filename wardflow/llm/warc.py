@@ -152,9 +152,13 @@ class Stretch(InputPartition):
         self.uri, self.start, self.end = uri, start, end
 
 
-def _inflated(source, start: int):
-    """Head, rest and end of a gzip member of unknown size."""
-    unpack, out = zlib.decompressobj(31), []
+def _inflated(source, start: int, wanted):
+    """Headers, block and end of a gzip member of unknown size.
+
+    Of a member whose headers are not ``wanted`` only the head is held: what follows is
+    inflated for its end, chunk by chunk, and dropped.
+    """
+    unpack, head, headers, block = zlib.decompressobj(31), b"", None, []
     source.seek(start)
     read = 0
     while not unpack.eof:
@@ -162,8 +166,30 @@ def _inflated(source, start: int):
         if not chunk:
             raise ValueError("a gzip member is cut off")
         read += len(chunk)
-        out.append(unpack.decompress(chunk))
-    return b"".join(out), start + read - len(unpack.unused_data)
+        while True:
+            raw = unpack.decompress(chunk, 1 << 20)
+            full = len(raw) == 1 << 20
+            if headers is None:
+                head += raw
+                if b"\r\n\r\n" in head:
+                    head, _, raw = head.partition(b"\r\n\r\n")
+                    headers = _headers(head)
+                    keep = wanted(headers)
+            if headers is not None and keep:
+                block.append(raw)
+            chunk = unpack.unconsumed_tail
+            if unpack.eof or not (chunk or full):
+                break
+    if headers is None:
+        headers = _headers(head)
+    return headers, b"".join(block), start + read - len(unpack.unused_data)
+
+
+def _whole(row: dict, payload: bytes | None) -> dict:
+    """``row`` with its payload, which must be the one whose digest was written."""
+    if payload is not None and row["payload_digest"] != digest(payload):
+        raise ValueError(f"the payload of {row['record_id']} does not have its digest")
+    return {**row, "payload": payload}
 
 
 def _records(source, size: int, start: int, end: int, filters: list, wanted: bool):
@@ -191,12 +217,11 @@ def _records(source, size: int, start: int, end: int, filters: list, wanted: boo
                 left = at + length - source.tell()
                 block += unpack.decompress(unpack.unconsumed_tail + source.read(left))
                 block = block[:int(headers.get("content-length", 0))]
-                row["payload"] = _payload(headers, block)
+                row = _whole(row, _payload(headers, block))
             at += length
         else:
-            raw, at = _inflated(source, at)
-            head, _, block = raw.partition(b"\r\n\r\n")
-            headers = _headers(head)
+            headers, block, at = _inflated(
+                source, at, lambda h: wanted and _matches(_row(h), filters))
             row = _row(headers)
             if not _matches(row, filters):
                 row = None
@@ -256,7 +281,9 @@ class WarcReader(DataSourceReader):
         return [Stretch(f"{self._path}/{x.base_name}", 0, None) for x in found
                 if x.base_name.endswith((".warc", ".warc.gz"))]
 
-    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Stretch | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # an archive without files
+            return
         fs, path = located(partition.uri)
         names = pa.schema([(c, pa.int64() if c == "payload_bytes" else
                             pa.binary() if c == "payload" else pa.string()) for c in COLUMNS])
