@@ -91,7 +91,7 @@ def test_rows_of_one_moment_lie_in_several_parts(spark, moment):
     dealt = scan._dealt(df, ["key"], [F.asc("at"), F.asc("id")], 8)
     sizes = [r["count"] for r in dealt.groupBy("_part").count().collect()]
     assert len(sizes) == 8 and max(sizes) < 1000
-    assert {(r.key,) for r in scan._cut_keys(dealt, ["key"]).collect()} == {("hot",)}
+    assert scan._cut_keys(dealt, ["key"]) == [("hot",)]
     order = [F.asc("at"), F.asc("id")]
     assert all(r.place == r.id + 1
                for r in scan.numbered(df, ["key"], order, "place", 8).collect())

@@ -56,9 +56,20 @@ class Split:
         A parent with unique keys has at most one row per listed key, which
         bounds what is broadcast. Otherwise Spark chooses by the size it finds.
         """
+        return self.cold.join(parent, key).unionByName(self._hot_join(parent, key, unique))
+
+    def outer(self, parent: DataFrame, key: str, unique: bool = True) -> DataFrame:
+        """Every row of a parent table with its rows here, or with NULLs for none.
+
+        A listed key has rows here, so its inner join loses no parent, and only the
+        parents of ordinary keys are joined to the left of their few rows.
+        """
+        others = parent.join(F.broadcast(self.listed), key, "left_anti")
+        return others.join(self.cold, key, "left").unionByName(self._hot_join(parent, key, unique))
+
+    def _hot_join(self, parent: DataFrame, key: str, unique: bool) -> DataFrame:
         few = parent.join(F.broadcast(self.listed), key, "left_semi")
-        return self.cold.join(parent, key).unionByName(
-            self.hot.join(F.broadcast(few) if unique else few, key))
+        return self.hot.join(F.broadcast(few) if unique else few, key)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],

@@ -28,25 +28,16 @@ def _high_risk_rows(t: Tables, as_of: date | None, hot_rows: int = skew.HOT_ROWS
     patients = t["patients"].select(
         "patient_id", E.full_name().alias("patient_name"), "date_of_birth",
         E.age_years(as_of).alias("age"))
-    keys = t["patients"].select("patient_id")
-    # Left joins become inner ones, which hold for a hot patient: a row without
-    # a reading stands where there is no reading with a time, and a row without
-    # a delivery where there is no delivery.
     vitals = t["vitals"].select("patient_id", "vital_id", "recorded_at",
                                 "blood_pressure_systolic", "blood_pressure_diastolic")
     vitals = vitals.filter("recorded_at IS NOT NULL")
-    latest = skew.latest_with_ties(vitals, ["patient_id"], "recorded_at", ["vital_id"], hot_rows)
-    unread = keys.join(vitals.select("patient_id").distinct(), "patient_id", "left_anti")
-    latest = skew.Split(latest.cold.unionByName(unread, allowMissingColumns=True), latest.hot,
-                        latest.listed)
-    readings = (latest.join(patients, "patient_id")
+    readings = (skew.latest_with_ties(vitals, ["patient_id"], "recorded_at", ["vital_id"], hot_rows)
+                .outer(patients, "patient_id")
                 .withColumn("_by_age", F.coalesce(F.col("age") > E.RISK_AGE, F.lit(False)))
                 .withColumn("_by_pressure", E.high_pressure()))
     deliveries = t["delivery_information"].select("patient_id", "delivery_id", "complications")
-    none = keys.join(deliveries.select("patient_id").distinct(), "patient_id", "left_anti")
-    rows = (skew.split_hot(deliveries.unionByName(none, allowMissingColumns=True),
-                           ["patient_id"], ["delivery_id"], hot_rows)
-            .join(readings, "patient_id", unique=False)
+    rows = (skew.split_hot(deliveries, ["patient_id"], ["delivery_id"], hot_rows)
+            .outer(readings, "patient_id", unique=False)
             .filter(F.col("_by_age") | F.col("_by_pressure")
                     | E.has_text(F.col("complications"))))
     category = (F.when(F.col("_by_age"), E.AGE_RISK)

@@ -52,8 +52,9 @@ def _append_patients_batches(t: HospitalTables) -> DataFrame:
     new, _ = quality.validate_patients(t["raw_patients"])
     table = t["patients"]
     for batch in ("1", "2", "3", "3"):
-        table = table.unionByName(updates.append_patients(new, table, batch, NOW),
-                                  allowMissingColumns=True)
+        # Written, so that the next batch does not make it again.
+        added = settle(updates.append_patients(new, table, batch, NOW), "appended")
+        table = table.unionByName(added, allowMissingColumns=True)
     return table.select("patient_id", "first_name", "last_name", "date_of_birth")
 
 
