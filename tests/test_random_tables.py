@@ -26,7 +26,7 @@ OPERATORS = {
     "risk_features_serving": lambda t: features.risk_features_serving(t, TODAY),
     "followup_features": lambda t: features.followup_features(t, TODAY, **HOT),
     "followup_features_serving": lambda t: features.followup_features_serving(t, TODAY),
-    "vitals_lag_features": lambda t: features.vitals_lag_features(t, **HOT),
+    "vitals_lag_features": lambda t: features.vitals_lag_features(t),
     "vitals_features_serving": lambda t: features.vitals_features_serving(t, TODAY),
     "filter_recent_delivery": lambda t: reports.filter_patients(t, "recent", TODAY, 365),
     "monthly_visits": reports.monthly_visits,
