@@ -16,8 +16,6 @@ empty one. A very long text is a block of its own; memory follows the longest.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -63,7 +61,7 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _ODD = np.zeros(256, bool)
 _ODD[list(b"#*$%&<>!?@^~`_+=\\{}[]/|")] = True
-_PHRASE = re.compile(b"|".join(re.escape(p.encode()) for p in PHRASES), re.IGNORECASE)
+_PHRASES = [p.encode() for p in PHRASES]
 
 
 def _lines(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,10 +121,15 @@ def _measure(block: W.Block, max_lost: float, clean: bool) -> list:
     navigation = (pipes >= 2) & (line_words <= (NAV_WORDS + 1) * (pipes + 1))
     phrase_words = np.zeros(len(starts), np.int64)
     # The bounds of texts and lines: a phrase counts only within one line.
-    for hit in _PHRASE.finditer(data.tobytes()):
-        k = int(np.searchsorted(starts, hit.start(), "right")) - 1
-        if hit.end() <= ends[k]:
-            phrase_words[k] += 1 + hit.group().count(b" ")
+    lower = W.LOWER[data].tobytes()
+    for phrase in _PHRASES:
+        at = lower.find(phrase)
+        while at >= 0:
+            k = int(np.searchsorted(starts, at, "right")) - 1
+            at += len(phrase)
+            if at <= ends[k]:
+                phrase_words[k] += 1 + phrase.count(b" ")
+            at = lower.find(phrase, at)
     boilerplate = (phrase_words > 0) & (phrase_words >= BOILERPLATE_SHARE * line_words)
     failed = (punctuation | navigation | boilerplate) & (line_words > 0)
     total = np.bincount(text, weights=chars, minlength=n).astype(np.int64)
