@@ -43,7 +43,7 @@ END = 2
 DEPTH = 3
 BINS = 128
 # Parts of words that a worker remembers before it begins anew.
-KNOWN = 500_000
+KNOWN = 200_000
 
 
 # -- tokens -------------------------------------------------------------------

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -22,7 +23,10 @@ from pyspark.sql.types import StructType
 
 from wardflow.llm.carried import Carried
 
-BLOCK_BYTES = 1 << 21
+# A byte takes some fifty bytes of arrays while its block is worked on.
+BLOCK_BYTES = 1 << 19
+# Text of a batch whose results are made and sent together.
+SLICE_BYTES = 1 << 22
 # A word beyond this many bytes is hashed by itself.
 _SEGMENT = 1 << 20
 
@@ -176,6 +180,20 @@ def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return twice, earlier
 
 
+def _cuts(column: pa.Array, size: int) -> list[int]:
+    """Rows at which a text column is cut into stretches of about ``size`` bytes."""
+    n = len(column)
+    if not n or not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+        return [0, n]
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    at = np.frombuffer(column.buffers()[1], kind)[column.offset:column.offset + n + 1]
+    cuts = [0]
+    while cuts[-1] < n:
+        stop = int(np.searchsorted(at, int(at[cuts[-1]]) + size, "right")) - 1
+        cuts.append(min(n, max(stop, cuts[-1] + 1)))
+    return cuts
+
+
 def add_struct(df: DataFrame, text: str, name: str, fields: StructType,
                compute: Callable[[pa.Array], list]) -> DataFrame:
     """``df`` with a struct column made from the whole texts of a batch.
@@ -195,7 +213,8 @@ def add_struct(df: DataFrame, text: str, name: str, fields: StructType,
     kind = arrow.field("_out").type
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(a, b - a) for whole in batches
+                      for a, b in pairwise(_cuts(whole.column(column), SLICE_BYTES))):
             made = [pa.array(x, type=kind.field(i).type)
                     for i, x in enumerate(compute(batch.column(column)))]
             out = pa.StructArray.from_arrays(made, fields=[kind.field(i) for i in
