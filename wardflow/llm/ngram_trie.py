@@ -48,6 +48,8 @@ HEAVY = 1 << 18
 _END = int(W.mix(np.array([0x656E64], np.uint64))[0])
 # N-grams of a task that are counted together before they are sent.
 _HELD = 1 << 21
+# Text taken at a time: every block asks every shard, so small ones cost more.
+BLOCK_BYTES = 1 << 21
 _FIELDS = (StructType().add("n_tokens", LongType()).add("n_known", LongType())
            .add("base_score", DoubleType()).add("score", DoubleType()))
 
@@ -393,7 +395,7 @@ def _word_level(texts: DataFrame, path: str, size: int) -> tuple[int, list, int]
     def count(batches):
         pending = _Pending(shards, by_range)
         for batch in batches:
-            for block in W.blocks(batch.column(0)):
+            for block in W.blocks(batch.column(0), BLOCK_BYTES):
                 yield from pending.add(_hashes(block)[0])
         yield pending.sent()
 
@@ -434,7 +436,7 @@ def _ngram_level(texts: DataFrame, model: Model, level: int, last: bool) -> Mode
         light = _Pending(2 * shards, lambda keys: _shard_of(keys // np.uint64(words + 1), shards))
         heavy = _Pending(2 * shards, lambda keys: _shard_of(keys, shards) + shards)
         for batch in batches:
-            for block in W.blocks(batch.column(0)):
+            for block in W.blocks(batch.column(0), BLOCK_BYTES):
                 tokens = _tokens(levels, block)
                 for at_level, at, context in _contexts(levels, tokens, level):
                     if at_level == level:
@@ -583,6 +585,6 @@ def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "lm")
     def compute(column: pa.Array) -> list:
         if not opened:
             opened.append(Levels(model))
-        return W.joined([_scores(opened[0], b) for b in W.blocks(column)], types)
+        return W.joined([_scores(opened[0], b) for b in W.blocks(column, BLOCK_BYTES)], types)
 
     return W.add_struct(docs, text, name, _FIELDS, compute)
