@@ -73,3 +73,19 @@ def test_without_patients(spark, tmp_path):
     _same(kept, _tables(spark, 0))
 
 
+
+
+def test_touched_patients_are_made_distinct_once(spark, tmp_path):
+    t = _tables(spark, 1)
+    kept = Dashboard.create(t, TODAY, f"{tmp_path}/d", 4)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    touched = spark.createDataFrame([(f"P{i % 9}",) for i in range(200)], "patient_id string")
+    kept.refresh(t, touched.mapInArrow(counted, "patient_id string"))
+    assert read.value == 200
+    _same(kept, t)

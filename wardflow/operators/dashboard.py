@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardflow.operators import reports
+from wardflow.session import settle
 from wardflow.sources.clustered import ClusteredTable
 
 Tables = Mapping[str, DataFrame]
@@ -46,7 +47,9 @@ class Dashboard:
         patients, as read by key from clustered tables. Patients that are no
         longer there lose their counts, new ones get theirs.
         """
-        touched = touched.select("patient_id").filter(F.col("patient_id").isNotNull()).distinct()
+        # Written, as it meets every table: the batch's rows would be made distinct for each.
+        touched = settle(touched.select("patient_id").filter(F.col("patient_id").isNotNull())
+                         .distinct(), "touched-patients")
         own = {name: t[name].join(touched, "patient_id", "left_semi") for name in COUNTED}
         new = reports.patient_partials(own, self._as_of)
         self._counts.change(touched, lambda old: old.join(
