@@ -217,6 +217,24 @@ def test_lists_in_blocks_lose_no_near_pair(spark, monkeypatch, block, small):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
 
 
+@pytest.mark.parametrize("worth,passes", [(False, 1), (True, 3)])
+def test_entries_are_made_in_one_pass_unless_lists_are_long(spark, monkeypatch, worth, passes):
+    """Groups of near copies, all of whose shingles are frequent: hot and other entries."""
+    made, entries = [], jaccard_join._entries
+    monkeypatch.setattr(jaccard_join, "_entries", lambda *a: made.append(1) or entries(*a))
+    if worth:
+        monkeypatch.setattr(jaccard_join, "_worth", lambda sets, cost: len(made) < 3)
+    texts = []
+    for group in range(6):
+        base = [f"g{group}w{i}" for i in range(60)]
+        texts += [" ".join([*base, f"end{k}"]) for k in range(5)] + [" ".join(base)] * 2
+    docs = spark.createDataFrame(list(enumerate([*texts, None, "alone"])), "doc_id long, text string")
+    got = jaccard_join.join_documents(docs, frequent=2, count_links=False).collect()
+    assert len(made) == passes
+    want = {i: i // 7 * 7 for i in range(42)} | {42: 42, 43: 43}
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_parities_in_matrices_equal_those_one_by_one():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 5, 31, 33, 64, 200, 900)]

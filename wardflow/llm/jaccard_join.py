@@ -201,10 +201,10 @@ def _boundary(sets: DataFrame, counts: DataFrame, listed: np.ndarray, similarity
 
 
 def _entries(docs: DataFrame, text: str, width: int, similarity: int, frequent: np.ndarray,
-             order: np.ndarray, boundary: int, hot: bool) -> DataFrame:
+             order: np.ndarray, boundary: int) -> DataFrame:
     """``key``, ``set_id`` and size of every entry, and the shingles from there on.
 
-    ``hot``: those made of frequent shingles only, else the others.
+    ``hot`` marks the entries made of frequent shingles only.
     """
     def emit(shingle, bounds, n, names, take):
         at, owner = _ranges(bounds[take], n[take])
@@ -239,20 +239,20 @@ def _entries(docs: DataFrame, text: str, width: int, similarity: int, frequent:
             heavy.append((listed[left] & listed[right]).ravel())
             rest.append(np.repeat(size[own], len(a)))
         keys, sets = np.concatenate(keys), np.concatenate(sets)
-        wanted = np.concatenate(heavy) == hot
-        keys, sets, rest = keys[wanted], sets[wanted], np.concatenate(rest)[wanted]
         return [keys.view(np.int64), names[take][sets], size[sets].astype(np.int32),
-                rest.astype(np.int32)]
+                np.concatenate(rest).astype(np.int32), np.concatenate(heavy)]
 
-    return _each_set(docs, text, width, "key long, set_id long, n int, rest int",
+    return _each_set(docs, text, width, "key long, set_id long, n int, rest int, hot boolean",
                      [pa.field("key", pa.int64()), pa.field("set_id", pa.int64()),
-                      pa.field("n", pa.int32()), pa.field("rest", pa.int32())], emit)
+                      pa.field("n", pa.int32()), pa.field("rest", pa.int32()),
+                      pa.field("hot", pa.bool_())], emit)
 
 
 def _shared(entries: DataFrame) -> DataFrame:
-    """Entries of keys that two or more sets share; for keys that are not hot.
+    """Entries of keys that two or more sets share, and all distinct entries of hot keys.
 
-    One shuffle; the sorted rows of a task are then read once.
+    One shuffle; the sorted rows of a task are then read once. A hot key's entries are
+    spread over all tasks by set, so none tells how many sets share the key.
     """
     def run(batches):
         left = None
@@ -268,12 +268,13 @@ def _shared(entries: DataFrame) -> DataFrame:
         if left is not None:
             yield from _several(pa.Table.from_batches([left]))
 
-    dealt = entries.repartition("key").sortWithinPartitions("key", "set_id")
+    spread = F.when(F.col("hot"), F.col("set_id")).otherwise(F.lit(0))
+    dealt = entries.repartition("key", spread).sortWithinPartitions("key", "set_id")
     return dealt.mapInArrow(run, entries.schema)
 
 
 def _several(table: pa.Table):
-    if len(table) < 2:
+    if not len(table):
         return
     key, name = table["key"].to_numpy(), table["set_id"].to_numpy()
     head = np.ones(len(key), bool)
@@ -282,7 +283,8 @@ def _several(table: pa.Table):
     new[1:] |= name[1:] != name[:-1]
     run = np.cumsum(head) - 1
     several = np.bincount(run[new]) > 1
-    yield from table.filter(pa.array(new & several[run])).to_batches()
+    hot = table["hot"].to_numpy()
+    yield from table.filter(pa.array(new & (several[run] | hot))).to_batches()
 
 
 def _may_link(similarity: int) -> Column:
@@ -526,6 +528,12 @@ def _most(counts: DataFrame, frequent: int) -> pd.DataFrame:
             .limit(MAX_FREQUENT).toPandas())
 
 
+def _worth(sets: pd.Series, pass_cost: int) -> bool:
+    """Whether lists of these lengths cost more to scan than a pass over the entries."""
+    length = sets.to_numpy(np.float64)
+    return bool((length * length).sum() > pass_cost)
+
+
 def set_links(docs: DataFrame, sets: DataFrame, text: str = "text", width: int = WIDTH,
               similarity: int = SIMILARITY, boundary: int | None = None,
               frequent: int = FREQUENT, every: bool = False) -> DataFrame:
@@ -539,25 +547,30 @@ def set_links(docs: DataFrame, sets: DataFrame, text: str = "text", width: int =
     if boundary is None:
         boundary = _boundary(sets, counts, listed["sets"].to_numpy(np.int64), similarity)
 
-    def entries(hot: bool) -> DataFrame:
+    def entries() -> DataFrame:
         by_key = listed.sort_values("key", key=lambda k: k.to_numpy(np.int64).view(np.uint64))
         key = by_key["key"].to_numpy(np.int64).view(np.uint64)
         order = np.empty(len(key), np.int64)
         order[np.lexsort((key, by_key["sets"].to_numpy(np.int64)))] = np.arange(len(key))
-        return _entries(docs, text, width, similarity, key, order, boundary, hot)
+        return _entries(docs, text, width, similarity, key, order, boundary)
 
     # With some shingles put last, others come to the front that were not counted
-    # there before: they are listed too, until none is found.
+    # there before: they are listed too, as long as their lists, if scanned, would
+    # cost more than another pass over all first shingles.
+    size = F.col("n_shingles")
+    first = size - F.ceil(F.lit(similarity) * size / 100) + 1
+    pass_cost = sets.filter(size > 0).agg(F.sum(first)).first()[0] or 0
     for left in reversed(range(PASSES)):
-        light = settle(_shared(entries(False)), "light-entries")
+        shared = settle(_shared(entries()), "shared-entries")
+        light = shared.filter("NOT hot").drop("hot")
         more = _most(light.groupBy("key").agg(F.count(F.lit(1)).alias("sets")), frequent)
         more = more[~more["key"].isin(listed["key"])]
-        if more.empty or not left:
+        if not left or not _worth(more["sets"], pass_cost):
             break
         listed = (pd.concat([listed, more]).sort_values(["sets", "key"], ascending=[False, True])
                   .head(MAX_FREQUENT))
 
-    hot = settle(entries(True).distinct(), "hot-entries")
+    hot = shared.filter("hot").drop("hot")
     hot_keys = settle(hot.groupBy("key").agg(F.min("set_id").alias("_a"), F.max("set_id").alias("_b"))
                       .filter("_a <> _b").select("key"), "hot-keys")
     members = settle(light.unionByName(hot.join(hot_keys, "key", "left_semi")), "members")
