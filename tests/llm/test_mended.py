@@ -222,8 +222,8 @@ def test_entries_are_made_in_one_pass_unless_lists_are_long(spark, monkeypatch,
     """Groups of near copies, all of whose shingles are frequent: hot and other entries."""
     made, entries = [], jaccard_join._entries
     monkeypatch.setattr(jaccard_join, "_entries", lambda *a: made.append(1) or entries(*a))
-    if worth:
-        monkeypatch.setattr(jaccard_join, "_worth", lambda sets, cost: len(made) < 3)
+    assert jaccard_join._worth(np.array([3, 4]), 24) and not jaccard_join._worth(np.array([3, 4]), 25)
+    monkeypatch.setattr(jaccard_join, "_worth", lambda sets, cost: worth)
     texts = []
     for group in range(6):
         base = [f"g{group}w{i}" for i in range(60)]

@@ -528,9 +528,9 @@ def _most(counts: DataFrame, frequent: int) -> pd.DataFrame:
             .limit(MAX_FREQUENT).toPandas())
 
 
-def _worth(sets: pd.Series, pass_cost: int) -> bool:
+def _worth(sets: pd.Series | np.ndarray, pass_cost: int) -> bool:
     """Whether lists of these lengths cost more to scan than a pass over the entries."""
-    length = sets.to_numpy(np.float64)
+    length = np.asarray(sets, np.float64)
     return bool((length * length).sum() > pass_cost)
 
 
