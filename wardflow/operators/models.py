@@ -127,7 +127,10 @@ def _train(rows: DataFrame, name: str, keys: list[str], numbers: list[str], lear
 
 
 def _forest(label: str, trees: int, depth: int, copies: str | None = None) -> RandomForestClassifier:
-    forest = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=SEED)
+    # Every row's node in every tree is kept: else each level walks all trees from the root
+    # for every row. The trees are the same.
+    forest = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=SEED,
+                                    cacheNodeIds=True)
     return forest.setWeightCol(copies) if copies else forest
 
 
