@@ -50,14 +50,22 @@ def _select_table() -> np.ndarray:
 _SELECT = _select_table()
 
 
+_BYTES = np.uint64(0x0101010101010101)
+_TOPS = np.uint64(0x8080808080808080)
+
+
 def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Place of the k-th one (from 0) of each word."""
-    parts = np.ascontiguousarray(word).astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
-    upto = np.cumsum(np.bitwise_count(parts), axis=1, dtype=np.uint8)
-    byte = (upto <= k[:, None]).sum(axis=1)
-    row = np.arange(len(parts))
-    before = np.where(byte > 0, upto[row, byte - 1], 0)
-    return byte * 8 + _SELECT[parts[row, byte], k - before]
+    """Place of the k-th one (from 0) of each word, which has more ones than k."""
+    parts = np.ascontiguousarray(word).astype("<u8", copy=False).view(np.uint8)
+    # In byte i the ones of bytes 0 to i: 64 at most, so no byte runs over.
+    upto = np.bitwise_count(parts).view("<u8") * _BYTES
+    k = k.astype(np.uint64)
+    # The top bit stays in the bytes that reach beyond the k-th one.
+    beyond = ((upto | _TOPS) - (k + _ONE) * _BYTES) & _TOPS
+    byte = 8 - np.bitwise_count(beyond).astype(np.int64)
+    before = (upto << np.uint64(8)) >> (byte * 8).astype(np.uint64) & np.uint64(0xFF)
+    row = np.arange(0, len(parts), 8)
+    return byte * 8 + _SELECT[parts[row + byte], (k - before).astype(np.int64)]
 
 
 class EliasFano:

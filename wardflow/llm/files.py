@@ -46,7 +46,7 @@ def read_arrays(uri: str) -> dict[str, np.ndarray]:
     """The arrays of a file; a local file is mapped, not read."""
     fs, path = located(uri)
     if isinstance(fs, pafs.LocalFileSystem):
-        raw = np.memmap(path, np.uint8, "r")
+        raw = np.memmap(path, np.uint8, "r").view(np.ndarray)  # a plain array is indexed faster
     else:
         with fs.open_input_file(path) as source:
             raw = np.frombuffer(source.read(), np.uint8)

@@ -85,13 +85,20 @@ def _quantised(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
 
 def _restored(arrays: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
     low, step = arrays[f"{name}.scale"]
-    return 10.0 ** (low + step * arrays[f"{name}.codes"][at])
+    return (10.0 ** (low + step * np.arange(256)))[arrays[f"{name}.codes"][at]]
 
 
 def _shard_of(key: np.ndarray, shards: int) -> np.ndarray:
     return (W.mix(key) % np.uint64(shards)).astype(np.int64)
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The run of equal values in which each stands, and the first of each run."""
+    head = np.ones(len(values), bool)
+    head[1:] = values[1:] != values[:-1]
+    return np.cumsum(head) - 1, np.flatnonzero(head)
+
+
 def _small(values: np.ndarray) -> np.ndarray:
     """Counts in as few bytes each as the largest needs."""
     return values.astype(np.min_scalar_type(int(values.max(initial=0))))
@@ -106,23 +113,26 @@ class _Shard:
         self._pointers = EliasFano(arrays, "pointers")
         self._children = EliasFano(arrays, "children")
 
-    def left(self, parent: np.ndarray) -> np.ndarray:
-        """``g`` of each parent, 1 for one without children."""
-        out = np.ones(len(parent))
-        place, known = self._parents.successor(parent)
+    def left(self, place: np.ndarray) -> np.ndarray:
+        """``g`` of the parents in these places, 1 for one without children (-1)."""
+        out = np.ones(len(place))
+        known = place >= 0
         out[known] = _restored(self.arrays, "left", place[known])
         return out
 
-    def find(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Place of each child in the shard, or -1."""
+    def find(self, parent: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each child in the shard and that of its parent, or -1."""
+        # A parent's children stand together, so it is looked up once.
+        run, first = _runs(parent)
+        place, known = self._parents.successor(parent[first])
+        place = np.where(known, place, -1)[run]
         out = np.full(len(parent), -1, np.int64)
-        place, known = self._parents.successor(parent)
-        own = np.flatnonzero(known)
+        own = np.flatnonzero(place >= 0)
         # Relative to its parent's place a child's number is unique in the shard.
         at, found = self._children.successor(
             place[own].astype(np.uint64) * np.uint64(self._words) + word[own].astype(np.uint64))
         out[own[found]] = at[found]
-        return out
+        return out, place
 
 
 class Levels:
@@ -168,7 +178,9 @@ class Levels:
 
     def _by_shard(self, level: int, key: np.ndarray, own: np.ndarray):
         """Shards of the level and which of ``own`` belong to each, by their key."""
-        shard = _shard_of(key[own], self.model.shards[level - 1])
+        shards = self.model.shards[level - 1]
+        # Of few bytes, which are sorted faster.
+        shard = _shard_of(key[own], shards).astype(np.min_scalar_type(shards))
         order = np.argsort(shard, kind="stable")
         bounds = np.searchsorted(shard[order], np.arange(self.model.shards[level - 1] + 1))
         for s in np.flatnonzero(np.diff(bounds)):
@@ -186,29 +198,29 @@ class Levels:
         return heavy, out
 
     def child(self, level: int, parent: np.ndarray, word: np.ndarray):
-        """N-gram number (or -1) and first term of each child; pairs are distinct."""
+        """N-gram number (or -1) and first term of each child, and ``g`` of its context.
+
+        Pairs are distinct, those of a parent together; ``g`` is 1 without children. A word
+        that is not known has the begin mark's number, which no child has.
+        """
         number = np.full(len(parent), -1, np.int64)
         value = np.zeros(len(parent))
         shards = self.model.shards[level - 1]
-        heavy, _ = self._heavy_left(level, parent)
+        run, first = _runs(parent)
+        heavy, left = (x[run] for x in self._heavy_left(level, parent[first]))
         # A heavy context's children lie in the second half of the shards.
         for offset, key, own in (
                 (0, parent.astype(np.uint64), np.flatnonzero(~heavy)),
                 (shards, _key(parent, word, self.model.words), np.flatnonzero(heavy))):
             for s, part in self._by_shard(level, key, own):
                 shard = self._open("ngrams", level, s + offset)
-                at = shard.find(parent[part], word[part])
+                at, place = shard.find(parent[part], word[part])
+                if not offset:
+                    left[part] = shard.left(place)
                 part, at = part[at >= 0], at[at >= 0]
                 number[part] = at + self.model.bases[level - 2][s + offset]
                 value[part] = _restored(shard.arrays, "terms", at)
-        return number, value
-
-    def left(self, level: int, parent: np.ndarray) -> np.ndarray:
-        """``g`` of each context, 1 where it has no children."""
-        heavy, out = self._heavy_left(level, parent)
-        for s, own in self._by_shard(level, parent.astype(np.uint64), np.flatnonzero(~heavy)):
-            out[own] = self._open("ngrams", level, s).left(parent[own])
-        return out
+        return number, value, left
 
     def word_counts(self, number: np.ndarray) -> np.ndarray:
         """Counts by word number; a begin mark gives 0."""
@@ -237,6 +249,12 @@ def _key(parent: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
     return parent.astype(np.uint64) * np.uint64(words + 1) + word.astype(np.uint64)
 
 
+def _cut_key(keys: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parents and words of which ``_key`` made one number."""
+    parent = keys // np.uint64(words + 1)
+    return parent.astype(np.int64), (keys - parent * np.uint64(words + 1)).astype(np.int64)
+
+
 class _Tokens(NamedTuple):
     """Tokens of a block, an end after each text: word number, count, text."""
 
@@ -263,32 +281,36 @@ def _tokens(levels: Levels, block: W.Block) -> _Tokens:
     return _Tokens(number[back], count[back], text)
 
 
-def _contexts(levels: Levels, tokens: _Tokens, order: int):
-    """For levels 2, 3, ...: tokens with a known context, and its number.
+def _contexts(levels: Levels, tokens: _Tokens, order: int, last: bool):
+    """For levels 2, 3, ...: tokens with a known context, and their distinct pairs.
 
     The context of level k is the n-gram of the k - 1 tokens before; before the
-    first there is one begin mark, a word number of its own. Yields also the
-    children's first terms if the level exists.
+    first there is one begin mark, a word number of its own. Yields the level, the
+    tokens, the pairs of context and word in rising order as ``_key`` and the pair of
+    each token; and what ``child`` knows of the pairs, which of level ``order`` is looked
+    up only if that is not the ``last`` one. A pair is sorted and looked up once.
     """
-    n = len(tokens.word)
+    n, words = len(tokens.word), levels.model.words
     first = np.ones(n, bool)
     first[1:] = tokens.text[1:] != tokens.text[:-1]
     context = np.empty(n, np.int64)
     context[1:] = tokens.word[:-1]
-    context[first] = levels.model.words
+    context[first] = words
+    word = np.where(tokens.word < 0, words, tokens.word)
     for level in range(2, order + 1):
         at = np.flatnonzero(context >= 0)
-        yield level, at, context[at]
+        pairs, back = np.unique(_key(context[at], word[at], words), return_inverse=True)
+        if level == order and last:
+            yield level, at, pairs, back, None
+            return
+        parent, of = _cut_key(pairs, words)
+        found = levels.child(level, parent, of)
+        yield level, at, pairs, back, found
         if level == order:
             return
         # The n-gram of context and token is the context of the next token.
-        known = at[tokens.word[at] >= 0]
-        distinct, where, back = np.unique(_key(context[known], tokens.word[known],
-                                               levels.model.words),
-                                          return_index=True, return_inverse=True)
-        number, _ = levels.child(level, context[known[where]], tokens.word[known[where]])
         grown = np.full(n, -1, np.int64)
-        grown[known] = number[back]
+        grown[at] = found[0][back]
         context = np.full(n, -1, np.int64)
         context[1:] = grown[:-1]
         context[first] = -1
@@ -330,8 +352,7 @@ class _Pending:
         self._counts: list[np.ndarray] = []
         self._held = 0
 
-    def add(self, keys: np.ndarray):
-        distinct, counts = np.unique(keys, return_counts=True)
+    def add(self, distinct: np.ndarray, counts: np.ndarray):
         self._keys.append(distinct)
         self._counts.append(counts)
         self._held += len(distinct)
@@ -343,7 +364,7 @@ class _Pending:
         counts = np.concatenate([*self._counts, np.zeros(0, np.int64)])
         keys, counts = _summed(keys, counts)
         self._keys, self._counts, self._held = [], [], 0
-        shard = self._shard_of(keys)
+        shard = self._shard_of(keys).astype(np.min_scalar_type(self._shards))
         order = np.argsort(shard, kind="stable")
         bounds = np.searchsorted(shard[order], np.arange(self._shards + 1))
         rows = []
@@ -396,7 +417,7 @@ def _word_level(texts: DataFrame, path: str, size: int) -> tuple[int, list, int]
         pending = _Pending(shards, by_range)
         for batch in batches:
             for block in W.blocks(batch.column(0), BLOCK_BYTES):
-                yield from pending.add(_hashes(block)[0])
+                yield from pending.add(*np.unique(_hashes(block)[0], return_counts=True))
         yield pending.sent()
 
     def finish(shard, keys, counts):
@@ -438,17 +459,19 @@ def _ngram_level(texts: DataFrame, model: Model, level: int, last: bool) -> Mode
         for batch in batches:
             for block in W.blocks(batch.column(0), BLOCK_BYTES):
                 tokens = _tokens(levels, block)
-                for at_level, at, context in _contexts(levels, tokens, level):
+                for at_level, at, pairs, back, _ in _contexts(levels, tokens, level, True):
                     if at_level == level:
                         # All words are known here: these are the training texts.
                         # No n-gram is seen more often than a word in it.
-                        often = tokens.count[at] >= model.min_count
-                        at, context = at[often], context[often]
-                        distinct, back = np.unique(context, return_inverse=True)
-                        spread = (totals(levels, distinct) >= HEAVY)[back]
-                        keys = _key(context, tokens.word[at], words)
-                        yield from light.add(keys[~spread])
-                        yield from heavy.add(keys[spread])
+                        often = np.zeros(len(pairs), bool)
+                        often[back] = tokens.count[at] >= model.min_count
+                        times = np.bincount(back, minlength=len(pairs))[often]
+                        pairs = pairs[often]
+                        parent, _ = _cut_key(pairs, words)
+                        run, first = _runs(parent)
+                        spread = (totals(levels, parent[first]) >= HEAVY)[run]
+                        yield from light.add(pairs[~spread], times[~spread])
+                        yield from heavy.add(pairs[spread], times[spread])
         yield light.sent()
         yield heavy.sent()
 
@@ -559,19 +582,11 @@ def _scores(levels: Levels, block: W.Block) -> list[np.ndarray]:
     tokens = _tokens(levels, block)
     p = (tokens.count + ADDED) / (model.tokens + ADDED * (model.words + 1))
     base = np.bincount(tokens.text, weights=np.log10(p), minlength=n)
-    for level, at, context in _contexts(levels, tokens, model.order):
-        distinct, back = np.unique(context, return_inverse=True)
-        left = levels.left(level, distinct)[back]
+    for _, at, _, back, (_, term, left) in _contexts(levels, tokens, model.order, False):
         # Contexts without children leave the lower level's estimate as it is.
-        grown = left < 1.0
-        at, context, left = at[grown], context[grown], left[grown]
-        term = np.zeros(len(at))
-        known = np.flatnonzero(tokens.count[at] >= model.min_count)
-        _, where, back = np.unique(_key(context[known], tokens.word[at[known]], model.words),
-                                   return_index=True, return_inverse=True)
-        _, value = levels.child(level, context[known[where]], tokens.word[at[known[where]]])
-        term[known] = value[back]
-        p[at] = np.minimum(term + left * p[at], 1.0)  # a rounded sum may pass one
+        grown = (left < 1.0)[back]
+        at, back = at[grown], back[grown]
+        p[at] = np.minimum(term[back] + left[back] * p[at], 1.0)  # a rounded sum may pass one
     score = np.bincount(tokens.text, weights=np.log10(p), minlength=n)
     return [np.bincount(tokens.text, minlength=n),
             np.bincount(tokens.text[tokens.count > 0], minlength=n), base, score]
