@@ -59,7 +59,7 @@ FREQUENT = 8
 # Bits of the filter that spares most documents the shuffle of their sets.
 FILTER_BITS = 26
 _SEEN = 1 << 18
-# Passes over the entries in which frequent shingles may still be found.
+# Passes over the texts in which frequent shingles may still be found, the last one's entries included.
 PASSES = 3
 # Sets of a list that are compared with as many others at a time.
 LIST_BLOCK = 256
@@ -201,12 +201,14 @@ def _boundary(sets: DataFrame, counts: DataFrame, listed: np.ndarray, similarity
 
 
 def _entries(docs: DataFrame, text: str, width: int, similarity: int, frequent: np.ndarray,
-             order: np.ndarray, boundary: int) -> DataFrame:
+             order: np.ndarray, boundary: int) -> tuple[DataFrame, DataFrame]:
     """``key``, ``set_id`` and size of every entry, and the shingles from there on.
 
-    ``hot`` marks the entries made of frequent shingles only.
+    ``hot`` marks the entries made of frequent shingles only. The second table has the
+    keys of the other shingles that stand among the first of a set, but do not by hash.
     """
-    def emit(shingle, bounds, n, names, take):
+    def ordered(shingle, bounds, n, take):
+        """Shingles by the common order, whether they are listed, and their places by hash."""
         at, owner = _ranges(bounds[take], n[take])
         token = shingle[at]
         key = W.mix(token)
@@ -215,13 +217,27 @@ def _entries(docs: DataFrame, text: str, width: int, similarity: int, frequent:
         rank = np.where(listed, order[place] + 1 if len(order) else 0, 0)
         # By rank within each set; unlisted ones have rank 0 and stay by hash.
         moved = np.lexsort((rank, owner))
-        token, listed = token[moved], listed[moved]
-        size = n[take]
+        return token[moved], listed[moved], moved
+
+    def singles(size):
+        """First places and numbers of shingles of the sets that are entered under single ones."""
         start = np.cumsum(size) - size
         prefix = size - _least(size, similarity) + 1
-        keys, sets, heavy, rest = [], [], [], []
         # Sets that can link with one beyond the boundary.
-        single = np.flatnonzero(100 * size > similarity * boundary)
+        return start, prefix, np.flatnonzero(100 * size > similarity * boundary)
+
+    def forward(shingle, bounds, n, names, take):
+        token, listed, by_hash = ordered(shingle, bounds, n, take)
+        start, prefix, single = singles(n[take])
+        i, who = _ranges(start[single], prefix[single])
+        i = i[~listed[i] & (by_hash[i] >= (start + prefix)[single][who])]
+        return [W.mix(token[i]).view(np.int64)]
+
+    def emit(shingle, bounds, n, names, take):
+        token, listed, _ = ordered(shingle, bounds, n, take)
+        size = n[take]
+        start, prefix, single = singles(size)
+        keys, sets, heavy, rest = [], [], [], []
         i, who = _ranges(start[single], prefix[single])
         keys.append(W.mix(token[i]))
         sets.append(single[who])
@@ -242,17 +258,19 @@ def _entries(docs: DataFrame, text: str, width: int, similarity: int, frequent:
         return [keys.view(np.int64), names[take][sets], size[sets].astype(np.int32),
                 np.concatenate(rest).astype(np.int32), np.concatenate(heavy)]
 
-    return _each_set(docs, text, width, "key long, set_id long, n int, rest int, hot boolean",
-                     [pa.field("key", pa.int64()), pa.field("set_id", pa.int64()),
-                      pa.field("n", pa.int32()), pa.field("rest", pa.int32()),
-                      pa.field("hot", pa.bool_())], emit)
+    entries = _each_set(docs, text, width, "key long, set_id long, n int, rest int, hot boolean",
+                        [pa.field("key", pa.int64()), pa.field("set_id", pa.int64()),
+                         pa.field("n", pa.int32()), pa.field("rest", pa.int32()),
+                         pa.field("hot", pa.bool_())], emit)
+    return entries, _each_set(docs, text, width, "key long", [pa.field("key", pa.int64())], forward)
 
 
-def _shared(entries: DataFrame) -> DataFrame:
+def _shared(entries: DataFrame, similarity: int) -> DataFrame:
     """Entries of keys that two or more sets share, and all distinct entries of hot keys.
 
     One shuffle; the sorted rows of a task are then read once. A hot key's entries are
-    spread over all tasks by set, so none tells how many sets share the key.
+    spread over all tasks by set, so none tells how many sets share the key. Of the others,
+    entries that may link with none of their key are left out, if it has few.
     """
     def run(batches):
         left = None
@@ -264,16 +282,16 @@ def _shared(entries: DataFrame) -> DataFrame:
             key = table["key"].to_numpy()
             last = int(np.searchsorted(key, key[-1]))  # the last key may go on
             left = table.slice(last).to_batches()[0]
-            yield from _several(table.slice(0, last))
+            yield from _several(table.slice(0, last), similarity)
         if left is not None:
-            yield from _several(pa.Table.from_batches([left]))
+            yield from _several(pa.Table.from_batches([left]), similarity)
 
     spread = F.when(F.col("hot"), F.col("set_id")).otherwise(F.lit(0))
     dealt = entries.repartition("key", spread).sortWithinPartitions("key", "set_id")
     return dealt.mapInArrow(run, entries.schema)
 
 
-def _several(table: pa.Table):
+def _several(table: pa.Table, similarity: int):
     if not len(table):
         return
     key, name = table["key"].to_numpy(), table["set_id"].to_numpy()
@@ -284,7 +302,36 @@ def _several(table: pa.Table):
     run = np.cumsum(head) - 1
     several = np.bincount(run[new]) > 1
     hot = table["hot"].to_numpy()
-    yield from table.filter(pa.array(new & (several[run] | hot))).to_batches()
+    keep = np.flatnonzero(new & (several[run] | hot))
+    n, rest = (table[c].to_numpy()[keep].astype(np.int64) for c in ("n", "rest"))
+    keep = keep[hot[keep] | _partnered(run[keep], n, rest, similarity)]
+    yield from table.take(pa.array(keep)).to_batches()
+
+
+def _partnered(run: np.ndarray, n: np.ndarray, rest: np.ndarray, similarity: int) -> np.ndarray:
+    """Whether each entry may link with another of its run; all entries of long runs."""
+    long = np.bincount(run)[run] > _SMALL_UNIT if len(run) else np.zeros(0, bool)
+    found = long.copy()
+    for d in range(1, _SMALL_UNIT):
+        a = np.flatnonzero((run[:-d] == run[d:]) & ~long[:-d])
+        if not len(a):
+            break
+        b = a + d
+        near = (_fits(n[a], n[b], similarity)
+                & _reaches(n[a], n[b], np.minimum(rest[a], rest[b]), similarity))
+        found[a[near]] = True
+        found[b[near]] = True
+    return found
+
+
+def _fits(x: np.ndarray, y: np.ndarray, similarity: int) -> np.ndarray:
+    """Whether two sets of these sizes can link at all."""
+    return 100 * np.minimum(x, y) >= similarity * np.maximum(x, y)
+
+
+def _reaches(x: np.ndarray, y: np.ndarray, rest: np.ndarray, similarity: int) -> np.ndarray:
+    """Whether the shingles from the first common one on are enough for a link."""
+    return (100 + similarity) * rest >= similarity * (x + y)
 
 
 def _may_link(similarity: int) -> Column:
@@ -386,9 +433,8 @@ class _Unit:
     def _may_link(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x, y = self.n[a].astype(np.int64), self.n[b].astype(np.int64)
         least = np.minimum(self.rest[a], self.rest[b]).astype(np.int64)
-        keep = ((self.root[a] != self.root[b])
-                & (100 * np.minimum(x, y) >= self._similarity * np.maximum(x, y))
-                & ((100 + self._similarity) * least >= self._similarity * (x + y)))
+        keep = ((self.root[a] != self.root[b]) & _fits(x, y, self._similarity)
+                & _reaches(x, y, least, self._similarity))
         return a[keep], b[keep]
 
     def _pairs(self) -> tuple[np.ndarray, np.ndarray]:
@@ -547,7 +593,7 @@ def set_links(docs: DataFrame, sets: DataFrame, text: str = "text", width: int =
     if boundary is None:
         boundary = _boundary(sets, counts, listed["sets"].to_numpy(np.int64), similarity)
 
-    def entries() -> DataFrame:
+    def entries() -> tuple[DataFrame, DataFrame]:
         by_key = listed.sort_values("key", key=lambda k: k.to_numpy(np.int64).view(np.uint64))
         key = by_key["key"].to_numpy(np.int64).view(np.uint64)
         order = np.empty(len(key), np.int64)
@@ -556,20 +602,23 @@ def set_links(docs: DataFrame, sets: DataFrame, text: str = "text", width: int =
 
     # With some shingles put last, others come to the front that were not counted
     # there before: they are listed too, as long as their lists, if scanned, would
-    # cost more than another pass over all first shingles.
+    # cost more than another pass over all first shingles. Only those are counted, so
+    # the entries are dealt once however often the list grows.
     size = F.col("n_shingles")
     first = size - F.ceil(F.lit(similarity) * size / 100) + 1
     pass_cost = sets.filter(size > 0).agg(F.sum(first)).first()[0] or 0
     for left in reversed(range(PASSES)):
-        shared = settle(_shared(entries()), "shared-entries")
-        light = shared.filter("NOT hot").drop("hot")
-        more = _most(light.groupBy("key").agg(F.count(F.lit(1)).alias("sets")), frequent)
-        more = more[~more["key"].isin(listed["key"])]
-        if not left or not _worth(more["sets"], pass_cost):
+        made, forward = entries()
+        if not left:
+            break
+        more = _most(forward.groupBy("key").agg(F.count(F.lit(1)).alias("sets")), frequent)
+        if not _worth(more["sets"], pass_cost):
             break
         listed = (pd.concat([listed, more]).sort_values(["sets", "key"], ascending=[False, True])
                   .head(MAX_FREQUENT))
 
+    shared = settle(_shared(made, similarity), "shared-entries")
+    light = shared.filter("NOT hot").drop("hot")
     hot = shared.filter("hot").drop("hot")
     hot_keys = settle(hot.groupBy("key").agg(F.min("set_id").alias("_a"), F.max("set_id").alias("_b"))
                       .filter("_a <> _b").select("key"), "hot-keys")
