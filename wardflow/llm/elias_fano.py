@@ -127,14 +127,19 @@ class EliasFano:
         if not self.n:
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         low, stop = self._bucket((x >> np.uint64(self._bits)).astype(np.int64))
-        end, target = stop.copy(), x & np.uint64((1 << self._bits) - 1)
-        todo = np.flatnonzero(low < end)
+        target = x & np.uint64((1 << self._bits) - 1)
+        equal = np.zeros(len(x), bool)
+        todo = np.flatnonzero(low < stop)
+        # Those not yet found, side by side.
+        start, end, wanted = low[todo], stop[todo], target[todo]
         while len(todo):
-            middle = (low[todo] + end[todo]) >> 1
-            below = self._lows(middle) < target[todo]
-            low[todo] = np.where(below, middle + 1, low[todo])
-            end[todo] = np.where(below, end[todo], middle)
-            todo = todo[low[todo] < end[todo]]
-        equal = low < stop
-        equal[equal] = self._lows(low[equal]) == target[equal]
+            middle = (start + end) >> 1
+            there = self._lows(middle)
+            below = there < wanted
+            # The last number that was not below is the one that is found.
+            equal[todo] = np.where(below, equal[todo], there == wanted)
+            start, end = np.where(below, middle + 1, start), np.where(below, end, middle)
+            low[todo] = start
+            left = np.flatnonzero(start < end)
+            todo, start, end, wanted = todo[left], start[left], end[left], wanted[left]
         return low, equal

@@ -48,8 +48,9 @@ HEAVY = 1 << 18
 _END = int(W.mix(np.array([0x656E64], np.uint64))[0])
 # N-grams of a task that are counted together before they are sent.
 _HELD = 1 << 21
-# Text taken at a time: every block asks every shard, so small ones cost more.
-BLOCK_BYTES = 1 << 21
+# Text taken at a time, as much as is sent together: every block asks every shard, so small
+# ones cost more.
+BLOCK_BYTES = W.SLICE_BYTES
 _FIELDS = (StructType().add("n_tokens", LongType()).add("n_known", LongType())
            .add("base_score", DoubleType()).add("score", DoubleType()))
 
