@@ -59,7 +59,8 @@ FREQUENT = 8
 # Bits of the filter that spares most documents the shuffle of their sets.
 FILTER_BITS = 26
 _SEEN = 1 << 18
-# Passes over the texts in which frequent shingles may still be found, the last one's entries included.
+# Passes over the texts in which frequent shingles may still be found, that of the
+# entries included.
 PASSES = 3
 # Sets of a list that are compared with as many others at a time.
 LIST_BLOCK = 256
@@ -220,7 +221,7 @@ def _entries(docs: DataFrame, text: str, width: int, similarity: int, frequent:
         return token[moved], listed[moved], moved
 
     def singles(size):
-        """First places and numbers of shingles of the sets that are entered under single ones."""
+        """Places and numbers of first shingles, and the sets entered under single ones."""
         start = np.cumsum(size) - size
         prefix = size - _least(size, similarity) + 1
         # Sets that can link with one beyond the boundary.
