@@ -13,16 +13,16 @@ from dataclasses import dataclass
 from datetime import date
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import (OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer,
-                                VectorAssembler)
+from pyspark.ml.feature import (OneHotEncoder, SQLTransformer, StandardScaler, StandardScalerModel,
+                                StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wardflow.operators import boosting
 from wardflow.operators import features as X
 from wardflow.session import settle
 
@@ -110,7 +110,8 @@ def _prepared(train: DataFrame, numbers: list[str], copies: str | None = None,
     return [*stages, VectorAssembler(inputCols=inputs, outputCol="features")]
 
 
-def _train(rows: DataFrame, name: str, keys: list[str], numbers: list[str], learner: Estimator,
+def _train(rows: DataFrame, name: str, keys: list[str], numbers: list[str],
+           learner: Estimator | Callable[[PipelineModel, DataFrame], Transformer],
            copies: str | None = None, category: str | None = None,
            stratified: bool = True) -> Trained:
     # The learner passes over its rows many times.
@@ -123,7 +124,10 @@ def _train(rows: DataFrame, name: str, keys: list[str], numbers: list[str], lear
     else:
         train, test = X.split(rows, keys, seed=SEED)
     stages = _prepared(train, numbers, copies, category)
-    return Trained(Pipeline(stages=[*stages, learner]).fit(train), test)
+    if isinstance(learner, Estimator):
+        return Trained(Pipeline(stages=[*stages, learner]).fit(train), test)
+    made = Pipeline(stages=stages).fit(train)
+    return Trained(PipelineModel([*made.stages, learner(made, train)]), test)
 
 
 def _forest(label: str, trees: int, depth: int, copies: str | None = None) -> RandomForestClassifier:
@@ -172,10 +176,24 @@ def train_followup(t: Tables, as_of: date | None = None, trees: int = ROUNDS,
 
 def train_vitals(t: Tables, rounds: int = ROUNDS) -> Trained:
     """Boosted trees for the next systolic pressure."""
-    learner = GBTRegressor(labelCol="label", maxIter=rounds, maxDepth=BOOST_DEPTH,
-                           stepSize=BOOST_RATE, seed=SEED)
-    return _train(vitals_rows(t), "vitals", VITALS_KEYS, VITALS_NUMBERS, learner,
-                  stratified=False)
+    return _train(vitals_rows(t), "vitals", VITALS_KEYS, VITALS_NUMBERS,
+                  lambda made, train: _boosted(made, train, rounds), stratified=False)
+
+
+def _boosted(made: PipelineModel, train: DataFrame, rounds: int) -> SQLTransformer:
+    """The stage that predicts by boosted trees, which are SQL text over the scaled numbers."""
+    rows = made.transform(train).select(*VITALS_KEYS, "label",
+                                        vector_to_array("features").alias("numbers"))
+    trees = boosting.fit(rows, "numbers", "label", VITALS_KEYS, rounds, BOOST_DEPTH, BOOST_RATE,
+                         SEED)
+    scaler = next(s for s in made.stages if isinstance(s, StandardScalerModel))
+    # As the scaler does it, so that a number at a limit falls on the same side.
+    scaled = ", ".join(
+        f"({c}_filled - {float(mean)!r}D) * {1 / float(std) if std else 0.0!r}D AS {c}_scaled"
+        for c, mean, std in zip(VITALS_NUMBERS, scaler.mean, scaler.std, strict=True))
+    predicted = trees.sql([f"{c}_scaled" for c in VITALS_NUMBERS])
+    return SQLTransformer(statement=f"SELECT *, {predicted} AS prediction "
+                                    f"FROM (SELECT *, {scaled} FROM __THIS__)")
 
 
 # -- evaluation ---------------------------------------------------------------
