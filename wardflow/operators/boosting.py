@@ -68,7 +68,9 @@ class Trees(NamedTuple):
             return (f"IF({features[f]} <= {limit!r}D, {node(tree, 2 * i + 1)}, "
                     f"{node(tree, 2 * i + 2)})")
 
-        return " + ".join(node(tree, 0) for tree in self.trees)
+        # As one sum, a hundred trees are compiled to a method too long for the JVM to speed up.
+        votes = ", ".join(node(tree, 0) for tree in self.trees)
+        return f"aggregate(array({votes}), 0D, (sum, vote) -> sum + vote)"
 
 
 # -- bins ---------------------------------------------------------------------
